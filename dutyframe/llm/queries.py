@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dutyframe.llm import sharding
+from dutyframe.llm import language_id, mixing, sharding, token_counts
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_jump_hash_sharding": sharding.op2_jump_hash_sharding,
+    "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
+    "op7_token_counts": token_counts.op7_token_counts,
 }
 ORACLES = {
     "op2_jump_hash_sharding": sharding.ORACLE,
