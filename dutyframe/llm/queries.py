@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dutyframe.llm import language_id, mixing, sharding, token_counts
+from dutyframe.llm import language_id, minhash, mixing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jump_hash_sharding": sharding.op2_jump_hash_sharding,
+    "op3_bbit_minhash": minhash.op3_bbit_minhash,
+    "op5_compression_toxicity": toxicity.op5_compression_toxicity,
     "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
 }
