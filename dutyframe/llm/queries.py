@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dutyframe.llm import language_id, minhash, mixing, sharding, token_counts, toxicity
+from dutyframe.llm import decontamination, language_id, minhash, mixing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_compression_toxicity": toxicity.op5_compression_toxicity,
     "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
 }
 ORACLES = {
     "op2_jump_hash_sharding": sharding.ORACLE,
