@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dutyframe.llm import decontamination, language_id, minhash, mixing, sharding, token_counts, toxicity
+from dutyframe.llm import decontamination, language_id, license_scan, minhash, mixing, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jump_hash_sharding": sharding.op2_jump_hash_sharding,
     "op3_bbit_minhash": minhash.op3_bbit_minhash,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_compression_toxicity": toxicity.op5_compression_toxicity,
     "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
+    "op10_simhash_fingerprints": simhash.op10_simhash_fingerprints,
 }
 ORACLES = {
     "op2_jump_hash_sharding": sharding.ORACLE,
+    "op4_license_scan": license_scan.ORACLE,
 }
