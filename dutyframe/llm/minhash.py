@@ -214,5 +214,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without the rows that near_duplicates found not to be kept, all columns as they are.
+
+    A row without words is kept, and so is one with a null key. Where a kept key repeats, its rows
+    with equal texts are one row from then on.
+    """
+    gone = found.filter("not kept").select(F.col(key).alias("__key")).distinct()
+    kept = df.join(gone, df[key] == gone["__key"], "left_anti")
+    repeated = found.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__key")
+    if repeated.isEmpty():
+        return kept
+    first = kept.join(repeated, kept[key] == repeated["__key"], "left_semi")
+    rest = kept.join(repeated, kept[key] == repeated["__key"], "left_anti")
+    return rest.unionByName(first.withColumn("__hash", F.xxhash64(text)).dropDuplicates([key, "__hash"]).drop("__hash"))
+
+
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

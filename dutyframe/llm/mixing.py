@@ -151,5 +151,22 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """df's rows as often as the mix takes them (0 to CAP times), all columns as they are.
+
+    Rows are told apart by key, source and text hash. Rows that repeat all three are rounded one by
+    one and share their copies: each is repeated by its even part, and what is over goes to the
+    first ones.
+    """
+    marked = df.withColumn("__mark", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(source, text).cast("string")))
+    wanted = mix(marked, "__mark", text, source).groupBy("__mark").agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).cast("int").alias("__rows")).filter("__copies > 0")
+    rows = marked.join(wanted, "__mark")
+    once = rows.filter("__rows = 1").withColumn("__own", F.col("__copies"))
+    turn = F.row_number().over(Window.partitionBy("__mark").orderBy("__mark"))
+    more = rows.filter("__rows > 1").withColumn("__own", F.floor(F.col("__copies") / F.col("__rows")).cast("int") + F.when(turn <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
+    both = once.unionByName(more).filter("__own > 0")
+    return both.withColumn("__own", F.explode(F.sequence(F.lit(1), "__own"))).select(*df.columns)
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
