@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dutyframe.llm import decontamination, language_id, license_scan, minhash, mixing, sharding, simhash, token_counts, toxicity
+from dutyframe.llm import decontamination, language_id, license_scan, minhash, mixing, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_compression_toxicity": toxicity.op5_compression_toxicity,
     "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_lcp_merge_dedup": suffix_dedup.op8_lcp_merge_dedup,
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
     "op10_simhash_fingerprints": simhash.op10_simhash_fingerprints,
 }
