@@ -6,8 +6,9 @@ equal bits, corrected for chance collisions, estimates the similarity of a candi
 that pass are confirmed on their full shingle sets, so every link is exact.
 
 Texts with equal shingle sets are one class from the start. In a bucket of a band, classes are
-first compared with the smallest class of the bucket only; classes of one component need no more
-comparisons, and what is left in other components is compared in full in the last round. So a
+first compared with the smallest class of the bucket only, and then one class of each component;
+classes of one component need no more comparisons, and what is left in other components is compared
+in full in the last round. So a
 large group of near copies costs about its size, and no link between components is lost.
 """
 
@@ -173,37 +174,36 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     in_bands = classes.select("id", F.explode("bands").alias("bucket"))
     hubs = in_bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("bucket", "hub")
     members = written(in_bands.join(hubs, "bucket"), "buckets")
-    signs = classes.select("id", "n", "sig")
+    signs = classes.select("id", "n", "sig", "bands")
     left, right = (signs.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
 
     def likely(pairs: DataFrame) -> DataFrame:
         found = pairs.join(left, "u").join(right, "v").filter(_sizes_allow("n_u", "n_v"))
-        return found.withColumn("likeness", estimate(F.col("sig_u"), F.col("sig_v"))).filter(F.col("likeness") >= ESTIMATE_CUT).select("u", "v", "likeness")
+        return written(found.filter(estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT).select("u", "v"), "likely")
+
+    def rooted(tree: DataFrame) -> DataFrame:
+        labels = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        return members.select("id", "bucket").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     confirm = _Confirm(df, key, text, classes, width)
-    star = written(likely(members.filter("id != hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()), "star")
-    best = star.groupBy("v").agg(F.max_by("u", F.struct("likeness", "u")).alias("u")).select("u", "v")
-    links = confirm(best)
-    tree = components(links)
-    labels = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
-
-    def labelled(some: DataFrame, name: str, labels: DataFrame) -> DataFrame:
-        mine = labels.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}"))
-        return some.join(mine, name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
-
-    # second round: all smallest classes of the buckets a class is in, where they lie in another component
-    across = labelled(labelled(star.select("u", "v"), "u", labels), "v", labels).filter("root_u != root_v").select("u", "v")
-    links = tree.unionByName(confirm(written(across, "across")))
-    tree = components(links)
-    labels = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    # last round: in buckets that still hold several components, every pair across them
-    rooted = labelled(members.select("id", "bucket"), "id", labels)
-    open_buckets = rooted.groupBy("bucket").agg(F.min("root_id").alias("a"), F.max("root_id").alias("b")).filter("a != b").select("bucket")
-    held = written(rooted.join(open_buckets, "bucket").join(signs, "id"), "open")
-    a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "root_id", "n", "sig"))) for side in "uv")
-    wanted = (F.col("id_u") < F.col("id_v")) & (F.col("root_id_u") != F.col("root_id_v")) & _sizes_allow("n_u", "n_v") & (estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT)
-    rest = a.join(b, (a["bucket"] == b["bucket"]) & wanted).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
-    rest = written(rest.join(star.select("u", "v"), ["u", "v"], "left_anti"), "rest")
+    # first round: each class with the smallest class of the most of its buckets
+    votes = members.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("u")).select("u", F.col("id").alias("v"))
+    tree = components(confirm(likely(best)))
+    # second round: one class of each component of a bucket with the smallest one there
+    firsts = written(rooted(tree).groupBy("bucket", "root").agg(F.min("id").alias("v")), "firsts")
+    lowest = firsts.groupBy("bucket").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u")
+    across = firsts.join(lowest, "bucket").filter("u != v").select("u", "v").distinct()
+    tree = components(tree.unionByName(confirm(likely(across))))
+    # last round: in buckets that still hold several components, every pair across them, in the first band the two share
+    labelled = rooted(tree)
+    open_buckets = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
+    held = labelled.join(open_buckets, "bucket").join(signs, "id").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
+    held = written(held.select("bucket", "id", "root", "n", "sig", "before"), "open")
+    a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "sig", "before"))) for side in "uv")
+    wanted = (F.col("id_u") < F.col("id_v")) & (F.col("root_u") != F.col("root_v")) & _sizes_allow("n_u", "n_v") & (estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT)
+    rest = a.join(b, (a["bucket"] == b["bucket"]) & wanted & ~F.arrays_overlap("before_u", "before_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    rest = written(rest, "rest")
     if not rest.isEmpty():
         tree = components(tree.unionByName(confirm(rest)))
     roots = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
