@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dutyframe.functions.text import strip_accents_upper
 
 # Dashes that separate the two ends of a range, and the words for parts of the day.
-DASHES = "-‐‑–—"
+DASHES = "-‐–—−"
 MORNING, NIGHT, AFTERNOON, NEXT_DAY = "ΠΡΩΙ", ("ΒΡΑΔΥ", "ΝΥΧΤΑ"), ("ΜΕΣΗΜΕΡΙ", "ΑΠΟΓΕΥΜΑ"), "ΕΠΟΜΕΝΗΣ"
 
 
