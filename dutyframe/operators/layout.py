@@ -90,7 +90,7 @@ def header_cells(words: DataFrame, keys: list[str]) -> DataFrame:
 
 def column_bounds(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells with low and high: borders halfway to the neighbours, without end at both sides."""
-    by = Window.partitionBy(*keys).orderBy("start")
+    by = Window.partitionBy(*keys).orderBy("start", "cell")
     low = (F.lag("end").over(by) + F.col("start")) / 2
     high = (F.col("end") + F.lead("start").over(by)) / 2
     infinite = F.lit("Infinity").cast("double")

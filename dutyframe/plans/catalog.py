@@ -1,6 +1,423 @@
-"""All registered queries of the record engine and their SQL equivalents."""
+"""All registered queries of the record engine and their SQL equivalents (DuckDB)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dutyframe.functions import dates, geo, text, times
+from dutyframe.operators import layout, locate, names, resolve, serve, store, supersede
+from dutyframe.plans import golden
+from dutyframe.plans.roles import parts, places, properties, snapshots, table
+from dutyframe.sources import html
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+DAY = datetime.date(1995, 6, 17)
+CENTRE = (37.9755, 23.7348)
+
+_SNAPSHOTS = """(SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS source_id, 'order/' || o_orderkey AS url, CAST(year(o_orderdate) AS INT) AS published_year,
+  CAST(substr(o_orderpriority, 1, 1) AS INT) AS revision FROM orders)"""
+_CURRENT = f"(SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_id, published_year ORDER BY revision DESC, id DESC) AS r FROM {_SNAPSHOTS}) WHERE r = 1)"
+_PROPERTIES = """(SELECT l_partkey AS entity_id, l_orderkey AS snapshot_id, CAST(l_shipdate AS DATE) AS on_date, l_shipdate AS starts_at, l_shipdate + l_linenumber * INTERVAL 1 HOUR AS ends_at,
+  l_returnflag || '|' || l_linestatus || '|' || CAST(CAST(l_quantity AS INT) AS VARCHAR) AS payload FROM lineitem)"""
+_PARTS = "(SELECT p_partkey AS id, lower(string_split(p_type, ' ')[-1]) AS kind, p_name AS name, upper(replace(p_name, ' ', '')) AS name_folded, p_brand AS municipality FROM part)"
+_PLACES = "(SELECT s_suppkey AS id, 'pharmacy' AS kind, s_name AS name, 37.9::DOUBLE + (s_suppkey % 97) / 400.0::DOUBLE AS lat, 23.6::DOUBLE + (s_suppkey % 89) / 300.0::DOUBLE AS lon FROM supplier)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = supersede.current_snapshots(snapshots(spark, sf_dir), day="published_year")
+    return supersede.flag_superseded(properties(spark, sf_dir), current)
+
+
+@query(f"""
+SELECT p.entity_id, p.snapshot_id, e.kind, e.name, e.municipality, CAST(p.on_date AS VARCHAR) AS on_date, p.starts_at, p.ends_at, p.payload, s.source_id, s.url AS source_url
+FROM {_PROPERTIES} p JOIN {_PARTS} e ON e.id = p.entity_id JOIN {_SNAPSHOTS} s ON s.id = p.snapshot_id
+WHERE p.on_date = DATE '{DAY}' AND p.snapshot_id IN {_CURRENT}
+ORDER BY e.name NULLS FIRST, p.starts_at NULLS FIRST, p.ends_at NULLS FIRST, p.entity_id, p.snapshot_id, p.payload LIMIT 500""")
+def on_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current duty records of one day (the report's own limit of 500)."""
+    rows = serve.on_call(_served(spark, sf_dir), parts(spark, sf_dir), snapshots(spark, sf_dir), DAY, limit=500)
+    return rows.select("entity_id", "snapshot_id", "kind", "name", "municipality", F.col("on_date").cast("string").alias("on_date"), "starts_at", "ends_at", "payload", "source_id", "source_url")
+
+
+_KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin((radians(37.9755::DOUBLE) - radians(e.lat)) / 2), 2) + cos(radians(e.lat)) * cos(radians(37.9755::DOUBLE)) * pow(sin((radians(23.7348::DOUBLE) - radians(e.lon)) / 2), 2))))"
+
+
+@query(f"""
+SELECT entity_id, name, snapshot_id, starts_at, distance_km FROM (
+  SELECT p.l_suppkey AS entity_id, e.name, p.l_orderkey AS snapshot_id, p.l_shipdate AS starts_at, round({_KM}, 6) AS distance_km, p.l_linenumber AS n
+  FROM lineitem p JOIN {_PLACES} e ON e.id = p.l_suppkey WHERE CAST(p.l_shipdate AS DATE) = DATE '{DAY}' AND {_KM} <= 10.0)
+ORDER BY distance_km, name, starts_at, entity_id, snapshot_id LIMIT 500""")
+def on_call_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duty records of one day within 10 km of a point, the nearest first."""
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("snapshot_id"), F.to_date("l_shipdate").alias("on_date"), F.col("l_shipdate").alias("starts_at"), F.col("l_shipdate").alias("ends_at"), F.lit("").alias("payload"), F.lit(False).alias("superseded"))
+    found = serve.on_call(rows, places(spark, sf_dir), snapshots(spark, sf_dir), DAY, near=CENTRE, radius_km=10.0, limit=500)
+    return found.select("entity_id", "name", "snapshot_id", "starts_at", F.round("distance_km", 6).alias("distance_km"))
+
+
+@query(f"SELECT s.id, s.name, round({_KM.replace('e.', 's.')}, 6) AS distance_km, s.lat BETWEEN 37.5 AND 38.4 AND s.lon BETWEEN 23.0 AND 24.2 AS in_attica FROM {_PLACES} s")
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = places(spark, sf_dir)
+    km = geo.distance_km(F.col("lat"), F.col("lon"), F.lit(CENTRE[0]), F.lit(CENTRE[1]))
+    return rows.select("id", "name", F.round(km, 6).alias("distance_km"), geo.in_attica(F.col("lat"), F.col("lon")).alias("in_attica"))
+
+
+@query(f"SELECT id, kind, name, municipality FROM {_PARTS} WHERE name_folded LIKE '%RING%' AND kind = 'small' ORDER BY name, id LIMIT 500")
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.search_entities(parts(spark, sf_dir), kind="small", search="rîng", limit=500).select("id", "kind", "name", "municipality")
+
+
+@query(f"SELECT id, kind, name, municipality FROM {_PARTS} WHERE id = 42")
+def entity_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.entity(parts(spark, sf_dir), 42).select("id", "kind", "name", "municipality")
+
+
+_PLAIN = "replace(replace({}, 'ß', 'ss'), 'ẞ', 'ss')"
+
+
+@query(f"""
+SELECT doc_id, sha256(upper(strip_accents({_PLAIN.format("text")}))) AS upper_hash, sha256(f) AS fold_hash, sha256(replace(f, ' ', '')) AS key_hash FROM (
+  SELECT doc_id, text, trim(regexp_replace(upper(strip_accents({_PLAIN.format("text")})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS f FROM documents)""")
+def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three folded forms of every whole text, as hashes."""
+    d = table(spark, sf_dir, "documents")
+    h = lambda c: F.sha2(c, 256)
+    return d.select("doc_id", h(text.strip_accents_upper(F.col("text"))).alias("upper_hash"), h(text.fold(F.col("text"))).alias("fold_hash"), h(text.matching_key(F.col("text"))).alias("key_hash"))
+
+
+@query(f"SELECT id, source_id, published_year, revision FROM (SELECT *, row_number() OVER (PARTITION BY source_id, published_year ORDER BY revision DESC, id DESC) AS r FROM {_SNAPSHOTS}) WHERE r = 1")
+def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supersede.latest(snapshots(spark, sf_dir), ["source_id", "published_year"], ["revision", "id"]).select("id", "source_id", "published_year", "revision")
+
+
+@query(f"SELECT superseded, count(*) AS n, count(DISTINCT snapshot_id) AS snapshots, CAST(min(on_date) AS VARCHAR) AS first_day, CAST(max(on_date) AS VARCHAR) AS last_day FROM (SELECT p.*, p.snapshot_id NOT IN {_CURRENT} AS superseded FROM {_PROPERTIES} p) GROUP BY superseded")
+def superseded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _served(spark, sf_dir).groupBy("superseded").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("snapshot_id").alias("snapshots"), F.min("on_date").cast("string").alias("first_day"), F.max("on_date").cast("string").alias("last_day"))
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def snapshot_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots by content hash: the first id and the number of fetches."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return d.groupBy("sha256").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("""SELECT source AS source_id, count(DISTINCT sha256(text)) AS n FROM documents WHERE source || sha256(text) NOT IN (SELECT source || sha256(text) FROM documents WHERE lang <> 'en') GROUP BY source""")
+def skip_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents left to parse per source, where those not in English are processed already."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("source").alias("url"), F.sha2("text", 256).alias("sha256"), "lang")
+    known = d.filter("lang != 'en'").withColumn("processed_at", F.current_timestamp())
+    return store.new_documents(d, known).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_brand, upper(replace(p_name, ' ', '')) AS alias_folded, arg_min(p_name, p_partkey) AS alias, min(p_partkey) AS first_id FROM part GROUP BY ALL")
+def first_alias_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_brand", text.matching_key(F.col("p_name")).alias("alias_folded"), F.col("p_partkey").alias("first_id"), F.col("p_name").alias("alias"))
+    return supersede.first_seen(p, ["p_brand", "alias_folded"], ["first_id"])
+
+
+@query("""
+WITH d AS (SELECT o_orderkey AS draft, CAST(o_custkey % 40 AS VARCHAR) AS source_id, CAST(o_custkey AS VARCHAR) AS local_id, CASE WHEN o_orderkey % 3 = 0 THEN 'key' ELSE 'name' END AS identity,
+  'CUSTOMER' || lpad(CAST(o_custkey + (o_orderkey % 2) * 700 AS VARCHAR), 9, '0') AS name_folded FROM orders),
+x AS (SELECT CAST(c_custkey % 40 AS VARCHAR) AS source_id, CAST(c_custkey AS VARCHAR) AS local_id, c_custkey AS id FROM customer WHERE c_custkey % 5 = 0),
+e AS (SELECT min(c_custkey) AS id, upper(replace(replace(c_name, '#', ''), ' ', '')) AS name_folded FROM customer WHERE c_custkey % 2 = 0 GROUP BY 2),
+a AS (SELECT min(c_custkey) AS id, upper(replace(replace(c_name, '#', ''), ' ', '')) AS name_folded FROM customer WHERE c_custkey % 3 = 0 GROUP BY 2)
+SELECT draft, coalesce(x.id, CASE WHEN identity = 'name' THEN coalesce(e.id, a.id) END) AS entity_id FROM d LEFT JOIN x USING (source_id, local_id) LEFT JOIN e USING (name_folded) LEFT JOIN a USING (name_folded)""")
+def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts from orders against customers known by key, by name and by alias."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"), text.matching_key(F.col("c_name")).alias("name_folded"))
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("CUSTOMER"), F.lpad((F.col("o_custkey") + (F.col("o_orderkey") % 2) * 700).cast("string"), 9, "0"))
+    drafts = o.select(F.col("o_orderkey").alias("draft"), (F.col("o_custkey") % 40).cast("string").alias("source_id"), F.col("o_custkey").cast("string").alias("local_id"), F.lit("customer").alias("kind"), name.alias("name_folded"), F.when(F.col("o_orderkey") % 3 == 0, "key").otherwise("name").alias("identity"))
+    keys = c.filter("id % 5 = 0").select(F.col("id").alias("entity_id"), (F.col("id") % 40).cast("string").alias("scheme"), F.col("id").cast("string").alias("value"))
+    aliases = c.filter("id % 3 = 0").select(F.col("id").alias("entity_id"), F.col("name_folded").alias("alias_folded"))
+    # keys are looked up among all customers, names among the even ones
+    kinds = c.withColumn("name_folded", F.when(F.col("id") % 2 == 0, F.col("name_folded")))
+    return resolve.match(drafts, keys, kinds, aliases).select("draft", "entity_id")
+
+
+@query("""
+WITH b AS (SELECT o_custkey AS id, max(o_orderkey) FILTER (o_totalprice > 100000) AS at, max(o_orderkey) AS last FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS id, coalesce('order ' || b.last, c_name) AS name, coalesce(o.o_orderpriority, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END) AS address
+FROM customer LEFT JOIN b ON b.id = c_custkey LEFT JOIN orders o ON o.o_orderkey = b.at""")
+def upsert_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers updated from orders: the last name, and the last known address."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("").alias("name_folded"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("address"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.concat(F.lit("order "), "o_orderkey").alias("name"), F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority")).alias("address"), F.col("o_orderkey").alias("seq"))
+    return resolve.upsert(c, o, ["address"], "seq").select("id", "name", "address")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) THEN o_orderdate END AS processed_at FROM orders")
+def backfill_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("fetched_at"), F.lit(None).cast("timestamp_ntz").alias("processed_at"))
+    p = table(spark, sf_dir, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("snapshot_id"))
+    return store.backfill_processed(o, p).select("id", "processed_at")
+
+
+_ISSUES = "(SELECT event_id, CAST(user_id AS VARCHAR) AS source_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS severity, event_type AS code, CAST(event_id AS VARCHAR) AS detail, ts AS created_at FROM events)"
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    severity = F.when(kind.isin("error", "purchase"), "error").when(kind == "click", "warning").otherwise("info")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), severity.alias("severity"), kind.alias("code"), F.col("event_id").cast("string").alias("detail"), F.col("ts").alias("created_at"))
+
+
+@query(f"SELECT source_id, severity, code, detail, created_at FROM {_ISSUES} ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, created_at DESC, source_id, code, detail LIMIT 500")
+def issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.issue_report(_issues(spark, sf_dir), limit=500)
+
+
+_REPORT = """(SELECT CAST(user_id AS VARCHAR) AS source_id, count(*) FILTER (event_id % 5 < 3) AS documents, count(*) FILTER (event_id % 5 = 3) AS skipped, count(*) FILTER (event_id % 5 = 4) AS failed,
+  CAST(sum(event_id % 7) AS BIGINT) AS entities, CAST(sum(event_id % 11) AS BIGINT) AS properties, CAST(sum(event_id % 3) AS BIGINT) AS warnings FROM events GROUP BY user_id)"""
+
+
+@query(f"SELECT * FROM {_REPORT}")
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    outcome = F.when(e % 5 < 3, "parsed").when(e % 5 == 3, "skipped").otherwise("failed")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), outcome.alias("outcome"), (e % 7).alias("entities"), (e % 11).alias("properties"), (e % 3).alias("warnings"))
+    return store.ingest_report(rows)
+
+
+@query(f"SELECT CAST(sum(documents) AS BIGINT) AS documents, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(failed) AS BIGINT) AS failed FROM {_REPORT}")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.run_summary(ingest_report(spark, sf_dir))
+
+
+@query("""
+SELECT p_brand AS qid, array_to_string(list_distinct_ordered, ';') AS names, lat FROM (
+  SELECT p_brand, list_sort(list(DISTINCT p_name)) AS list_distinct_ordered, arg_min(p_retailprice, p_partkey) AS lat FROM part GROUP BY p_brand)""")
+def fold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per brand: its distinct names, and the price of its first part."""
+    p = table(spark, sf_dir, "part")
+    return p.groupBy(F.col("p_brand").alias("qid")).agg(F.array_join(F.array_sort(F.collect_set("p_name")), ";").alias("names"), F.min_by("p_retailprice", "p_partkey").alias("lat"))
+
+
+@query("""
+WITH n AS (SELECT s_suppkey AS id, string_split(p_name, ' ') AS ws FROM supplier JOIN part ON p_partkey = s_suppkey),
+c AS (SELECT DISTINCT p_brand AS qid, string_split(p_name, ' ') AS ks FROM part),
+m AS (SELECT id, count(DISTINCT qid) AS k, min(qid) AS q FROM n, c WHERE list_has_all(ks, ws) GROUP BY id)
+SELECT n.id, CASE WHEN k = 1 THEN 'located' WHEN k > 1 THEN 'ambiguous' ELSE 'unmatched' END AS outcome, CASE WHEN k = 1 THEN q END AS qid FROM n LEFT JOIN m USING (id)""")
+def match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' quoted names against brands' names: one brand, several or none."""
+    p = table(spark, sf_dir, "part")
+    s = table(spark, sf_dir, "supplier").join(p, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.concat(F.lit("H. «"), "p_name", F.lit("»")).alias("name"))
+    c = p.groupBy(F.col("p_brand").alias("qid")).agg(F.collect_set("p_name").alias("names")).withColumns({"lat": F.lit(38.0), "lon": F.lit(23.7)})
+    return locate.match_places(s, c).select("id", "outcome", "qid")
+
+
+@query("SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS distance FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n AND levenshtein(a.n, b.n) <= 2")
+def near_duplicates_by_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names within two edits. Names that near share a third of one of them, which is what they meet by."""
+    distinct = table(spark, sf_dir, "part").select(F.col("p_name").alias("n")).distinct()
+    length, third = F.length("n"), F.ceil(F.length("n") / 3).cast("int")
+    # two edits leave one of three parts of the shorter or equal name whole, moved by at most two
+    own = distinct.select("n", F.posexplode(F.array(*[F.substring(F.col("n"), 1 + third * k, third) for k in range(3)])).alias("k", "part"), (1 + third * F.lit(0)).alias("z"), third.alias("t"), length.alias("len"))
+    a = own.select(F.col("n").alias("a"), (1 + F.col("t") * F.col("k")).alias("at"), "part", F.col("len").alias("len_a")).filter("part != ''")
+    sizes = a.select(F.length("part").alias("s")).distinct()
+    spots = distinct.crossJoin(F.broadcast(sizes)).select(F.col("n").alias("b"), "s", F.explode(F.sequence(F.lit(1), F.greatest(F.length("n") - F.col("s") + 1, F.lit(1)))).alias("bt"))
+    b = spots.select("b", "bt", F.expr("substring(b, bt, s)").alias("part"))
+    met = a.join(b, "part").filter((F.abs(F.col("at") - F.col("bt")) <= 2) & (F.col("a") != F.col("b")))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("distance", text.edit_distance_within(F.col("a"), F.col("b"), 2).cast("long")).filter("distance is not null")
+
+
+@query("""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS BIGINT) AS links FROM pages""")
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.elements(table(spark, sf_dir, "pages"), "page_id", "html")
+    title = F.min(F.when(F.col("tag") == "title", F.struct("n", text.collapse(F.col("text")).alias("t"))))["t"]
+    return found.groupBy("page_id").agg(F.coalesce(title, F.lit("")).alias("title"), F.count_if((F.col("tag") == "a") & F.map_contains_key("attrs", "href")).alias("links"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(json_object('type', event_type, 'inner', props::JSON), '$.inner.k') AS nested FROM events")
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagged payload: nested, written, and read back."""
+    e = table(spark, sf_dir, "events")
+    whole = F.to_json(F.struct(F.col("event_type").alias("type"), F.from_json("props", "k long").alias("inner")))
+    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.get_json_object(whole, "$.inner.k").alias("nested"))
+
+
+@query("""
+SELECT user_id, CAST(max(g) AS INT) AS islands, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT user_id, sum(CASE WHEN gap IS NULL OR gap > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
+    SELECT user_id, ts, event_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id""")
+def gap_islands_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    marked = layout.islands(e, ["user_id"], ["ts", "event_id"], lambda before: F.col("at") - before("at") > 600, "g")
+    return marked.groupBy("user_id").agg(F.max("g").alias("islands"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id, k, t AS anchor, 1 AS g FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.k, CASE WHEN o.t - w.anchor <= 36000 THEN w.anchor ELSE o.t END, CASE WHEN o.t - w.anchor <= 36000 THEN w.g ELSE w.g + 1 END FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
+SELECT user_id, CAST(max(g) AS INT) AS groups FROM w GROUP BY user_id""")
+def gap_islands_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose every member lies within ten hours of the group's first."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "at"))), lambda r: r["at"]).alias("at"))
+    return lists.select("user_id", F.element_at(layout.anchored_groups(F.col("at"), lambda a, v: v - a <= 36000), -1)["group"].alias("groups"))
+
+
+_CELLS = "(SELECT event_type, CAST(user_id AS BIGINT) AS cell, min(value) AS start, min(value) + 0.5 AS \"end\" FROM events GROUP BY ALL)"
+
+
+@query(f"""
+SELECT event_type, cell, coalesce((lag("end") OVER w + start) / 2, -1e308) AS low, coalesce(("end" + lead(start) OVER w) / 2, 1e308) AS high FROM {_CELLS} WINDOW w AS (PARTITION BY event_type ORDER BY start, cell)""")
+def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").alias("cell")).agg(F.min("value").alias("start"))
+    cells = layout.column_bounds(e.withColumn("end", F.col("start") + 0.5), ["event_type"])
+    clip = lambda c: F.greatest(F.least(F.col(c), F.lit(1e308)), F.lit(-1e308))
+    return cells.select("event_type", "cell", clip("low").alias("low"), clip("high").alias("high"))
+
+
+@query("SELECT l_returnflag, CAST(floor(l_quantity / 10) AS INT) AS band, count(*) AS n FROM lineitem GROUP BY ALL")
+def interval_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in bands of quantity, by an interval join with a bound table."""
+    bands = spark.range(0, 12).select(F.col("id").cast("int").alias("band"), (F.col("id") * 10.0).alias("low"), ((F.col("id") + 1) * 10.0).alias("high"))
+    joined = layout.assign_interval(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), F.broadcast(bands), [], "l_quantity")
+    return joined.groupBy("l_returnflag", "band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), p AS (SELECT user_id, ts, max(event_id) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT c.event_id, p.purchase FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ts >= p.ts""")
+def floor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last purchase at or before it."""
+    e = table(spark, sf_dir, "events")
+    marks = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("purchase"))
+    points = e.filter("event_type != 'purchase'").select("event_id", "user_id", F.col("ts").alias("at"))
+    return layout.floor_join(points, marks, ["user_id"], "at", "ts", "purchase").select("event_id", "purchase")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 - 4 AS INT) AS b FROM orders)
+SELECT o_orderkey, CAST(abs(b - a) + 1 AS INT) AS days, CAST(least(a, b) AS VARCHAR) AS first_day, CAST(greatest(a, b) AS VARCHAR) AS last_day, a + 2 BETWEEN least(a, b) AND greatest(a, b) AS inside FROM o""")
+def window_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"))
+    o = o.withColumn("b", F.date_add("a", (F.col("o_orderkey") % 9 - 4).cast("int"))).withColumn("d", dates.days_between(F.col("a"), F.col("b")))
+    inside = dates.in_window(F.date_add("a", 2), F.col("a"), F.col("b"))
+    return o.select("o_orderkey", F.size("d").alias("days"), F.element_at("d", 1).cast("string").alias("first_day"), F.element_at("d", -1).cast("string").alias("last_day"), inside.alias("inside"))
+
+
+@query("""
+SELECT doc_id, CAST(coalesce(d, CASE WHEN NOT lag(p) OVER w THEN lag(d) OVER w END, CASE WHEN NOT lead(p) OVER w THEN lead(d) OVER w END) AS VARCHAR) AS date FROM (
+  SELECT doc_id, source, doc_id % 2 = 0 AS p, CASE WHEN doc_id % 3 <> 0 THEN DATE '2026-01-01' + CAST(doc_id % 300 AS INT) END AS d FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")
+def neighbour_borrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dutyframe.sources.hospitals import borrowed_dates
+
+    d = table(spark, sf_dir, "documents")
+    day = F.when(F.col("doc_id") % 3 != 0, F.date_add(F.lit(datetime.date(2026, 1, 1)), (F.col("doc_id") % 300).cast("int")))
+    files = d.select("doc_id", "source", (F.col("doc_id") % 2 == 0).alias("is_pdf"), day.alias("date"))
+    return borrowed_dates(files, ["source"], "doc_id").select("doc_id", F.col("date").cast("string").alias("date"))
+
+
+_POLICIES = ["cache_only", "prefer_cache", "revalidate", "force"]
+
+
+@query("""
+WITH p(r, name) AS (VALUES (1, 'cache_only'), (2, 'prefer_cache'), (3, 'revalidate'), (4, 'force'))
+SELECT page_id, CASE WHEN a.r = 1 OR b.r = 1 THEN 'cache_only' WHEN a.r >= b.r THEN a.name ELSE b.name END AS policy FROM pages JOIN p a ON a.r = page_id % 4 + 1 JOIN p b ON b.r = (page_id // 4) % 4 + 1""")
+def cache_policy_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names_ = F.array(*[F.lit(x) for x in _POLICIES])
+    pick = lambda k: F.element_at(names_, (k % 4).cast("int") + 1)
+    return table(spark, sf_dir, "pages").select("page_id", store.stricter(pick(F.col("page_id")), pick(F.floor(F.col("page_id") / 4))).alias("policy"))
+
+
+@query("SELECT page_id, sha256('GET' || chr(10) || url || chr(10)) AS key, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS namespace, sha256(html) AS content FROM pages")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", store.cache_key(F.lit("GET"), F.col("url"), F.lit(None).cast("string")).alias("key"), store.safe_namespace(F.col("url")).alias("namespace"), store.content_hash(F.col("html")).alias("content"))
+
+
+@query("SELECT page_id, replace(url_encode(url || ' ~*'), '%20', '+') AS encoded FROM pages")
+def percent_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.form_encode(F.concat("url", F.lit(" ~*"))).alias("encoded"))
+
+
+@query("SELECT nation.n_name AS kind, count(*) AS entities, CAST(count_if(s_acctbal < 0) AS BIGINT) AS negative FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY nation.n_name")
+def counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with and without a condition, over the lookups."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    joined = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.groupBy(F.col("n_name").alias("kind")).agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("s_acctbal") < 0).alias("negative"))
+
+
+@query("""
+SELECT conv_id, string_agg(role, ' ' ORDER BY turn, role, text) AS roles, CAST(sum(length(text)) AS BIGINT) AS letters, string_agg(DISTINCT role, ',' ORDER BY role) AS distinct_roles FROM conversations GROUP BY conv_id""")
+def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered concatenation within a group, as words make lines."""
+    c = table(spark, sf_dir, "conversations")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: t["role"])
+    return c.groupBy("conv_id").agg(F.array_join(ordered, " ").alias("roles"), F.sum(F.length("text")).alias("letters"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("distinct_roles"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '('))) AS INT) AS n_remarks FROM documents")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    return d.select("doc_id", F.size("lines").alias("n_lines"), F.size(F.filter("lines", lambda x: x.startswith("("))).alias("n_remarks"))
+
+
+@query()
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout pipeline over the synthetic rota page."""
+    return layout.reconstruct(golden.rota_words(spark), ["page"], names.is_table_header)
+
+
+@query()
+def golden_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.rows(spark, golden.DATES).select("input", dates.parse_date(F.col("input")).alias("date"))
+
+
+@query()
+def golden_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.rows(spark, golden.TIMES).select("input", F.explode_outer(times.parse_ranges(F.col("input"))).alias("w")).select("input", "w.*")
+
+
+@query()
+def golden_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.rows(spark, golden.REVISIONS).select("input", dates.parse_revision(F.col("input")).alias("revision"))
+
+
+@query()
+def golden_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("input")
+    return golden.rows(spark, golden.FOLDS).select("input", text.strip_accents_upper(c).alias("upper"), text.fold(c).alias("fold"), text.matching_key(c).alias("key"))
+
+
+@query(f"SELECT id, attribution FROM (VALUES ('fsa-attica-pharmacies', 'Pharmacists'' Association of Attica'), ('moh-attica-hospitals', 'Ministry of Health')) v(id, attribution)")
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.sources_table(spark).select("id", "attribution")
+
+
+@query("SELECT user_id, event_type, revision, event_id FROM (SELECT *, CAST(floor(value) AS BIGINT) AS revision, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(value) AS BIGINT) DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest revision per key, by a stream over the events that runs to its end."""
+    from dutyframe.streaming.refresh import latest_revisions
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    top = latest_revisions(stream.withColumn("revision", F.floor("value").cast("long")), ["user_id", "event_type"], "revision", "event_id")
+    name = f"stream_latest_{abs(hash(sf_dir))}"
+    top.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
