@@ -6,7 +6,7 @@ equal bits, corrected for chance collisions, estimates the similarity of a candi
 that pass are confirmed on their full shingle sets, so every link is exact.
 
 Texts with equal shingle sets are one class from the start. In a bucket of a band, classes are
-first compared with the smallest class of the bucket only, and then one class of each component;
+first compared with the most central class of the bucket only, and then one class of each component;
 classes of one component need no more comparisons, and what is left in other components is compared
 in full in the last round. So a
 large group of near copies costs about its size, and no link between components is lost.
@@ -29,11 +29,11 @@ from dutyframe.llm.components import components
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Low bits kept of each minimum.
-BITS = 2
+BITS = 8
 PER_LONG = 64 // BITS
 THRESHOLD_PERCENT = 80
-#: Estimates below this aren't confirmed: 0.8 less four standard deviations of the estimate.
-ESTIMATE_CUT = 0.65
+#: Estimates below this aren't confirmed: 0.8 less four standard deviations (0.032) of the estimate.
+ESTIMATE_CUT = 0.672
 #: Up to so many document keys are broadcast to read their texts; beyond it the texts are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -97,11 +97,14 @@ def _signatures(width: int):
 
 def estimate(a: Column, b: Column) -> Column:
     """Similarity from two packed signatures: equal BITS-wide fields, corrected for fields equal by chance."""
-    fields = int("01" * (64 // 2), 2) if BITS == 2 else 1
+    lowest = sum(1 << k for k in range(0, 64, BITS))
     unequal = F.lit(0)
     for k in range(HASHES // PER_LONG):
-        x = a[k].bitwiseXOR(b[k])
-        unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(fields)))
+        x, width = a[k].bitwiseXOR(b[k]), BITS
+        while width > 1:  # any set bit of a field moves down to its lowest
+            width //= 2
+            x = x.bitwiseOR(F.shiftrightunsigned(x, width))
+        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(lowest)))
     chance = 1 / (1 << BITS)
     return (1 - unequal / HASHES - chance) / (1 - chance)
 
@@ -110,7 +113,7 @@ def _sizes_allow(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD_PERCENT
 
 
-def _linked(width: int):
+def _compared(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: dict[bytes, np.ndarray] = {}
@@ -120,12 +123,12 @@ def _linked(width: int):
                     sets[key] = shingle_set(text, width)
                 return sets[key]
 
-            keep = []
+            common, total = [], []
             for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 x, y = of(u, a), of(v, b)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= THRESHOLD_PERCENT * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                total.append(len(x) + len(y) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["u", "v", "common", "total"])
 
     return run
 
@@ -138,7 +141,7 @@ class _Confirm:
         self.classes, self.width = classes, width
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(u, v) of the linked ones among pairs (u, v)."""
+        """pairs (u, v) with the sizes of the intersection and the union of their full sets."""
         needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
         needed = written(needed.join(self.classes.select("id", "key"), "id"), "needed")
         small = F.broadcast if needed.count() <= BROADCAST_KEYS else lambda x: x
@@ -151,10 +154,14 @@ class _Confirm:
         texts = self.texts.join(small(needed), "key").select("id", "text").mapInArrow(own, "id binary, text string").dropDuplicates(["id"])
         texts = written(texts, "texts")
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-        links = written(both.select("u", "v", "a", "b").mapInArrow(_linked(width), "u binary, v binary"), "linked")
+        compared = written(both.select("u", "v", "a", "b").mapInArrow(_compared(width), "u binary, v binary, common long, total long"), "compared")
         drop_written(texts)
         drop_written(needed)
-        return links
+        return compared
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.filter(F.col("common") * 100 >= F.col("total") * THRESHOLD_PERCENT).select("u", "v")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
@@ -172,8 +179,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     # equal sets are one class, counted together before the shuffle
     classes = written(signed.filter("n > 0").groupBy("id").agg(F.min(F.struct(F.col("key").isNull(), "key", "n", "bands", "sig")).alias("s")).select("id", "s.key", "s.n", "s.bands", "s.sig"), "classes")
     in_bands = classes.select("id", F.explode("bands").alias("bucket"))
-    hubs = in_bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("bucket", "hub")
-    members = written(in_bands.join(hubs, "bucket"), "buckets")
+    sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(in_bands.join(sizes, "bucket"), "shared")
+    # a class that meets many others is likely the one that near copies were made from
+    central = shared.groupBy("id").agg(F.sum("size").alias("meets"))
+    ranked = shared.select("id", "bucket").join(central, "id")
+    hubs = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("meets", "id")).alias("hub"))
+    members = written(ranked.join(hubs, "bucket").select("id", "bucket", "hub", "meets"), "buckets")
+    drop_written(shared)
     signs = classes.select("id", "n", "sig", "bands")
     left, right = (signs.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
 
@@ -183,29 +196,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     def rooted(tree: DataFrame) -> DataFrame:
         labels = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        return members.select("id", "bucket").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return members.select("id", "bucket", "meets").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     confirm = _Confirm(df, key, text, classes, width)
-    # first round: each class with the smallest class of the most of its buckets
+    # first round: each class with the hub of most of its buckets
     votes = members.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("u")).select("u", F.col("id").alias("v"))
-    tree = components(confirm(likely(best)))
-    # second round: one class of each component of a bucket with the smallest one there
-    firsts = written(rooted(tree).groupBy("bucket", "root").agg(F.min("id").alias("v")), "firsts")
-    lowest = firsts.groupBy("bucket").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u")
-    across = firsts.join(lowest, "bucket").filter("u != v").select("u", "v").distinct()
-    tree = components(tree.unionByName(confirm(likely(across))))
+    first = confirm(likely(best))
+    apart = first.select(F.col("v").alias("id"), F.col("u").alias("near"), (1 - F.col("common") / F.col("total")).alias("apart"))
+    tree = components(_links(first))
+    # second round: one class of each component of a bucket with the most central one there
+    firsts = written(rooted(tree).groupBy("bucket", "root").agg(F.max(F.struct("meets", "id")).alias("top")).select("bucket", "top"), "firsts")
+    middle = firsts.groupBy("bucket").agg(F.max("top").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u")
+    across = firsts.join(middle, "bucket").filter("u != top").select("u.id", F.col("top.id").alias("v")).select(F.col("id").alias("u"), "v").distinct()
+    tree = components(tree.unionByName(_links(confirm(likely(across)))))
     # last round: in buckets that still hold several components, every pair across them, in the first band the two share
     labelled = rooted(tree)
     open_buckets = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
-    held = labelled.join(open_buckets, "bucket").join(signs, "id").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
-    held = written(held.select("bucket", "id", "root", "n", "sig", "before"), "open")
-    a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "sig", "before"))) for side in "uv")
+    held = labelled.join(open_buckets, "bucket").join(signs, "id").join(apart, "id", "left").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
+    held = written(held.select("bucket", "id", "root", "n", "sig", "before", "near", "apart"), "open")
+    a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "sig", "before", "near", "apart"))) for side in "uv")
     wanted = (F.col("id_u") < F.col("id_v")) & (F.col("root_u") != F.col("root_v")) & _sizes_allow("n_u", "n_v") & (estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT)
-    rest = a.join(b, (a["bucket"] == b["bucket"]) & wanted & ~F.arrays_overlap("before_u", "before_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    # 1 - similarity is a metric: two classes whose distances from a third differ by more than 0.2 aren't linked
+    far = F.coalesce((F.col("near_u") == F.col("near_v")) & (F.abs(F.col("apart_u") - F.col("apart_v")) > 1 - THRESHOLD_PERCENT / 100 + 1e-9), F.lit(False))
+    rest = a.join(b, (a["bucket"] == b["bucket"]) & wanted & ~far & ~F.arrays_overlap("before_u", "before_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
     rest = written(rest, "rest")
     if not rest.isEmpty():
-        tree = components(tree.unionByName(confirm(rest)))
+        tree = components(tree.unionByName(_links(confirm(rest))))
     roots = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
     named = classes.select("id", "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = named.groupBy("root").agg(F.min("key").alias("component_id"))
