@@ -113,7 +113,7 @@ def _sizes_allow(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD_PERCENT
 
 
-def _compared(width: int):
+def _compared(width: int, masked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: dict[bytes, np.ndarray] = {}
@@ -123,12 +123,15 @@ def _compared(width: int):
                     sets[key] = shingle_set(text, width)
                 return sets[key]
 
-            common, total = [], []
+            common, total, masks = [], [], []
             for u, v, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 x, y = of(u, a), of(v, b)
-                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                inside = np.isin(x, y, assume_unique=True)
+                common.append(int(inside.sum()))
                 total.append(len(x) + len(y) - common[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["u", "v", "common", "total"])
+                masks.append(np.packbits(np.pad(inside, (0, -len(x) % 64))).view(np.int64) if masked else None)
+            columns = [pa.array(common, pa.int64()), pa.array(total, pa.int64()), pa.array(masks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["u", "v", "common", "total", "mask"])
 
     return run
 
@@ -140,8 +143,11 @@ class _Confirm:
         self.texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
         self.classes, self.width = classes, width
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """pairs (u, v) with the sizes of the intersection and the union of their full sets."""
+    def __call__(self, pairs: DataFrame, masked: bool = False) -> DataFrame:
+        """pairs (u, v) with the sizes of the intersection and the union of their full sets.
+
+        masked: and a bit for each shingle of u, in hash order, that says whether v has it.
+        """
         needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
         needed = written(needed.join(self.classes.select("id", "key"), "id"), "needed")
         small = F.broadcast if needed.count() <= BROADCAST_KEYS else lambda x: x
@@ -154,7 +160,7 @@ class _Confirm:
         texts = self.texts.join(small(needed), "key").select("id", "text").mapInArrow(own, "id binary, text string").dropDuplicates(["id"])
         texts = written(texts, "texts")
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-        compared = written(both.select("u", "v", "a", "b").mapInArrow(_compared(width), "u binary, v binary, common long, total long"), "compared")
+        compared = written(both.select("u", "v", "a", "b").mapInArrow(_compared(width, masked), "u binary, v binary, common long, total long, mask array<long>"), "compared")
         drop_written(texts)
         drop_written(needed)
         return compared
@@ -202,8 +208,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     # first round: each class with the hub of most of its buckets
     votes = members.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("u")).select("u", F.col("id").alias("v"))
-    first = confirm(likely(best))
-    apart = first.select(F.col("v").alias("id"), F.col("u").alias("near"), (1 - F.col("common") / F.col("total")).alias("apart"))
+    first = confirm(likely(best), masked=True)
+    beside = first.select(F.col("v").alias("id"), F.col("u").alias("near"), "common", "mask")
     tree = components(_links(first))
     # second round: one class of each component of a bucket with the most central one there
     firsts = written(rooted(tree).groupBy("bucket", "root").agg(F.max(F.struct("meets", "id")).alias("top")).select("bucket", "top"), "firsts")
@@ -213,12 +219,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     # last round: in buckets that still hold several components, every pair across them, in the first band the two share
     labelled = rooted(tree)
     open_buckets = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
-    held = labelled.join(open_buckets, "bucket").join(signs, "id").join(apart, "id", "left").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
-    held = written(held.select("bucket", "id", "root", "n", "sig", "before", "near", "apart"), "open")
-    a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "sig", "before", "near", "apart"))) for side in "uv")
+    held = labelled.join(open_buckets, "bucket").join(signs, "id").join(beside, "id", "left").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
+    held = written(held.select("bucket", "id", "root", "n", "sig", "before", "near", "common", "mask"), "open")
+    a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "sig", "before", "near", "common", "mask"))) for side in "uv")
     wanted = (F.col("id_u") < F.col("id_v")) & (F.col("root_u") != F.col("root_v")) & _sizes_allow("n_u", "n_v") & (estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT)
-    # 1 - similarity is a metric: two classes whose distances from a third differ by more than 0.2 aren't linked
-    far = F.coalesce((F.col("near_u") == F.col("near_v")) & (F.abs(F.col("apart_u") - F.col("apart_v")) > 1 - THRESHOLD_PERCENT / 100 + 1e-9), F.lit(False))
+    # of two classes compared with the same hub, the common shingles inside the hub are known, and outside it bounded
+    inside = F.aggregate(F.zip_with("mask_u", "mask_v", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, k: n + k)
+    most = inside + F.least(F.col("n_u") - F.col("common_u"), F.col("n_v") - F.col("common_v"))
+    far = F.coalesce((F.col("near_u") == F.col("near_v")) & (most * 100 < (F.col("n_u") + F.col("n_v") - most) * THRESHOLD_PERCENT), F.lit(False))
     rest = a.join(b, (a["bucket"] == b["bucket"]) & wanted & ~far & ~F.arrays_overlap("before_u", "before_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
     rest = written(rest, "rest")
     if not rest.isEmpty():
