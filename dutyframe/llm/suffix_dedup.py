@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyframe.llm.common import _powers, BYTE_VALUE, drop_written, mix64, table, text_or_empty, written
+from dutyframe.llm.common import BYTE_VALUE, _powers, drop_written, mix64, table, text_or_empty, written
 
 LENGTH = 200
 GRAM = 64
@@ -324,6 +324,19 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array((np.arange(len(row)) - first[row]).astype(np.int64))], ["key", "s0", "s1", "window"])
 
 
+def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t0, t1, spans) with spans that overlap or touch made one; there are few left of the one per anchor."""
+    for batch in batches:
+        out = []
+        for spans in batch.column(2).to_pylist():
+            both = np.array(spans, np.int64).reshape(-1, 2)
+            both = both[np.argsort(both[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(both[:, 1])
+            new = np.flatnonzero(np.append(True, both[1:, 0] > reach[:-1]))
+            out.append(np.column_stack([both[new, 0], reach[np.append(new[1:], len(both)) - 1]]).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["t0", "t1", "spans"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) from (key, text, copied, spans)."""
     for batch in batches:
@@ -350,7 +363,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """t0, t1, spans (array of start, end, start, end, ...): repeated bytes of each distinct text that has some.
 
-    texts: t0, t1 (a text's hashes) and t. Spans may overlap. Whole texts that occur twice aren't
+    texts: t0, t1 (a text's hashes) and t. Whole texts that occur twice aren't
     told by this alone, as equal texts are one here.
     """
     found = written(texts.mapInArrow(_anchor_rows, "g long, t0 long, t1 long, at long"), "anchors")
@@ -380,7 +393,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     covered = straight.unionByName(settled).groupBy("s0", "s1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     placed = rows.select("t0", "t1", "start", "s0", "s1").join(covered, ["s0", "s1"])
     shifted = placed.select("t0", "t1", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-    return shifted.groupBy("t0", "t1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    together = shifted.groupBy("t0", "t1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return together.mapInArrow(_merged_spans, "t0 long, t1 long, spans array<long>")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
