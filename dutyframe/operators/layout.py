@@ -149,3 +149,9 @@ def reconstruct(words: DataFrame, keys: list[str], is_header) -> DataFrame:
     lined = lists.withColumn("g", anchored_groups(F.transform("ws", lambda w: w["y"]), lambda a, v: v - a <= tolerance))
     out = lined.select(*keys, "column", "label", "row", "row_label", F.explode(F.arrays_zip("ws", "g")).alias("z"))
     return out.groupBy(*keys, "column", "label", "row", "row_label", F.col("z.g.group").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z.ws.x", "z.ws.text"))), lambda w: w["text"]), " ").alias("text"))
+
+
+def expand_width_runs(runs: DataFrame, first: str = "first", last: str = "last", most: int = 4096) -> DataFrame:
+    """A row per glyph code of runs `first last width`; runs longer than `most` codes are left out, as fonts have none."""
+    usable = runs.filter((F.col(last) >= F.col(first)) & (F.col(last) - F.col(first) < most))
+    return usable.withColumn("code", F.explode(F.sequence(first, last))).drop(first, last)
