@@ -10,11 +10,13 @@ neither dictionary.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,11 @@ from dutyframe.llm.language_id import held_out
 #: Words of a window, and of one step to the next.
 WINDOW, STEP = 8, 7
 #: About so many labelled documents of each kind are fitted on, with at most so many windows of each.
-TOXIC_ROWS, ORDINARY_ROWS, WINDOWS_PER_ROW = 2400, 5000, 120
+TOXIC_ROWS, ORDINARY_ROWS, WINDOWS_PER_ROW = 2400, 4800, 80
 BASE_BYTES, TOXIC_BYTES = 250_000, 4096
 #: A word is peculiar to toxic text if it stands between so many different pairs of neighbours there,
 #: at a rate of so many times that of ordinary text.
-LEAST_CONTEXTS, LEAST_RATIO = 4, 8.0
+LEAST_CONTEXTS, LEAST_RATIO = 4, 14.0
 #: Lengths in bytes of the beginnings of words that are looked at besides whole words.
 BEGINNINGS = (7, 6, 5)
 GAINS = (2, 3, 4, 5, 6)
@@ -144,23 +146,40 @@ def units(word: bytes) -> list[bytes]:
     return [b" " + word + b" ", *(b" " + word[:n] for n in BEGINNINGS if len(word) > n)]
 
 
-def peculiar_units(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Words, and beginnings of words, with many different neighbours in toxic windows and few in ordinary ones.
+def peculiar_units(toxic: list[bytes], ordinary: list[bytes]) -> set[int]:
+    """Hashes of words, and beginnings of words, with many different neighbours in toxic windows and few in ordinary ones.
 
     Counting pairs of neighbours instead of occurrences keeps out words that only copies repeat.
+    Only units that may still be peculiar are followed through the ordinary windows.
     """
-    contexts = []
-    for some in (toxic, ordinary):
-        seen: dict[bytes, set[int]] = {}
+
+    def contexts(some: list[bytes]) -> Iterator[tuple[bytes, int]]:
         for w in some:
             words = [b"", *w.split(), b""]
             for k in range(1, len(words) - 1):
-                context = hash((words[k - 1], words[k + 1]))
-                for unit in units(words[k]):
-                    seen.setdefault(unit, set()).add(context)
-        contexts.append({w: len(s) for w, s in seen.items()})
-    there, here = (max(1, sum(n for w, n in c.items() if w.endswith(b" "))) for c in contexts)
-    return {w for w, n in contexts[0].items() if n >= LEAST_CONTEXTS and n / there > LEAST_RATIO * (contexts[1].get(w, 0) + 0.5) / here}
+                yield words[k], hash((words[k - 1], words[k + 1]))
+
+    unit_hashes, pair_hashes, there = array("q"), array("q"), 0
+    for word, context in contexts(toxic):
+        there += 1
+        for unit in units(word):
+            h = hash(unit)
+            unit_hashes.append(h)
+            pair_hashes.append(hash((h, context)))
+    _, first = np.unique(np.frombuffer(pair_hashes, np.int64), return_index=True)
+    found, counts = np.unique(np.frombuffer(unit_hashes, np.int64)[first], return_counts=True)
+    here = sum(len(w.split()) for w in ordinary)
+    most = {int(h): n / max(1, there) * max(1, here) / LEAST_RATIO - 0.5 for h, n in zip(found, counts, strict=True) if n >= LEAST_CONTEXTS}
+    seen: dict[int, set[int]] = {}
+    for word, context in contexts(ordinary):
+        for unit in units(word):
+            h = hash(unit)
+            if h in most:
+                own = seen.setdefault(h, set())
+                own.add(context)
+                if len(own) >= most[h]:
+                    del most[h], seen[h]
+    return {h for h, n in most.items() if n > 0}
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -194,15 +213,15 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     picked = rows.filter(h < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])).withColumn("calibrate", F.pmod(F.xxhash64(F.lit("c"), F.col("k").cast("string")), F.lit(3)) == 0)
     # the bound above is that of the sample: some thousand short rows
     found = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(picked), "k")
-    sample = found.filter("not calibrate").select("toxic", "t").mapInArrow(_sample_windows, "toxic int, w binary").collect()
-    toxic = sorted(bytes(r["w"]) for r in sample if r["toxic"] == 1)
-    ordinary = sorted(bytes(r["w"]) for r in sample if r["toxic"] == 0)
+    sample = found.filter("not calibrate").select("toxic", "t").mapInArrow(_sample_windows, "toxic int, w binary").toArrow()
+    toxic, ordinary = (sorted(sample.filter(pc.equal(sample["toxic"], kind))["w"].to_pylist()) for kind in (1, 0))
+    del sample
     if not toxic or not ordinary:
         width = 2 + 2 * len(GAINS)
         return Model(b"", b"", np.zeros(width), np.ones(width), np.zeros(width), -30.0)
     peculiar = peculiar_units(toxic, ordinary)
     rng = np.random.default_rng(7)
-    own = [unit for window in toxic for w in window.split() for unit in units(w) if unit in peculiar] or toxic
+    own = [unit for window in toxic for w in window.split() for unit in units(w) if hash(unit) in peculiar] or toxic
     own = [own[k] for k in rng.permutation(len(own))]
     own = [b"".join(own[k : k + 8]) for k in range(0, len(own), 8)]
     plain = [ordinary[k] for k in rng.permutation(len(ordinary))]
