@@ -88,8 +88,8 @@ def _signatures(width: int):
                     bands.append(None)
                     packed.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
-                ["key", "id", "n", "bands", "sig"],
+                [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
+                ["key", "hash", "id", "n", "bands", "sig"],
             )
 
     return run
@@ -171,19 +171,23 @@ def _links(compared: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
-    """key, n_shingles, component_id, kept for every row.
+    """key, n_shingles, component_id, kept, text_hash, first for every row.
 
     Rows are linked if their sets of distinct word shingles have a Jaccard similarity of 0.8 or
     more; a component is named by its smallest key, which alone is kept. A text with fewer than
     `width` words is one shingle; a null or empty text, or one without words, has none and is
     linked with nothing. Repeated rows share a component and its kept key. A null key is never the
     name of a component that has other keys. An empty table gives an empty result.
+
+    kept goes by the key alone. A key that repeats with different texts may stand in several
+    components, or name several; first says whether the row's key and text_hash are the smallest of
+    its own component (always, without words).
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     kind = rows.schema["key"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signatures(width), f"key {kind}, id binary, n long, bands array<long>, sig array<long>"), "signatures")
+    signed = written(rows.mapInArrow(_signatures(width), f"key {kind}, hash long, id binary, n long, bands array<long>, sig array<long>"), "signatures")
     # equal sets are one class, counted together before the shuffle
-    classes = written(signed.filter("n > 0").groupBy("id").agg(F.min(F.struct(F.col("key").isNull(), "key", "n", "bands", "sig")).alias("s")).select("id", "s.key", "s.n", "s.bands", "s.sig"), "classes")
+    classes = written(signed.filter("n > 0").groupBy("id").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash", "n", "bands", "sig")).alias("s")).select("id", "s.key", "s.hash", "s.n", "s.bands", "s.sig"), "classes")
     in_bands = classes.select("id", F.explode("bands").alias("bucket"))
     sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = written(in_bands.join(sizes, "bucket"), "shared")
@@ -232,28 +236,40 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     if not rest.isEmpty():
         tree = components(tree.unionByName(_links(confirm(rest))))
     roots = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    named = classes.select("id", "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    names = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    by_class = named.join(names, "root").select("id", "component_id")
-    out = signed.select("key", "id", "n").join(by_class, "id", "left").withColumn("component_id", F.coalesce("component_id", "key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = classes.select("id", "key", "hash").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    names = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash")).alias("s")).select("root", F.col("s.key").alias("component_id"), F.col("s.hash").alias("first_hash"))
+    by_class = named.join(names, "root").select("id", "component_id", "first_hash")
+    out = signed.select("key", "hash", "id", "n").join(by_class, "id", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+    kept = F.col("key").eqNullSafe(F.col("component_id"))
+    first = kept & (F.col("hash") == F.coalesce("first_hash", "hash"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), F.col("hash").alias("text_hash"), first.alias("first"))
 
 
 def keep_one(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows that near_duplicates found not to be kept, all columns as they are.
+    """df with one row of each component that near_duplicates found, all columns as they are.
 
-    A row without words is kept, and so is one with a null key. Where a kept key repeats, its rows
-    with equal texts are one row from then on.
+    Rows are told apart by key and text: the first pair of each component is kept, whatever becomes
+    of other rows with its key. A row without words is kept, and so is one with a null key. Kept
+    rows with equal keys and texts are one row from then on.
     """
-    gone = found.filter("not kept").select(F.col(key).alias("__key")).distinct()
-    kept = df.join(gone, df[key] == gone["__key"], "left_anti")
-    repeated = found.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__key")
+
+    def by_row(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(key).alias("__key"), F.col("text_hash").alias("__found"))
+
+    def same(other: DataFrame) -> Column:
+        return (hashed[key] == other["__key"]) & (hashed["__hash"] == other["__found"])
+
+    keyed = found.filter(F.col(key).isNotNull())
+    hashed = df.withColumn("__hash", F.xxhash64(text))
+    gone = by_row(keyed.filter("not first")).distinct()
+    repeated = by_row(keyed.filter("first")).groupBy("__key", "__found").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    hashed = hashed.join(gone, same(gone), "left_anti")
     if repeated.isEmpty():
-        return kept
-    first = kept.join(repeated, kept[key] == repeated["__key"], "left_semi")
-    rest = kept.join(repeated, kept[key] == repeated["__key"], "left_anti")
-    return rest.unionByName(first.withColumn("__hash", F.xxhash64(text)).dropDuplicates([key, "__hash"]).drop("__hash"))
+        return hashed.drop("__hash")
+    first = hashed.join(repeated, same(repeated), "left_semi")
+    rest = hashed.join(repeated, same(repeated), "left_anti")
+    return rest.unionByName(first.dropDuplicates([key, "__hash"])).drop("__hash")
 
 
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -88,3 +88,22 @@ def test_keep_one_and_empty(spark, frame, odd):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([x for k, x in enumerate(odd) if k not in (5, 6)], key=str)
     assert kept.columns == docs.columns
     assert minhash.near_duplicates(docs.limit(0)).isEmpty()
+
+
+def test_keep_one_goes_by_row(spark, frame, prose):
+    """Repeated keys with different texts, against brute force over rows."""
+
+    def near(seed, c):
+        words = prose(80, seed).split()
+        words[c] = f"edit{c}"
+        return " ".join(words)
+
+    rows = [(3, near(1, 0)), (7, near(1, 40)), (7, prose(80, 2)), (7, near(3, 0)), (9, near(3, 40)), (9, prose(80, 4)), (9, prose(80, 4))]
+    rows += [(12, near(5, k)) for k in (0, 30, 60)] + [(5, near(6, 0)), (8, near(6, 40)), (8, near(7, 0)), (8, near(7, 40)), (8, ""), (8, " ")]
+    groups = [rows[0:2], rows[2:3], rows[3:5], rows[5:7], rows[7:10], rows[10:12], rows[12:14], rows[14:15], rows[15:16]]
+    hashes = dict(spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect())
+    expected = sorted(min(g, key=lambda r: (r[0], hashes[r[1]])) for g in groups)
+    docs = frame(rows)
+    kept = minhash.keep_one(docs, minhash.near_duplicates(docs, width=5))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == expected
+    assert kept.columns == docs.columns
