@@ -10,27 +10,25 @@ neither dictionary.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutyframe.llm.common import table
+from dutyframe.llm.common import drop_written, table, written
 from dutyframe.llm.language_id import held_out
 
 #: Words of a window, and of one step to the next.
 WINDOW, STEP = 8, 7
-#: About so many labelled documents of each kind are fitted on, with at most so many windows of each.
-TOXIC_ROWS, ORDINARY_ROWS, WINDOWS_PER_ROW = 2400, 4800, 80
+#: About so many labelled documents of each kind are fitted on, with all windows of each.
+TOXIC_ROWS, ORDINARY_ROWS = 2400, 5000
 BASE_BYTES, TOXIC_BYTES = 250_000, 4096
 #: A word is peculiar to toxic text if it stands between so many different pairs of neighbours there,
 #: at a rate of so many times that of ordinary text.
-LEAST_CONTEXTS, LEAST_RATIO = 4, 14.0
+LEAST_CONTEXTS, LEAST_RATIO = 4, 8.0
 #: Lengths in bytes of the beginnings of words that are looked at besides whole words.
 BEGINNINGS = (7, 6, 5)
 GAINS = (2, 3, 4, 5, 6)
@@ -130,56 +128,51 @@ def _feature_rows(parts, name: str):
     return run
 
 
-def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(windows(text), pa.binary())], ["w"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of each window, with its neighbours there (none at the window's ends)."""
     for batch in batches:
-        kinds, some = [], []
         for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = windows(text)
-            for k in np.unique(np.linspace(0, len(found) - 1, min(len(found), WINDOWS_PER_ROW)).astype(int)) if found else ():  # spread over the whole text
-                kinds.append(kind)
-                some.append(found[k])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(some, pa.binary())], ["toxic", "w"])
+            before, word, after = [], [], []
+            for w in windows(text):
+                words = w.split()
+                before += [b"", *words[:-1]]
+                word += words
+                after += [*words[1:], b""]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(word), pa.int32()), *(pa.array(x, pa.binary()) for x in (before, word, after))], ["toxic", "before", "word", "after"])
 
 
-def units(word: bytes) -> list[bytes]:
+def units(word: Column) -> Column:
     """The word between spaces, and its beginnings after a space."""
-    return [b" " + word + b" ", *(b" " + word[:n] for n in BEGINNINGS if len(word) > n)]
+    space = F.lit(b" ")
+    beginnings = [F.when(F.octet_length(word) > n, F.concat(space, F.substring(word, 1, n))) for n in BEGINNINGS]
+    return F.array_compact(F.array(F.concat(space, word, space), *beginnings))
 
 
-def peculiar_units(toxic: list[bytes], ordinary: list[bytes]) -> set[int]:
-    """Hashes of words, and beginnings of words, with many different neighbours in toxic windows and few in ordinary ones.
+def peculiar_units(sample: DataFrame) -> list[tuple[bytes, int]]:
+    """Words, and beginnings of words, with many different neighbours in toxic texts and few in ordinary ones, and how often they stand in toxic ones.
 
-    Counting pairs of neighbours instead of occurrences keeps out words that only copies repeat.
-    Only units that may still be peculiar are followed through the ordinary windows.
+    sample: columns toxic and t. Counting pairs of neighbours instead of occurrences keeps out
+    words that only copies repeat. Everything is counted before the peculiar units alone are collected.
     """
-
-    def contexts(some: list[bytes]) -> Iterator[tuple[bytes, int]]:
-        for w in some:
-            words = [b"", *w.split(), b""]
-            for k in range(1, len(words) - 1):
-                yield words[k], hash((words[k - 1], words[k + 1]))
-
-    unit_hashes, pair_hashes, there = array("q"), array("q"), 0
-    for word, context in contexts(toxic):
-        there += 1
-        for unit in units(word):
-            h = hash(unit)
-            unit_hashes.append(h)
-            pair_hashes.append(hash((h, context)))
-    _, first = np.unique(np.frombuffer(pair_hashes, np.int64), return_index=True)
-    found, counts = np.unique(np.frombuffer(unit_hashes, np.int64)[first], return_counts=True)
-    here = sum(len(w.split()) for w in ordinary)
-    most = {int(h): n / max(1, there) * max(1, here) / LEAST_RATIO - 0.5 for h, n in zip(found, counts, strict=True) if n >= LEAST_CONTEXTS}
-    seen: dict[int, set[int]] = {}
-    for word, context in contexts(ordinary):
-        for unit in units(word):
-            h = hash(unit)
-            if h in most:
-                own = seen.setdefault(h, set())
-                own.add(context)
-                if len(own) >= most[h]:
-                    del most[h], seen[h]
-    return {h for h, n in most.items() if n > 0}
+    words = sample.select("toxic", "t").mapInArrow(_contexts, "toxic int, before binary, word binary, after binary")
+    found = words.groupBy("toxic", "word", F.xxhash64("before", F.lit(0), "after").alias("context")).agg(F.count(F.lit(1)).alias("n"))
+    whole = F.substring("unit", -1, 1) == F.lit(b" ")
+    found = found.select("toxic", "context", "n", F.explode(units(F.col("word"))).alias("unit")).groupBy("unit", "toxic", "context").agg(F.sum("n").alias("n"))
+    toxic = F.col("toxic") == 1
+    counted = found.groupBy("unit").agg(F.count_if(toxic).alias("there"), F.count_if(~toxic).alias("here"), F.sum(F.when(toxic, F.col("n"))).alias("n"))
+    counted = written(counted, "units")
+    total = counted.filter(whole).agg(F.sum("there"), F.sum("here")).first()
+    there, here = (max(1, n or 0) for n in total)
+    peculiar = (F.col("there") >= LEAST_CONTEXTS) & (F.col("there") / there > LEAST_RATIO * (F.col("here") + 0.5) / here)
+    rows = counted.filter(peculiar).select("unit", "n").collect()
+    drop_written(counted)
+    return sorted((bytes(r["unit"]), r["n"]) for r in rows)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -197,6 +190,11 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mean, scale, beta[:-1], float(beta[-1])
 
 
+def _collected(texts: DataFrame) -> list[bytes]:
+    """All windows of some thousand texts, in an order of their own."""
+    return sorted(texts.mapInArrow(_all_windows, "w binary").toArrow()["w"].to_pylist())
+
+
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit dictionaries and thresholds on about TOXIC_ROWS + ORDINARY_ROWS labelled rows picked by key hash.
 
@@ -213,15 +211,14 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     picked = rows.filter(h < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])).withColumn("calibrate", F.pmod(F.xxhash64(F.lit("c"), F.col("k").cast("string")), F.lit(3)) == 0)
     # the bound above is that of the sample: some thousand short rows
     found = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(picked), "k")
-    sample = found.filter("not calibrate").select("toxic", "t").mapInArrow(_sample_windows, "toxic int, w binary").toArrow()
-    toxic, ordinary = (sorted(sample.filter(pc.equal(sample["toxic"], kind))["w"].to_pylist()) for kind in (1, 0))
-    del sample
-    if not toxic or not ordinary:
+    sample = found.filter("not calibrate")
+    toxic, ordinary = (sample.filter(F.col("toxic") == kind).select("t") for kind in (1, 0))
+    ordinary = _collected(ordinary)
+    if not ordinary or toxic.mapInArrow(_all_windows, "w binary").isEmpty():
         width = 2 + 2 * len(GAINS)
         return Model(b"", b"", np.zeros(width), np.ones(width), np.zeros(width), -30.0)
-    peculiar = peculiar_units(toxic, ordinary)
     rng = np.random.default_rng(7)
-    own = [unit for window in toxic for w in window.split() for unit in units(w) if hash(unit) in peculiar] or toxic
+    own = [unit for unit, n in peculiar_units(sample) for _ in range(n)] or _collected(toxic)
     own = [own[k] for k in rng.permutation(len(own))]
     own = [b"".join(own[k : k + 8]) for k in range(0, len(own), 8)]
     plain = [ordinary[k] for k in rng.permutation(len(ordinary))]

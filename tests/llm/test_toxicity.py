@@ -49,3 +49,18 @@ def test_nothing_to_learn(data, frame, odd):
     for some in (labels.limit(0), labels.filter("toxic = 0")):
         model = toxicity.train(docs, some)
         assert {r["predicted"] for r in toxicity.score(frame(odd), model).collect()} == {0}
+
+
+def test_every_window_of_long_texts_teaches(spark, prose):
+    """Insults that stand in few windows of long texts are all counted."""
+    rows = []
+    for k in range(6):
+        words = prose(20_000, k).split()
+        for c in range(6):
+            words[k * 7 + c * 3000 + 1500] = INSULTS[0]
+        rows.append((1, " ".join(words)))
+    rows += [(0, prose(20_000, k)) for k in range(100, 106)]
+    found = dict(toxicity.peculiar_units(spark.createDataFrame(rows, "toxic int, t string")))
+    places = sum(w.split().count(INSULTS[0].encode()) for kind, text in rows if kind for w in toxicity.windows(text))
+    assert found[b" gronkhead "] == found[b" gronkhe"] == places >= 36
+    assert all(unit in f" {INSULTS[0]} ".encode() for unit in found)
