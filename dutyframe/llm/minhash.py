@@ -32,9 +32,9 @@ HASHES = BANDS * ROWS
 BITS = 8
 PER_LONG = 64 // BITS
 THRESHOLD_PERCENT = 80
-#: Estimates below this aren't confirmed: 0.8 less four standard deviations (0.032) of the estimate.
-ESTIMATE_CUT = 0.672
-#: Up to so many document keys are broadcast to read their texts; beyond it the texts are joined by shuffle.
+#: Estimates below this aren't confirmed: 0.8 less six standard deviations (0.032) of the estimate.
+ESTIMATE_CUT = 0.608
+#: Up to so many text hashes are broadcast to read their texts; beyond it the texts are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(816))
@@ -139,8 +139,8 @@ def _compared(width: int, masked: bool):
 class _Confirm:
     """Confirms candidate pairs of classes on the full shingle sets of their texts."""
 
-    def __init__(self, df: DataFrame, key: str, text: str, classes: DataFrame, width: int):
-        self.texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    def __init__(self, df: DataFrame, text: str, classes: DataFrame, width: int):
+        self.texts = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
         self.classes, self.width = classes, width
 
     def __call__(self, pairs: DataFrame, masked: bool = False) -> DataFrame:
@@ -149,15 +149,15 @@ class _Confirm:
         masked: and a bit for each shingle of u, in hash order, that says whether v has it.
         """
         needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        needed = written(needed.join(self.classes.select("id", "key"), "id"), "needed")
+        needed = written(needed.join(self.classes.select("id", "hash"), "id"), "needed")
         small = F.broadcast if needed.count() <= BROADCAST_KEYS else lambda x: x
         width = self.width
 
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a repeated key may hold other texts too
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # other texts may have an equal hash
             for batch in batches:
                 yield batch.filter(pa.array([set_id(shingle_set(t, width)) == i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
-        texts = self.texts.join(small(needed), "key").select("id", "text").mapInArrow(own, "id binary, text string").dropDuplicates(["id"])
+        texts = self.texts.join(small(needed), "hash").select("id", "text").mapInArrow(own, "id binary, text string").dropDuplicates(["id"])
         texts = written(texts, "texts")
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         compared = written(both.select("u", "v", "a", "b").mapInArrow(_compared(width, masked), "u binary, v binary, common long, total long, mask array<long>"), "compared")
@@ -208,7 +208,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         labels = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
         return members.select("id", "bucket", "meets").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    confirm = _Confirm(df, key, text, classes, width)
+    confirm = _Confirm(df, text, classes, width)
     # first round: each class with the hub of most of its buckets
     votes = members.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("u")).select("u", F.col("id").alias("v"))

@@ -107,3 +107,23 @@ def test_keep_one_goes_by_row(spark, frame, prose):
     kept = minhash.keep_one(docs, minhash.near_duplicates(docs, width=5))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == expected
     assert kept.columns == docs.columns
+
+
+def test_null_keys_link(spark, frame, prose):
+    """Texts that only null keys hold are linked, also as the bridge between two others."""
+    base = prose(200, 9).split()
+
+    def edited(*places):
+        return " ".join(f"edit{k}" if k in places else w for k, w in enumerate(base))
+
+    rows = [(1, edited(10, 30, 50, 70, 90, 110, 130)), (None, edited()), (2, edited(20, 40, 60, 80, 100, 120, 140)), (3, prose(200, 10))]
+    found = minhash.near_duplicates(frame(rows)).collect()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str)
+    assert got == brute(rows, 2) and [r[2] for r in got] == [1, 1, 3, 1]
+
+
+def test_cut_is_six_deviations():
+    chance = 1 / (1 << minhash.BITS)
+    equal = 0.8 + 0.2 * chance
+    deviation = (equal * (1 - equal) / minhash.HASHES) ** 0.5 / (1 - chance)
+    assert minhash.ESTIMATE_CUT <= 0.8 - 6 * deviation + 0.002
