@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Blocks are the lines of a text, templates are short license notices. A block holds a template if
-it has at least THRESHOLD of the template's distinct words. With the words in order of their
+Templates are short license notices, blocks the lines of a text and, as a notice may be wrapped
+anywhere, the stretches of words across line ends that are as long as the template. Lines without
+words are passed over. A block holds a template if it has at least THRESHOLD of the template's distinct words. With the words in order of their
 frequency in the whole corpus, rarest first, such a block and the template share one of the first
 |T| - a + 1 words of the template and one of the first |B| - a + 1 of the block, where a is the
 number of common words needed; the places of that word bound how many more can be shared.
@@ -66,7 +67,7 @@ def word_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def template_matches(texts: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """k, h, label, block, containment: every template that a line of a text (columns k, h, t) holds."""
+    """k, h, label, block, containment: every template that a line of a text (columns k, h, t), or a stretch of words across its end, holds."""
     sets = [sorted(set(text.split())) for _, text in templates]
     vocabulary = sorted({w for s in sets for w in s})
     counts = word_frequencies(texts, vocabulary)
@@ -76,21 +77,41 @@ def template_matches(texts: DataFrame, templates: list[tuple[str, str]], thresho
     for k, s in enumerate(sets):
         ordered = sorted(rank[w] for w in s)
         need = math.ceil(threshold * len(s) - 1e-9)
-        rows += [(token, k, at, len(s), need, ordered, templates[k][0]) for at, token in enumerate(ordered[: len(s) - need + 1])]
-    index = spark.createDataFrame(rows, "token int, template int, at int, size int, need int, tokens array<int>, label string")
+        rows += [(token, k, at, len(s), need, ordered, templates[k][0], len(templates[k][1].split())) for at, token in enumerate(ordered[: len(s) - need + 1])]
+    index = spark.createDataFrame(rows, "token int, template int, at int, size int, need int, tokens array<int>, label string, words int")
     rare = sorted({vocabulary_word for vocabulary_word, r in rank.items() if r in {row[0] for row in rows}})
-    lines = texts.filter(holds_word(F.col("t"), rare)).select("k", "h", F.posexplode(F.split("t", r"\n")).alias("block", "line"))
+    longest, least = max(row[-1] for row in rows), min(row[4] for row in rows)
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    own = F.array_sort(F.filter(F.transform(F.array_distinct(words_of(F.col("line"))), lambda w: ranks[w]), lambda r: r.isNotNull()))
-    blocks = lines.filter(holds_word(F.col("line"), rare)).select("k", "h", "block", own.alias("own"))
+
+    def line_ranks(line: Column) -> Column:
+        own = F.transform(words_of(line), lambda w: F.coalesce(ranks[w], F.lit(-1)))
+        return F.struct(F.size(own).alias("n"), own.alias("own"))
+
+    def across(at: Column) -> Column:
+        """The last words of a line and the first of those after it; each of the latter has a word, which bounds their number."""
+        last = F.get("lines", at)["own"]
+        first = F.flatten(F.transform(F.slice("lines", at + 2, longest), lambda line: F.slice(line["own"], 1, longest)))
+        return F.concat(F.slice(last, F.greatest(F.size(last) - longest + 1, F.lit(1)), longest), F.slice(first, 1, longest))
+
+    def distinct(own: Column) -> Column:
+        return F.array_sort(F.filter(F.array_distinct(own), lambda r: r >= 0))
+
+    lines = texts.filter(holds_word(F.col("t"), rare)).select("k", "h", F.filter(F.transform(F.split("t", r"\n"), line_ranks), lambda line: line["n"] > 0).alias("lines"))
+    own = F.transform("lines", lambda line: F.struct(distinct(line["own"]).alias("own"), F.lit(None).cast("array<int>").alias("stretch")))
+    ends = F.transform(F.filter(F.transform("lines", lambda _, at: at), lambda at: at < F.size("lines") - 1), lambda at: across(at))
+    wrapped = F.transform(ends, lambda x: F.struct(distinct(x).alias("own"), x.alias("stretch")))
+    blocks = lines.select("k", "h", F.posexplode(F.concat(own, wrapped)).alias("block", "b")).select("k", "h", "block", "b.own", "b.stretch").filter(F.size("own") >= least)
     # the index has a row for each template and prefix word, a fixed list
-    tokens = blocks.select("k", "h", "block", "own", F.posexplode("own").alias("place", "token"))
+    tokens = blocks.select("k", "h", "block", "stretch", "own", F.posexplode("own").alias("place", "token"))
     met = tokens.join(F.broadcast(index), "token").filter(F.size("own") >= F.col("need"))  # length
     met = met.filter(F.col("place") <= F.size("own") - F.col("need"))  # the block's own prefix
     left = F.least(F.col("size") - F.col("at"), F.size("own") - F.col("place"))
     met = met.filter(left + F.least("at", "place") >= F.col("need"))  # position: what can stand before and after
-    met = met.select("k", "h", "block", "template", "label", "own", "tokens", "size", "need").dropDuplicates(["k", "h", "block", "template"])
-    common = F.size(F.array_intersect("own", "tokens"))
+    met = met.select("k", "h", "block", "template", "label", "own", "stretch", "words", "tokens", "size", "need").dropDuplicates(["k", "h", "block", "template"])
+    starts = F.sequence(F.lit(1), F.greatest(F.size("stretch") - F.col("words") + 1, F.lit(1)))
+    windows = F.transform(starts, lambda at: F.size(F.array_intersect(F.slice("stretch", at, F.col("words")), "tokens")))
+    met = met.withColumn("common", F.when(F.col("stretch").isNull(), F.size(F.array_intersect("own", "tokens"))).otherwise(F.array_max(windows)))
+    common = F.col("common")
     return met.filter(common >= F.col("need")).select("k", "h", "block", "label", (common / F.col("size")).alias("containment"))
 
 

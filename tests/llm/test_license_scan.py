@@ -53,3 +53,35 @@ def test_against_all_lines(spark, frame, prose, odd):
 
 def test_empty(frame, odd):
     assert ls.scan(frame(odd).limit(0)).isEmpty()
+
+
+def brute_wrapped(text):
+    """Labels and best containment over all lines, and over all stretches of as many words as the template has."""
+    more, best = set(), 0.0
+    every = words(text)
+    for label, body in ls.TEMPLATES:
+        t, n = set(body.split()), len(body.split())
+        for own in [words(line) for line in text.split("\n")] + [every[k : k + n] for k in range(max(1, len(every) - n + 1))]:
+            if len(set(own) & t) >= math.ceil(ls.THRESHOLD * len(t) - 1e-9):
+                more.add(label)
+                best = max(best, len(set(own) & t) / len(t))
+    return ",".join(sorted(more)), round(best, 9)
+
+
+def test_wrapped_notices(spark, frame, prose):
+    mit, gpl, bsd = (ls.TEMPLATES[k][1] for k in (1, 4, 5))
+    rows = [
+        (1, mit.replace("a copy", "a copy\n")),
+        (2, bsd.replace("or without", "or without\n # ")),
+        (3, prose(300, 1) + " " + mit.replace("a copy", "a copy\n") + " " + prose(300, 2)),
+        (4, gpl.replace(" ", "\n")),
+        (5, gpl.replace(" ", "\n\n * ")),
+        (6, "\n".join(bsd.split()[:6]) + "\n" + prose(40, 3) + "\n" + "\n".join(bsd.split()[6:])),
+        (7, "Released under\nthe MIT"),
+        (9, prose(30, 5) + "\n" + " ".join(bsd.split()[:9]) + "\n" + " ".join(bsd.split()[9:]) + "\n" + prose(30, 6)),
+        (10, "the mit\n" + prose(30, 7) + " license\nunder released"),
+        (8, "licensed under cc\n" + prose(8, 4) + "\nby nc 4 0"),
+    ]
+    found = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in ls.scan(frame(rows)).collect() if not r["n_base"]}
+    assert found == {k: brute_wrapped(t) for k, t in rows if k in found}
+    assert {k: found[k][0] for k in (1, 2, 3, 6, 7, 8)} == {1: "mit", 2: "bsd", 3: "mit", 6: "", 7: "mit", 8: ""}
