@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; in local mode alone an own one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="dutyframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,6 +49,43 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables written on the way to one result, to be deleted once no later plan reads them."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        self.made.append(written(df, what))
+        return self.made[-1]
+
+    def clear(self) -> None:
+        for df in self.made:
+            drop_written(df)
+        self.made = []
+
+
+#: A key with more than 1 / HOT_SHARE of a table's rows (and more than HOT_ROWS) is hot; so there are at most HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def hot_limit(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_SHARE)
+
+
+def join_keys(big: DataFrame, keyed: DataFrame, on: str, count: str, rows: int, how: str = "inner") -> DataFrame:
+    """big joined with keyed, which has one row for each value of `on` and in `count` its number of rows in big.
+
+    rows: the rows of big. Hot keys, HOT_SHARE at most, are broadcast, so that their rows of big stay
+    where they are; all other keys are joined as usual. how: inner or left_semi.
+    """
+    hot = F.col(count) > hot_limit(rows)
+    few, many = keyed.filter(hot), keyed.filter(~hot)
+    kept = big.join(F.broadcast(few.drop(count)), on, how)
+    rest = big.join(F.broadcast(few.select(on)), on, "left_anti").join(many.drop(count), on, how)
+    return kept.unionByName(rest)
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyframe.llm.common import BYTE_VALUE, _powers, drop_written, mix64, table, text_or_empty, written
+from dutyframe.llm.common import BYTE_VALUE, Scratch, _powers, drop_written, join_keys, mix64, table, text_or_empty, written
 
 LENGTH = 200
 GRAM = 64
@@ -313,15 +313,15 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, s0, s1, window): a row for each window, for grams too frequent for one group."""
+    """(g, key, s0, s1, window): a row for each window, for grams too frequent for one group."""
     for batch in batches:
         rows = list(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True))
         for low in range(0, len(rows), 2000):
             some = rows[low : low + 2000]
             keys, row = _window_keys(some)
             first = np.cumsum([r[4] for r in some]) - [r[4] for r in some]
-            names = np.array([r[:2] for r in some], np.int64)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array((np.arange(len(row)) - first[row]).astype(np.int64))], ["key", "s0", "s1", "window"])
+            names = np.array([r[:3] for r in some], np.int64)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 2]), pa.array(keys.view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array((np.arange(len(row)) - first[row]).astype(np.int64))], ["g", "key", "s0", "s1", "window"])
 
 
 def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,37 +364,43 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """t0, t1, spans (array of start, end, start, end, ...): repeated bytes of each distinct text that has some.
 
     texts: t0, t1 (a text's hashes) and t. Whole texts that occur twice aren't
-    told by this alone, as equal texts are one here.
+    told by this alone, as equal texts are one here. The result is a table in the shared folder.
     """
-    found = written(texts.mapInArrow(_anchor_rows, "g long, t0 long, t1 long, at long"), "anchors")
-    ends = found.groupBy("g").agg(*[f(c).alias(f"{n}_{c}") for c in ("t0", "at") for n, f in (("min", F.min), ("max", F.max))])
-    again = ends.filter("min_t0 != max_t0 or min_at != max_at").select("g")
-    kept = found.join(again, "g", "left_semi").groupBy("t0", "t1").agg(F.collect_set(F.struct("at", "g")).alias("kept"))
+    scratch = Scratch()
+    found = scratch.written(texts.mapInArrow(_anchor_rows, "g long, t0 long, t1 long, at long"), "anchors")
+    ends = found.groupBy("g").agg(F.count(F.lit(1)).alias("times"), *[f(c).alias(f"{n}_{c}") for c in ("t0", "at") for n, f in (("min", F.min), ("max", F.max))])
+    again = ends.filter("min_t0 != max_t0 or min_at != max_at").select("g", "times")
+    again = join_keys(found, again, "g", "times", found.count(), "left_semi")
+    kept = again.groupBy("t0", "t1").agg(F.collect_set(F.struct("at", "g")).alias("kept"))
     one = Window.partitionBy("t0", "t1").orderBy("t0")
     whole = texts.withColumn("copy", F.row_number().over(one)).filter("copy = 1").select("t0", "t1", "t")
     rows = whole.join(kept, ["t0", "t1"]).select("t0", "t1", "t", "kept").mapInArrow(_suffix_rows, "t0 long, t1 long, start long, windows long, offset long, g long, suffix binary")
-    rows = written(rows.withColumns({"s0": F.xxhash64("suffix"), "s1": F.xxhash64(F.lit("s"), "suffix")}), "suffixes")
+    rows = scratch.written(rows.withColumns({"s0": F.xxhash64("suffix"), "s1": F.xxhash64(F.lit("s"), "suffix")}), "suffixes")
     drop_written(found)
-    distinct = written(rows.groupBy("s0", "s1").agg(F.count(F.lit(1)).alias("places"), F.first("g").alias("g"), F.first("offset").alias("offset"), F.first("windows").alias("windows"), F.first("suffix").alias("suffix")), "distinct")
+    distinct = scratch.written(rows.groupBy("s0", "s1").agg(F.count(F.lit(1)).alias("places"), F.first("g").alias("g"), F.first("offset").alias("offset"), F.first("windows").alias("windows"), F.first("suffix").alias("suffix")), "distinct")
     best = longest_shared(distinct.select("s0", "s1", "suffix"))
     size = F.col("windows") + (LENGTH - 1)
     done = F.when(F.col("places") > 1, size).otherwise(F.coalesce("best", F.lit(0)))
-    sorted_out = written(distinct.drop("suffix").join(best, ["s0", "s1"], "left").withColumn("done", done), "sorted")
+    sorted_out = scratch.written(distinct.drop("suffix").join(best, ["s0", "s1"], "left").withColumn("done", done), "sorted")
     # windows that the sort left open, among all suffixes of the same gram
-    open_grams = sorted_out.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("done") < size).alias("open")).filter("open and n > 1").select("g", "n")
-    open_rows = written(distinct.join(open_grams, "g").select("s0", "s1", "g", "offset", "windows", "suffix", "n"), "open")
+    open_grams = sorted_out.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("done") < size).alias("open")).filter("open and n > 1").select("g", "n", F.col("n").alias("times"))
+    open_rows = join_keys(distinct, open_grams, "g", "times", distinct.count())
+    open_rows = scratch.written(open_rows.select("s0", "s1", "g", "offset", "windows", "suffix", "n"), "open")
     columns = ["s0", "s1", "g", "offset", "windows", "suffix"]
     small = open_rows.filter(F.col("n") <= MERGE_ROWS).select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(_repeated_windows, "s0 long, s1 long, spans array<long>")
-    single = open_rows.filter(F.col("n") > MERGE_ROWS).select(*columns).mapInArrow(_single_windows, "key long, s0 long, s1 long, window long")
-    twice = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    large = single.join(twice, "key", "left_semi").groupBy("s0", "s1").agg(F.flatten(F.collect_set(F.array("window", F.col("window") + LENGTH))).alias("spans"))
+    single = open_rows.filter(F.col("n") > MERGE_ROWS).select(*columns).mapInArrow(_single_windows, "g long, key long, s0 long, s1 long, window long")
+    single = scratch.written(single, "windows")
+    twice = single.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "key")
+    large = single.join(twice, ["g", "key"], "left_semi").groupBy("s0", "s1").agg(F.flatten(F.collect_set(F.array("window", F.col("window") + LENGTH))).alias("spans"))
     settled = small.unionByName(large)
     straight = sorted_out.filter(F.col("done") >= LENGTH).select("s0", "s1", F.array(F.lit(0).cast("long"), F.col("done").cast("long")).alias("spans"))
     covered = straight.unionByName(settled).groupBy("s0", "s1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     placed = rows.select("t0", "t1", "start", "s0", "s1").join(covered, ["s0", "s1"])
     shifted = placed.select("t0", "t1", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
     together = shifted.groupBy("t0", "t1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return together.mapInArrow(_merged_spans, "t0 long, t1 long, spans array<long>")
+    spans = written(together.mapInArrow(_merged_spans, "t0 long, t1 long, spans array<long>"), "spans")
+    scratch.clear()
+    return spans
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -407,9 +413,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     value = text_or_empty(F.col(text))
     rows = df.select(F.col(key).alias("key"), value.alias("t"), F.xxhash64(value).alias("t0"), F.xxhash64(F.lit("t"), value).alias("t1"))
-    spans = written(repeated_spans(rows.select("t0", "t1", "t")), "spans")
+    spans = repeated_spans(rows.select("t0", "t1", "t"))
     copied = rows.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t0", "t1", F.lit(True).alias("copied"))
     marks = written(spans.join(copied, ["t0", "t1"], "full").select("t0", "t1", "copied", F.when(F.col("copied").isNull(), F.col("spans")).alias("spans")), "marks")
+    drop_written(spans)
     volume = marks.agg(F.sum(24 + 8 * F.coalesce(F.size("spans"), F.lit(0)))).first()[0] or 0
     small = F.broadcast if volume <= BROADCAST_BYTES else lambda x: x
     kind = rows.schema["key"].dataType.simpleString()
