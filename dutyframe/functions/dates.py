@@ -112,8 +112,13 @@ def in_window(day: Column, a: Column, b: Column) -> Column:
     return day.isNull() | day.between(F.least(a, b), F.greatest(a, b))
 
 
+def athens_day(utc: Column) -> Column:
+    """The day it is in Athens at an instant, given as civil time in UTC."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("Europe/Athens"), utc))
+
+
 def athens_today() -> Column:
-    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("Europe/Athens"), F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")))
+    return athens_day(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz"))
 
 
 def rolling_window(today: Column) -> Column:

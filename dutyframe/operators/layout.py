@@ -49,6 +49,14 @@ def anchored_groups(values: Column, fits) -> Column:
     return F.aggregate(values, empty, step)
 
 
+def end_x(x: Column, width: Column) -> Column:
+    return x + width
+
+
+def centre_x(x: Column, width: Column) -> Column:
+    return x + width / 2
+
+
 def words_of_glyphs(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line, word, text, x, y, width, font_size from glyphs.
 
@@ -80,7 +88,7 @@ def line_texts(words: DataFrame, keys: list[str]) -> DataFrame:
 def header_cells(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys, cell, label, start, end from the words of header rows."""
     far = lambda before: F.col("x") - before("__end") > F.greatest(F.col("font_size") * CELL_GAP_FONTS, F.lit(CELL_GAP_LEAST))
-    cells = islands(words.withColumn("__end", F.col("x") + F.col("width")), keys, ["x"], far, "cell")
+    cells = islands(words.withColumn("__end", end_x(F.col("x"), F.col("width"))), keys, ["x"], far, "cell")
     return cells.groupBy(*keys, "cell").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda w: w["text"]), " ").alias("label"),
         F.min("x").alias("start"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dutyframe.functions.text import matching_key
 
@@ -38,16 +39,23 @@ def with_new_ids(matched: DataFrame, base: int) -> DataFrame:
     identity = F.when(F.col("identity") == "name", F.concat_ws("\x1f", F.lit("n"), "kind", "name_folded")).otherwise(F.concat_ws("\x1f", F.lit("k"), "kind", "source_id", "local_id"))
     rows = matched.withColumn("__who", identity)
     fresh = rows.filter("entity_id is null").groupBy("__who").agg(F.count(F.lit(1)).alias("__n"))
-    ranged = fresh.select("__who").sort("__who")
-    numbered = ranged.select("__who", (F.monotonically_increasing_id() % (1 << 33)).alias("__at"), F.shiftrightunsigned(F.monotonically_increasing_id(), 33).alias("__part"))
-    from pyspark.sql.window import Window
+    ranged = fresh.select("__who").sort("__who").withColumn("__row", F.monotonically_increasing_id())
+    ids = dense_ids(ranged, "__row", "__new", base)
+    joined = rows.join(ids, "__who", "left")
+    return joined.withColumn("is_new", F.col("entity_id").isNull()).withColumn("entity_id", F.coalesce("entity_id", "__new")).drop("__who", "__new")
+
+
+def dense_ids(rows: DataFrame, running: str, name: str, base: int) -> DataFrame:
+    """rows with name instead of running, a monotonically increasing id: base + 1, base + 2, ... in its order.
 
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    The sizes of the partitions that such an id tells give each its start; no task sees more than its own rows.
+    """
+    part = F.shiftrightunsigned(running, 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    ids = numbered.join(F.broadcast(starts), "__part").select("__who", (F.lit(base) + 1 + F.col("__start") + F.col("__at")).alias("__new"))
-    joined = rows.join(ids, "__who", "left")
-    return joined.withColumn("is_new", F.col("entity_id").isNull()).withColumn("entity_id", F.coalesce("entity_id", "__new")).drop("__who", "__new")
+    placed = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.withColumn(name, F.lit(base) + 1 + F.col("__start") + F.col(running) % (1 << 33)).drop(running, "__part", "__start")
 
 
 def upsert(entities: DataFrame, batch: DataFrame, fill: list[str], order: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dutyframe.functions.geo import bounding_box, distance_km
 from dutyframe.functions.text import matching_key
+from dutyframe.operators.schemas import KINDS
 
 MAX_ROWS, DEFAULT_ROWS = 500, 100
 MIN_RADIUS_KM, MAX_RADIUS_KM, DEFAULT_RADIUS_KM = 0.1, 50.0, 3.0
@@ -57,6 +58,25 @@ def on_call(
     return joined.orderBy(*order).limit(clamp_rows(limit))
 
 
+def with_attribution(rows: DataFrame) -> DataFrame:
+    """rows (source_id) with the attribution that their source asks for; a row per known source is broadcast."""
+    known = sources_table(rows.sparkSession).select(F.col("id").alias("source_id"), "attribution")
+    return rows.join(F.broadcast(known), "source_id", "left")
+
+
+def read_kind(text: str) -> str:
+    """A kind of entity, as an argument names it."""
+    if text not in KINDS:
+        raise ValueError(f"no kind {text!r}; known: {', '.join(KINDS)}")
+    return text
+
+
+def response(rows: DataFrame, column: str = "payload") -> DataFrame:
+    """One row: the number of rows and all of them as nested JSON, as the reading queries answer (they stop at MAX_ROWS)."""
+    lines = nested_payload(rows.limit(MAX_ROWS), column)
+    return lines.agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("json")).alias("results"))
+
+
 def search_entities(entities: DataFrame, kind: str | None = None, search: str | None = None, limit: int = DEFAULT_ROWS) -> DataFrame:
     """Entities by name; `search` is folded like names are and matched anywhere in name_folded."""
     if kind is not None:

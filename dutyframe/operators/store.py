@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dutyframe.operators import resolve, schemas, supersede
 
@@ -123,9 +122,11 @@ class RecordStore:
         have = known.select(F.col("id").alias("snapshot_id"), *IDENTITY)
         top = known.agg(F.max("id")).first()[0] or 0
         joined = fresh.join(have, IDENTITY, "left")
-        # a batch is a refresh window of documents; ids are dense in the order of date and revision, undated first
-        order = Window.orderBy(F.col("published_date").asc_nulls_first(), "revision", *IDENTITY)
-        unseen = joined.filter("snapshot_id is null").withColumn("snapshot_id", F.lit(top) + F.row_number().over(order))
+        # ids are dense in the order of date and revision, undated first
+        path = f"{self.root}/_unseen"
+        unseen = joined.filter("snapshot_id is null").drop("snapshot_id").sort(F.col("published_date").asc_nulls_first(), "revision", *IDENTITY)
+        unseen.withColumn("__row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+        unseen = resolve.dense_ids(self.spark.read.parquet(path), "__row", "snapshot_id", top)
         self.put("snapshot", unseen.select(F.col("snapshot_id").alias("id"), *IDENTITY, now.alias("fetched_at"), "published_date", "revision", "label"), batch)
         ids = self.read("snapshot").select(F.col("id").alias("snapshot_id"), *IDENTITY)
         records, issues = parse(fresh.join(ids, IDENTITY))

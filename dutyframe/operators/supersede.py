@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def latest(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
-    """One row per value of keys: the one with the largest values of newest."""
-    order = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in newest])
-    return df.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    """One row per value of keys: the one with the largest values of newest (nulls are the smallest).
+
+    It is found by aggregation, before the shuffle as far as possible.
+    """
+    others = [c for c in df.columns if c not in keys]
+    top = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*newest)).alias("__top"))
+    return top.select(*[F.col(c) if c in keys else F.col("__top")[c].alias(c) for c in df.columns])
 
 
 def current_snapshots(snapshots: DataFrame, source: str = "source_id", day: str = "published_date", revision: str = "revision", key: str = "id") -> DataFrame:

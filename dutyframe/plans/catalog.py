@@ -8,16 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutyframe.functions import dates, geo, text, times
-from dutyframe.operators import layout, locate, names, resolve, serve, store, supersede
-from dutyframe.plans import golden
-from dutyframe.plans.roles import parts, places, properties, snapshots, table
+from dutyframe.functions import dates, geo, text
+from dutyframe.operators import layout, locate, resolve, serve, similar, store, supersede
+from dutyframe.plans.roles import parts, places, properties, scratch, snapshots, table
 from dutyframe.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-DAY = datetime.date(1995, 6, 17)
+DAY = datetime.date(1995, 7, 1)
 CENTRE = (37.9755, 23.7348)
 
 _SNAPSHOTS = """(SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS source_id, 'order/' || o_orderkey AS url, CAST(year(o_orderdate) AS INT) AS published_year,
@@ -205,9 +204,14 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand AS qid, array_to_string(list_distinct_ordered, ';') AS names, lat FROM (
   SELECT p_brand, list_sort(list(DISTINCT p_name)) AS list_distinct_ordered, arg_min(p_retailprice, p_partkey) AS lat FROM part GROUP BY p_brand)""")
 def fold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per brand: its distinct names, and the price of its first part."""
-    p = table(spark, sf_dir, "part")
-    return p.groupBy(F.col("p_brand").alias("qid")).agg(F.array_join(F.array_sort(F.collect_set("p_name")), ";").alias("names"), F.min_by("p_retailprice", "p_partkey").alias("lat"))
+    """Responses with the parts of one brand each, folded to a candidate: its distinct names, and a point made of its first part's price."""
+    value = lambda c: F.struct(c.alias("value"))
+    point = F.concat(F.lit("Point(0 "), (F.col("p_retailprice") / 100).cast("string"), F.lit(")"))
+    binding = F.struct("p_partkey", value(F.col("p_brand")).alias("item"), value(F.col("p_name")).alias("label"), value(point).alias("coord"))
+    bindings = F.array_sort(F.collect_list(binding)).alias("bindings")
+    responses = table(spark, sf_dir, "part").groupBy("p_brand").agg(bindings).select(F.to_json(F.struct(F.struct("bindings").alias("results"))).alias("json"))
+    found = locate.candidates(responses)
+    return found.select("qid", F.array_join(F.array_sort("names"), ";").alias("names"), F.round(F.col("lat") * 100, 2).alias("lat"))
 
 
 @query("""
@@ -225,18 +229,8 @@ def match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS distance FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n AND levenshtein(a.n, b.n) <= 2")
 def near_duplicates_by_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names within two edits. Names that near share a third of one of them, which is what they meet by."""
-    distinct = table(spark, sf_dir, "part").select(F.col("p_name").alias("n")).distinct()
-    length, third = F.length("n"), F.ceil(F.length("n") / 3).cast("int")
-    # two edits leave one of three parts of the shorter or equal name whole, moved by at most two
-    own = distinct.select("n", F.posexplode(F.array(*[F.substring(F.col("n"), 1 + third * k, third) for k in range(3)])).alias("k", "part"), (1 + third * F.lit(0)).alias("z"), third.alias("t"), length.alias("len"))
-    a = own.select(F.col("n").alias("a"), (1 + F.col("t") * F.col("k")).alias("at"), "part", F.col("len").alias("len_a")).filter("part != ''")
-    sizes = a.select(F.length("part").alias("s")).distinct()
-    spots = distinct.crossJoin(F.broadcast(sizes)).select(F.col("n").alias("b"), "s", F.explode(F.sequence(F.lit(1), F.greatest(F.length("n") - F.col("s") + 1, F.lit(1)))).alias("bt"))
-    b = spots.select("b", "bt", F.expr("substring(b, bt, s)").alias("part"))
-    met = a.join(b, "part").filter((F.abs(F.col("at") - F.col("bt")) <= 2) & (F.col("a") != F.col("b")))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.withColumn("distance", text.edit_distance_within(F.col("a"), F.col("b"), 2).cast("long")).filter("distance is not null")
+    """Distinct names within two edits."""
+    return similar.within_two_edits(table(spark, sf_dir, "part"), "p_name")
 
 
 @query("""
@@ -250,9 +244,10 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(json_object('type', event_type, 'inner', props::JSON), '$.inner.k') AS nested FROM events")
 def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tagged payload: nested, written, and read back."""
-    e = table(spark, sf_dir, "events")
-    whole = F.to_json(F.struct(F.col("event_type").alias("type"), F.from_json("props", "k long").alias("inner")))
-    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.get_json_object(whole, "$.inner.k").alias("nested"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), F.col("props").alias("payload"))
+    json = serve.nested_payload(e)
+    field = lambda path: F.get_json_object("json", path)
+    return json.select(field("$.event_id").cast("long").alias("event_id"), field("$.payload.k").cast("long").alias("k"), field("$.payload.k").alias("nested"))
 
 
 @query("""
@@ -364,10 +359,11 @@ def counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT conv_id, string_agg(role, ' ' ORDER BY turn, role, text) AS roles, CAST(sum(length(text)) AS BIGINT) AS letters, string_agg(DISTINCT role, ',' ORDER BY role) AS distinct_roles FROM conversations GROUP BY conv_id""")
 def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered concatenation within a group, as words make lines."""
+    """Turns of a conversation as the words of a line, from left to right."""
     c = table(spark, sf_dir, "conversations")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: t["role"])
-    return c.groupBy("conv_id").agg(F.array_join(ordered, " ").alias("roles"), F.sum(F.length("text")).alias("letters"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("distinct_roles"))
+    words = c.select("conv_id", F.lit(1).alias("line"), F.col("turn").alias("x"), F.lit(0.0).alias("y"), F.col("role").alias("text"))
+    told = c.groupBy("conv_id").agg(F.sum(F.length("text")).alias("letters"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("distinct_roles"))
+    return layout.line_texts(words, ["conv_id"]).select("conv_id", F.col("text").alias("roles")).join(told, "conv_id")
 
 
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '('))) AS INT) AS n_remarks FROM documents")
@@ -376,33 +372,6 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("lines").alias("n_lines"), F.size(F.filter("lines", lambda x: x.startswith("("))).alias("n_remarks"))
 
 
-@query()
-def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The layout pipeline over the synthetic rota page."""
-    return layout.reconstruct(golden.rota_words(spark), ["page"], names.is_table_header)
-
-
-@query()
-def golden_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.rows(spark, golden.DATES).select("input", dates.parse_date(F.col("input")).alias("date"))
-
-
-@query()
-def golden_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.rows(spark, golden.TIMES).select("input", F.explode_outer(times.parse_ranges(F.col("input"))).alias("w")).select("input", "w.*")
-
-
-@query()
-def golden_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.rows(spark, golden.REVISIONS).select("input", dates.parse_revision(F.col("input")).alias("revision"))
-
-
-@query()
-def golden_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("input")
-    return golden.rows(spark, golden.FOLDS).select("input", text.strip_accents_upper(c).alias("upper"), text.fold(c).alias("fold"), text.matching_key(c).alias("key"))
-
-
 @query(f"SELECT id, attribution FROM (VALUES ('fsa-attica-pharmacies', 'Pharmacists'' Association of Attica'), ('moh-attica-hospitals', 'Ministry of Health')) v(id, attribution)")
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.sources_table(spark).select("id", "attribution")
@@ -416,8 +385,12 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     top = latest_revisions(stream.withColumn("revision", F.floor("value").cast("long")), ["user_id", "event_type"], "revision", "event_id")
-    name = f"stream_latest_{abs(hash(sf_dir))}"
-    top.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    place = scratch(spark, "latest")
+    last = []
 
+    def keep(rows: DataFrame, batch: int) -> None:  # the whole state of the batch, as a table in the shared folder
+        rows.write.mode("overwrite").parquet(f"{place}/{batch}")
+        last.append(batch)
 
+    top.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(top.schema).parquet(f"{place}/{last[-1]}")
