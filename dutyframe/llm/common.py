@@ -86,6 +86,25 @@ def join_keys(big: DataFrame, keyed: DataFrame, on: str, count: str, rows: int,
     return kept.unionByName(rest)
 
 
+def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], spread: str, counts: DataFrame | None = None) -> DataFrame:
+    """big (a written table) joined with keyed, which has one row for each value of `on`.
+
+    Rows of a hot key are dealt over several tasks by the hash of `spread`, each of which gets a copy
+    of the key's row of keyed: 2 x HOT_SHARE copies at most in all, whatever the rows of big.
+    counts: `on` and n, the rows of big for each value, where they are known.
+    """
+    rows = big.count()
+    if rows <= HOT_ROWS:
+        return big.join(keyed, on)
+    limit = hot_limit(rows)
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = big.join(F.broadcast(hot), on, "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    right = keyed.join(F.broadcast(hot), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("__parts").join(right.drop("__parts"), [*on, "__part"]).drop("__part")
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

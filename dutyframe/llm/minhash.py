@@ -8,7 +8,7 @@ that pass are confirmed on their full shingle sets, so every link is exact.
 Texts with equal shingle sets are one class from the start. In a bucket of a band, classes are
 first compared with the most central class of the bucket only, and then one class of each component;
 classes of one component need no more comparisons, and what is left in other components is compared
-in full in the last round. So a
+in full in the last round, which deals a large bucket over many tasks. So a
 large group of near copies costs about its size, and no link between components is lost.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutyframe.llm.common import ASCII_LOWER, ASCII_SPACE, drop_written, mix64, shingle_hashes, table, word_hashes, written
+from dutyframe.llm.common import ASCII_LOWER, ASCII_SPACE, Scratch, drop_written, join_keys, mix64, salted_join, shingle_hashes, table, word_hashes, written
 from dutyframe.llm.components import components
 
 #: A pair at the threshold of 0.8 shares no band with a probability of (1 - 0.8**5)**32, 3 in a million.
@@ -36,6 +36,8 @@ THRESHOLD_PERCENT = 80
 ESTIMATE_CUT = 0.608
 #: Up to so many text hashes are broadcast to read their texts; beyond it the texts are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Classes of a bucket that are compared in one task; larger buckets are dealt over tasks in pairs of such parts.
+PART = 512
 
 _RNG = np.random.Generator(np.random.PCG64(816))
 _FACTORS = _RNG.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -144,22 +146,24 @@ class _Confirm:
         self.classes, self.width = classes, width
 
     def __call__(self, pairs: DataFrame, masked: bool = False) -> DataFrame:
-        """pairs (u, v) with the sizes of the intersection and the union of their full sets.
+        """pairs (u, v), a written table, with the sizes of the intersection and the union of their full sets.
 
         masked: and a bit for each shingle of u, in hash order, that says whether v has it.
         """
         needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
         needed = written(needed.join(self.classes.select("id", "hash"), "id"), "needed")
-        small = F.broadcast if needed.count() <= BROADCAST_KEYS else lambda x: x
+        few = needed.count() <= BROADCAST_KEYS
         width = self.width
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # other texts may have an equal hash
             for batch in batches:
                 yield batch.filter(pa.array([set_id(shingle_set(t, width)) == i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
-        texts = self.texts.join(small(needed), "hash").select("id", "text").mapInArrow(own, "id binary, text string").dropDuplicates(["id"])
+        # beyond the broadcast copies of a text are counted as one before they are shuffled
+        texts = self.texts.join(F.broadcast(needed), "hash") if few else self.texts.distinct().join(needed, "hash")
+        texts = texts.select("id", "text").mapInArrow(own, "id binary, text string").dropDuplicates(["id"])
         texts = written(texts, "texts")
-        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+        both = salted_join(pairs, texts.select(F.col("id").alias("u"), F.col("text").alias("a")), ["u"], "v").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         compared = written(both.select("u", "v", "a", "b").mapInArrow(_compared(width, masked), "u binary, v binary, common long, total long, mask array<long>"), "compared")
         drop_written(texts)
         drop_written(needed)
@@ -183,65 +187,89 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     components, or name several; first says whether the row's key and text_hash are the smallest of
     its own component (always, without words).
     """
+    scratch = Scratch()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     kind = rows.schema["key"].dataType.simpleString()
     signed = written(rows.mapInArrow(_signatures(width), f"key {kind}, hash long, id binary, n long, bands array<long>, sig array<long>"), "signatures")
     # equal sets are one class, counted together before the shuffle
-    classes = written(signed.filter("n > 0").groupBy("id").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash", "n", "bands", "sig")).alias("s")).select("id", "s.key", "s.hash", "s.n", "s.bands", "s.sig"), "classes")
+    first_row = F.min(F.struct(F.col("key").isNull(), "key", "hash", "n", "bands", "sig")).alias("s")
+    classes = signed.filter("n > 0").groupBy("id").agg(first_row, F.count(F.lit(1)).alias("copies"))
+    classes = scratch.written(classes.select("id", "s.key", "s.hash", "s.n", "s.bands", "s.sig", "copies"), "classes")
+    n_classes = classes.count()
     in_bands = classes.select("id", F.explode("bands").alias("bucket"))
-    sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = written(in_bands.join(sizes, "bucket"), "shared")
+    sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("times", F.col("size"))
+    shared = scratch.written(join_keys(in_bands, sizes, "bucket", "times", n_classes * BANDS), "shared")
     # a class that meets many others is likely the one that near copies were made from
     central = shared.groupBy("id").agg(F.sum("size").alias("meets"))
-    ranked = shared.select("id", "bucket").join(central, "id")
-    hubs = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("meets", "id")).alias("hub"))
-    members = written(ranked.join(hubs, "bucket").select("id", "bucket", "hub", "meets"), "buckets")
-    drop_written(shared)
+    ranked = scratch.written(shared.join(central, "id"), "ranked")
+    hubs = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("meets", "id")).alias("hub"), F.count(F.lit(1)).alias("times"))
+    members = scratch.written(join_keys(ranked, hubs, "bucket", "times", ranked.count()).select("id", "bucket", "hub", "meets", "size"), "buckets")
     signs = classes.select("id", "n", "sig", "bands")
     left, right = (signs.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(left, "u").join(right, "v").filter(_sizes_allow("n_u", "n_v"))
-        return written(found.filter(estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT).select("u", "v"), "likely")
+        found = salted_join(scratch.written(pairs, "pairs"), left, ["u"], "v").join(right, "v").filter(_sizes_allow("n_u", "n_v"))
+        return scratch.written(found.filter(estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT).select("u", "v"), "likely")
+
+    def linked(links: DataFrame) -> DataFrame:
+        scratch.made.append(components(links))
+        return scratch.made[-1]
 
     def rooted(tree: DataFrame) -> DataFrame:
         labels = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        return members.select("id", "bucket", "meets").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return members.select("id", "bucket", "meets", "size").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     confirm = _Confirm(df, text, classes, width)
     # first round: each class with the hub of most of its buckets
     votes = members.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("u")).select("u", F.col("id").alias("v"))
     first = confirm(likely(best), masked=True)
+    scratch.made.append(first)
     beside = first.select(F.col("v").alias("id"), F.col("u").alias("near"), "common", "mask")
-    tree = components(_links(first))
+    tree = linked(_links(first))
     # second round: one class of each component of a bucket with the most central one there
-    firsts = written(rooted(tree).groupBy("bucket", "root").agg(F.max(F.struct("meets", "id")).alias("top")).select("bucket", "top"), "firsts")
-    middle = firsts.groupBy("bucket").agg(F.max("top").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u")
-    across = firsts.join(middle, "bucket").filter("u != top").select("u.id", F.col("top.id").alias("v")).select(F.col("id").alias("u"), "v").distinct()
-    tree = components(tree.unionByName(_links(confirm(likely(across)))))
+    firsts = scratch.written(rooted(tree).groupBy("bucket", "root").agg(F.max(F.struct("meets", "id")).alias("top")).select("bucket", "top"), "firsts")
+    middle = firsts.groupBy("bucket").agg(F.max("top").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u", "n")
+    across = join_keys(firsts, middle, "bucket", "n", firsts.count()).filter("u != top").select("u.id", F.col("top.id").alias("v")).select(F.col("id").alias("u"), "v").distinct()
+    second = confirm(likely(across))
+    scratch.made.append(second)
+    tree = linked(tree.unionByName(_links(second)))
     # last round: in buckets that still hold several components, every pair across them, in the first band the two share
-    labelled = rooted(tree)
-    open_buckets = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket")
-    held = labelled.join(open_buckets, "bucket").join(signs, "id").join(beside, "id", "left").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
-    held = written(held.select("bucket", "id", "root", "n", "sig", "before", "near", "common", "mask"), "open")
-    a, b = (held.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n", "sig", "before", "near", "common", "mask"))) for side in "uv")
+    labelled = scratch.written(rooted(tree), "labelled")
+    open_buckets = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("times")).filter("a != b").select("bucket", "times")
+    held = join_keys(labelled, open_buckets, "bucket", "times", labelled.count())
+    held = held.join(signs, "id").join(beside, "id", "left").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
+    own = ["id", "root", "n", "sig", "before", "near", "common", "mask", "part"]
+    # a bucket of many parts has a cell for each two of them, and one for each by itself
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    held = held.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least("part", k).alias("x"), F.greatest("part", k).alias("y")))
+    held = scratch.written(held.select("bucket", *own, F.explode(cells).alias("cell")).select("bucket", "cell.x", "cell.y", *own), "open")
+    a, b = (held.select("bucket", "x", "y", *(F.col(c).alias(f"{c}_{side}") for c in own)) for side in "uv")
     wanted = (F.col("id_u") < F.col("id_v")) & (F.col("root_u") != F.col("root_v")) & _sizes_allow("n_u", "n_v") & (estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT)
     # of two classes compared with the same hub, the common shingles inside the hub are known, and outside it bounded
     inside = F.aggregate(F.zip_with("mask_u", "mask_v", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, k: n + k)
     most = inside + F.least(F.col("n_u") - F.col("common_u"), F.col("n_v") - F.col("common_v"))
     far = F.coalesce((F.col("near_u") == F.col("near_v")) & (most * 100 < (F.col("n_u") + F.col("n_v") - most) * THRESHOLD_PERCENT), F.lit(False))
-    rest = a.join(b, (a["bucket"] == b["bucket"]) & wanted & ~far & ~F.arrays_overlap("before_u", "before_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
-    rest = written(rest, "rest")
+    same_cell = (a["bucket"] == b["bucket"]) & (a["x"] == b["x"]) & (a["y"] == b["y"]) & ((a["x"] == a["y"]) | (F.col("part_u") != F.col("part_v")))
+    rest = a.join(b, same_cell & wanted & ~far & ~F.arrays_overlap("before_u", "before_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    rest = scratch.written(rest, "rest")
     if not rest.isEmpty():
-        tree = components(tree.unionByName(_links(confirm(rest))))
+        third = confirm(rest)
+        scratch.made.append(third)
+        tree = linked(tree.unionByName(_links(third)))
     roots = tree.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    named = classes.select("id", "key", "hash").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    names = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash")).alias("s")).select("root", F.col("s.key").alias("component_id"), F.col("s.hash").alias("first_hash"))
-    by_class = named.join(names, "root").select("id", "component_id", "first_hash")
-    out = signed.select("key", "hash", "id", "n").join(by_class, "id", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+    named = scratch.written(classes.select("id", "key", "hash", "copies").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
+    names = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash")).alias("s"), F.count(F.lit(1)).alias("times"))
+    names = names.select("root", F.col("s.key").alias("component_id"), F.col("s.hash").alias("first_hash"), "times")
+    by_class = written(join_keys(named, names, "root", "times", n_classes).select("id", "component_id", "first_hash", "copies"), "by-class")
+    scratch.clear()
+    shown = signed.select("key", "hash", "id", "n")
+    worded = join_keys(shown.filter("n > 0"), by_class, "id", "copies", signed.count()).drop("id")
+    bare = shown.filter("n = 0").select("key", "hash", "n", F.col("key").alias("component_id"), F.col("hash").alias("first_hash"))
+    out = worded.unionByName(bare)
     kept = F.col("key").eqNullSafe(F.col("component_id"))
-    first = kept & (F.col("hash") == F.coalesce("first_hash", "hash"))
+    first = kept & (F.col("hash") == F.col("first_hash"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), F.col("hash").alias("text_hash"), first.alias("first"))
 
 
