@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyframe.llm.common import BYTE_VALUE, Scratch, _powers, drop_written, join_keys, mix64, table, text_or_empty, written
+from dutyframe.llm.common import BYTE_VALUE, Scratch, _powers, drop_written, join_keys, mix64, salted_join, table, text_or_empty, written
 
 LENGTH = 200
 GRAM = 64
@@ -395,7 +395,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     settled = small.unionByName(large)
     straight = sorted_out.filter(F.col("done") >= LENGTH).select("s0", "s1", F.array(F.lit(0).cast("long"), F.col("done").cast("long")).alias("spans"))
     covered = straight.unionByName(settled).groupBy("s0", "s1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    placed = rows.select("t0", "t1", "start", "s0", "s1").join(covered, ["s0", "s1"])
+    places = distinct.select("s0", "s1", F.col("places").alias("n"))
+    placed = salted_join(rows.select("t0", "t1", "start", "s0", "s1"), covered, ["s0", "s1"], "t0", places)
     shifted = placed.select("t0", "t1", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
     together = shifted.groupBy("t0", "t1").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = written(together.mapInArrow(_merged_spans, "t0 long, t1 long, spans array<long>"), "spans")
