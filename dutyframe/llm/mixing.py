@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyframe.llm.common import table, word_count, written
+from dutyframe.llm.common import join_keys, table, word_count, written
 
 BLOCK_ROWS = 8192
+#: Copies of one row that a task unfolds.
+UNFOLD = 10_000
 FAN_IN = 256
 SEED = 20240229
-#: Documents above this many times the mean size of their block are rounded against the whole block.
+#: Documents above this many times the mean size of their block are rounded among themselves first.
 LARGE = 2
 CAP = 3
 #: Sources up to this number are broadcast (one short row each); beyond it they are joined by shuffle.
@@ -56,23 +58,27 @@ def pivotal(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nd
 
 
 def settle_large(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Round documents too large for any single partner against all the others together.
+    """Round the large documents in pairs, and the one that is left against the smaller ones as a bundle.
 
-    What such a document gains or loses is spread over the smaller ones in equal shares, where
-    these have room, so the sum of words and every expectation stay as in a transfer between two.
+    No single small document has room for what the last large one must give or take. The bundle
+    exchanges words in equal shares of all its members, until the large document or a member is
+    integral, so the sum of words and every expectation stay as in a transfer between two.
     """
     p = p.copy()
-    large = np.flatnonzero((sizes > LARGE * sizes.mean()) & (p > 0) & (p < 1))
-    rest = np.ones(len(p), bool)
-    rest[large] = False
-    rest &= (p > 0) & (p < 1)
-    total = sizes[rest].sum()
-    for k in large if total > 0 else ():
-        up = rng.random() < p[k]
-        shift = (p[k] - (1.0 if up else 0.0)) * sizes[k] / total
-        room = p[rest] + shift
-        if room.min() > 0.02 and room.max() < 0.98:
-            p[rest], p[k] = room, float(up)
+    large = (sizes > LARGE * sizes.mean()) & (p > 0) & (p < 1)
+    p[large] = pivotal(sizes[large], p[large], rng)
+    for k in np.flatnonzero(large & (p > 0) & (p < 1)):
+        while 0 < p[k] < 1:
+            bundle = ~large & (p > 0) & (p < 1)
+            total = sizes[bundle].sum()
+            if total <= 0:
+                break
+            up = min((1 - p[k]) * sizes[k], p[bundle].min() * total)  # words that can move from the bundle to k
+            down = min(p[k] * sizes[k], (1 - p[bundle].max()) * total)
+            gain = up if rng.random() * (up + down) < down else -down
+            p[bundle] -= gain / total
+            p[k] += gain / sizes[k]
+            p[np.abs(p) < 1e-9], p[np.abs(p - 1) < 1e-9] = 0.0, 1.0
     return p
 
 
@@ -89,6 +95,16 @@ def _round_group(level: int, last: bool):
     return run
 
 
+def one_by_one(df: DataFrame) -> DataFrame:
+    """The rows of df with copy, a number for each of equal rows; these are counted before the shuffle and dealt over tasks."""
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(UNFOLD).cast("long"))
+    few = counted.filter(F.col("__n") <= UNFOLD).withColumn("__from", F.lit(0).cast("long"))
+    many = counted.filter(F.col("__n") > UNFOLD).withColumn("__from", F.explode(parts)).repartition("__from", *df.columns)
+    to = F.least(F.col("__from") + UNFOLD, F.col("__n")) - 1
+    return few.unionByName(many).select(*df.columns, F.explode(F.sequence(F.col("__from"), to)).alias("copy"))
+
+
 def source_targets(rows: DataFrame) -> DataFrame:
     """sid, source, source_size, n_rows, target of each source; rows: source, size.
 
@@ -115,16 +131,17 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """key, source, size, source_size, target, copies, taken for every row.
 
     size: words of the whole text (null or empty: 0); such rows are taken 0 times, as size 0 adds
-    no words. A null source is a source of its own. Repeated rows are rounded one by one. A target
-    is off by one document's size at most. Draws are seeded and rows are ordered by size and key
-    hash, so reruns agree. An empty table gives an empty result.
+    no words. A null source is a source of its own. Repeated rows are rounded one by one, and are
+    numbered, so that a key that holds very many rows is dealt over blocks like any other rows. A target
+    is off by one document's size at most. Draws are seeded and rows are ordered by size and the
+    hash of key, size and number, so reruns agree. An empty table gives an empty result.
     """
-    rows = written(df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
+    rows = written(one_by_one(df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))), "mix-sizes")
     sources = written(source_targets(rows), "mix-sources")
     shape = sources.agg(F.count(F.lit(1)), F.max("n_rows")).first()
     small = F.broadcast if shape[0] <= BROADCAST_SOURCES else lambda x: x
     joined = rows.join(small(sources), rows["source"].eqNullSafe(sources["source"]), "inner").select(
-        "key", rows["source"], "size", "sid", "source_size", "target", "n_rows", F.xxhash64(F.col("key").cast("string")).alias("tie")
+        "key", rows["source"], "size", "sid", "source_size", "target", "n_rows", F.xxhash64(F.col("key").cast("string"), "size", "copy").alias("tie")
     )
     share = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0)
     joined = joined.withColumn("share", share).withColumn("whole", F.floor("share")).withColumn("p", F.col("share") - F.col("whole"))
@@ -158,12 +175,19 @@ def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     one and share their copies: each is repeated by its even part, and what is over goes to the
     first ones.
     """
-    marked = df.withColumn("__mark", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(source, text).cast("string")))
-    wanted = mix(marked, "__mark", text, source).groupBy("__mark").agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).cast("int").alias("__rows")).filter("__copies > 0")
-    rows = marked.join(wanted, "__mark")
+    mark = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(source, text).cast("string"))
+    marked = df.withColumn("__mark", mark).withColumn("__at", F.spark_partition_id())
+    totals = F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).cast("int").alias("__rows"), F.count(F.lit(1)).alias("__times")
+    wanted = mix(marked, "__mark", text, source).groupBy("__mark").agg(*totals).filter("__copies > 0")
+    rows = join_keys(marked, wanted, "__mark", "__times", df.count())
     once = rows.filter("__rows = 1").withColumn("__own", F.col("__copies"))
-    turn = F.row_number().over(Window.partitionBy("__mark").orderBy("__mark"))
-    more = rows.filter("__rows > 1").withColumn("__own", F.floor(F.col("__copies") / F.col("__rows")).cast("int") + F.when(turn <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
+    # repeated rows are numbered within the partition that they were read in, and those by their counts
+    repeated = rows.filter("__rows > 1")
+    before = Window.partitionBy("__mark").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = repeated.groupBy("__mark", "__at").agg(F.count(F.lit(1)).alias("__n")).select("__mark", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    turn = F.row_number().over(Window.partitionBy("__mark", "__at").orderBy("__mark")) + F.col("__start")
+    more = repeated.join(starts, ["__mark", "__at"])
+    more = more.withColumn("__own", F.floor(F.col("__copies") / F.col("__rows")).cast("int") + F.when(turn <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__start")
     both = once.unionByName(more).filter("__own > 0")
     return both.withColumn("__own", F.explode(F.sequence(F.lit(1), "__own"))).select(*df.columns)
 
