@@ -7,6 +7,8 @@ next shard count at which the key would move, so growing from n to n + 1 shards
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,10 @@ from dutyframe.llm.common import table, text_or_empty
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
 MASK32, MASK16 = 0xFFFFFFFF, 0xFFFF
+#: Bits of key_hash; blocks of a shard, each cut into as many parts as keep them at about BLOCK_ROWS rows.
+HASH_BITS, BLOCKS, BLOCK_ROWS = 60, 256, 10_000
+#: Starts of blocks up to this number are broadcast (one short row each); beyond it they are joined by shuffle.
+BROADCAST_BLOCKS = 500_000
 
 
 def key_hash(key: Column) -> Column:
@@ -65,7 +71,7 @@ def jump(key: Column, shards: int) -> Column:
     )
 
 
-def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16, carry: tuple[str, ...] = (), blocks: int = 256) -> DataFrame:
+def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row with its shard, its slot in the shard and its shard if one more is added.
 
     Returns key, size (UTF-8 bytes of the text plus 1; null text: 1), text_crc32, law, shard,
@@ -73,10 +79,11 @@ def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
     the shard. A null key is hashed as the empty text. Repeated rows get one slot each; rows that
     differ in nothing are interchangeable. An empty table gives an empty result.
 
-    Slots: equal rows are counted before the shuffle, so a key that holds a third of all rows is
-    one counted row; each shard is cut into `blocks` by key hash, whose counts (shards x blocks
-    rows, whatever the input) give where each block's slots start.
+    Slots: equal rows are counted before the shuffle, so a row repeated very often is one counted
+    row; each shard is cut into blocks by key hash, as many as the rows ask for, whose counts give
+    where each block's slots start. Rows of one key with different texts stand in one block.
     """
+    cuts = max(1, math.ceil(df.count() / (shards * BLOCKS * BLOCK_ROWS)))
     value = text_or_empty(F.col(text))
     columns = [F.col(c) for c in carry]
     h = key_hash(F.col(key))
@@ -88,15 +95,19 @@ def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
         h.alias("__hash"),
     )
     rows = rows.select("*", jump(F.col("__hash"), shards).alias("__at"))
-    rows = rows.select("*", F.col("__at.shard").alias("__shard"), F.col("__at.grown").alias("__grown"), F.pmod("__hash", F.lit(blocks)).cast("int").alias("__block"))
+    # blocks in the order of the hash modulo BLOCKS, then of the hash
+    part = F.floor(F.shiftright("__hash", HASH_BITS - 30) * cuts / F.lit(float(1 << 30))).cast("long")
+    block = F.pmod("__hash", F.lit(BLOCKS)) * cuts + part
+    rows = rows.select("*", F.col("__at.shard").alias("__shard"), F.col("__at.grown").alias("__grown"), block.alias("__block"))
     named = ["__key", "__size", "__crc", "__carry", "__hash", "__shard", "__grown", "__block"]
     counted = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("__copies"))
-    per_block = counted.groupBy("__shard", "__block").agg(F.sum("__copies").alias("__n"))
+    per_block = rows.groupBy("__shard", "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select("__shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("__shard", "__block").orderBy("__hash", "__key", "__crc", "__size", F.xxhash64("__carry")).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("__at", F.coalesce(F.sum("__copies").over(within), F.lit(0)))
-    placed = placed.join(F.broadcast(starts), ["__shard", "__block"])  # at most (shards x blocks) small rows
+    small = F.broadcast if shards * BLOCKS * cuts <= BROADCAST_BLOCKS else lambda x: x
+    placed = placed.join(small(starts), ["__shard", "__block"])
     placed = placed.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
     return placed.select(
         F.col("__key").alias(key),
