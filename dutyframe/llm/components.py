@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from dutyframe.llm.common import drop_written, join_keys, written
 
+#: Up to so many links, all neighbours of a hub (a pair of ids each) may meet in one task; beyond it they stay where they are.
+ONE_TASK = 1_000_000
+
 
 def _downward(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
@@ -21,18 +24,22 @@ def components(links: DataFrame) -> DataFrame:
 
     links: columns u and v of any orderable type, in any direction and number. Each round hangs a
     node's neighbours on the smallest of them, first those above the node, then those below; the
-    rounds grow with the logarithm of the number of nodes. State is a table in the shared folder. A
-    node with very many neighbours meets them where they are, not in one task. No links give no rows.
+    rounds grow with the logarithm of the number of nodes. State is a table in the shared folder. In
+    a large table a node with very many neighbours meets them where they are, not in one task. No links give no rows.
     """
     now = written(_downward(links), "links")
     seen = _state(now)
+
+    def met(big: DataFrame, keyed: DataFrame, rows: int) -> DataFrame:
+        return join_keys(big, keyed, "u", "n", rows) if rows > ONE_TASK else big.join(keyed.drop("n"), "u")
+
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_keys(both, least, "u", "n", 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = met(both, least, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         large = written(large.distinct(), "links")
         below = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_keys(large, below, "u", "n", large.count()).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
+        small = met(large, below, large.count()).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
         after = written(_downward(small), "links")
         drop_written(now)
         drop_written(large)

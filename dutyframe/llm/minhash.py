@@ -226,7 +226,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     first = confirm(likely(best), masked=True)
     scratch.made.append(first)
     beside = first.select(F.col("v").alias("id"), F.col("u").alias("near"), "common", "mask")
-    tree = linked(_links(first))
+    # a class that links with its hub has the hub's name for now; chains of hubs come together in the components below
+    tree = _links(first).select(F.col("v").alias("u"), F.col("u").alias("v"))
     # second round: one class of each component of a bucket with the most central one there
     firsts = scratch.written(rooted(tree).groupBy("bucket", "root").agg(F.max(F.struct("meets", "id")).alias("top")).select("bucket", "top"), "firsts")
     middle = firsts.groupBy("bucket").agg(F.max("top").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u", "n")
@@ -301,3 +302,20 @@ def keep_one(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
 
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Sets as lists, equal sets as one class; pairs by an inverted index, components by a closure.
+ORACLE = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS sh FROM d),
+c AS (SELECT min(rid) AS cid, min(doc_id) AS least, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+t AS (SELECT cid, n, unnest(sh) AS token FROM c),
+p AS (SELECT a.cid AS u, b.cid AS v, count(*) AS k, any_value(a.n + b.n) AS total FROM t a JOIN t b ON a.token = b.token AND a.cid < b.cid AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY ALL),
+e AS (SELECT u, v FROM p WHERE 100 * k >= 80 * (total - k)),
+l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT cid AS u, cid AS v FROM c UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+m AS (SELECT r.u AS cid, min(c.least) AS component FROM r JOIN c ON c.cid = r.v GROUP BY r.u)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id IS NOT DISTINCT FROM coalesce(m.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.cid = c.cid
+"""
