@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyframe.llm.common import table, text_or_empty
+from dutyframe.llm.common import HOT_ROWS, hot_limit, table, text_or_empty
 
 #: Multiplier of the 64-bit generator of the published jump walk, as two halves.
 MULTIPLIER = 2862933555777941757
@@ -81,9 +81,11 @@ def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
 
     Slots: equal rows are counted before the shuffle, so a row repeated very often is one counted
     row; each shard is cut into blocks by key hash, as many as the rows ask for, whose counts give
-    where each block's slots start. Rows of one key with different texts stand in one block.
+    where each block's slots start. The rows of a hot key, with whatever texts, are blocks of their
+    own, cut by the checksum of the text.
     """
-    cuts = max(1, math.ceil(df.count() / (shards * BLOCKS * BLOCK_ROWS)))
+    n_rows = df.count()
+    cuts = max(1, math.ceil(n_rows / (shards * BLOCKS * BLOCK_ROWS)))
     value = text_or_empty(F.col(text))
     columns = [F.col(c) for c in carry]
     h = key_hash(F.col(key))
@@ -99,15 +101,28 @@ def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
     part = F.floor(F.shiftright("__hash", HASH_BITS - 30) * cuts / F.lit(float(1 << 30))).cast("long")
     block = F.pmod("__hash", F.lit(BLOCKS)) * cuts + part
     rows = rows.select("*", F.col("__at.shard").alias("__shard"), F.col("__at.grown").alias("__grown"), block.alias("__block"))
-    named = ["__key", "__size", "__crc", "__carry", "__hash", "__shard", "__grown", "__block"]
+    # a hot hash cuts its block in three: the hashes below it, its own rows, which are cut further, and those above
+    rows = rows.withColumns({"__sub": F.lit(0), "__part": F.lit(0).cast("long")})
+    if n_rows > HOT_ROWS:
+        limit = hot_limit(n_rows)
+        hot = rows.groupBy("__block", "__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+        entry = F.struct(F.col("__hash").alias("hash"), F.ceil(F.col("n") / limit).alias("parts"))
+        hots = hot.groupBy("__block").agg(F.collect_list(entry).alias("__hots"))  # HOT_SHARE entries at most in all
+        own = F.get(F.filter("__hots", lambda x: x["hash"] == F.col("__hash")), F.lit(0))["parts"]
+        below = F.size(F.filter("__hots", lambda x: x["hash"] < F.col("__hash")))
+        sub = F.when(F.col("__hots").isNull(), 0).otherwise(2 * below + own.isNotNull().cast("int"))
+        part = F.coalesce(F.floor(F.col("__crc") * own / F.lit(float(1 << 32))), F.lit(0).cast("long"))
+        rows = rows.join(F.broadcast(hots), "__block", "left").withColumns({"__sub": sub, "__part": part}).drop("__hots")
+    within_shard = ["__block", "__sub", "__part"]
+    named = ["__key", "__size", "__crc", "__carry", "__hash", "__shard", "__grown", *within_shard]
     counted = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("__copies"))
-    per_block = rows.groupBy("__shard", "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select("__shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__shard", "__block").orderBy("__hash", "__key", "__crc", "__size", F.xxhash64("__carry")).rowsBetween(Window.unboundedPreceding, -1)
+    per_block = rows.groupBy("__shard", *within_shard).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__shard").orderBy(*within_shard).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.select("__shard", *within_shard, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__shard", *within_shard).orderBy("__hash", "__key", "__crc", "__size", F.xxhash64("__carry")).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("__at", F.coalesce(F.sum("__copies").over(within), F.lit(0)))
     small = F.broadcast if shards * BLOCKS * cuts <= BROADCAST_BLOCKS else lambda x: x
-    placed = placed.join(small(starts), ["__shard", "__block"])
+    placed = placed.join(small(starts), ["__shard", *within_shard])
     placed = placed.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
     return placed.select(
         F.col("__key").alias(key),
