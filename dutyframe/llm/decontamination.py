@@ -26,8 +26,8 @@ THRESHOLD = 0.8
 RADIUS = 23
 BLOCKS = 8
 BLOCK_BITS = 64 // BLOCKS
-#: Text bytes of the benchmark that one pass over the documents holds (it is broadcast); more takes more passes.
-PASS_BYTES = 4_000_000
+#: Text bytes of the benchmark that one pass over the documents holds (its index, some six times that, is broadcast); more takes more passes.
+PASS_BYTES = 16_000_000
 _FILTER_BITS = 20
 
 #: All ASCII bytes but letters and digits separate words.
@@ -69,6 +69,7 @@ class Index:
             self.counts.append(counts)
             prints.append(fingerprints(shingles, np.zeros(1, np.int64), len(shingles))[0])
         self.prints = np.array(prints, np.uint64)
+        self.lengths, self.widths = np.array(self.lengths, np.int64), np.array(self.widths, np.int64)
         n = len(self.ids)
         owners = np.repeat(np.arange(n), [len(s) for s in self.shingles]) if n else np.empty(0, int)
         everything = np.concatenate(self.shingles) if n else np.empty(0, np.uint64)
@@ -101,7 +102,7 @@ class Index:
         """(item id, similarity, first word, words) of the best window of every item found in the whole text."""
         words = words_of(text) if text else np.empty(0, np.uint64)
         best: dict[int, tuple[float, int, int]] = {}
-        for width in sorted(set(self.widths)) if len(words) else ():
+        for width in np.unique(self.widths).tolist() if len(words) else ():
             if len(words) < width:
                 continue
             shingles = shingle_hashes(words, width)
@@ -112,7 +113,7 @@ class Index:
                 continue
             first, last = (np.searchsorted(self.all, shingles[hits], side) for side in ("left", "right"))
             owners = np.unique(np.concatenate([self.owners[a:b] for a, b in zip(first, last, strict=True)]))
-            for length in {self.lengths[k] for k in owners if self.widths[k] == width}:
+            for length in np.unique(self.lengths[owners[self.widths[owners] == width]]).tolist():
                 self._windows(shingles, hits, len(words), width, length, best)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
@@ -128,17 +129,29 @@ class Index:
                 continue
             low = part[0]
             stretch = shingles[low : part[-1] + many]
-            for start, fingerprint in zip(part, fingerprints(stretch, part - low, many), strict=True):
-                for k in self.within_radius(fingerprint):
-                    if min(self.lengths[k], n_words) != length or self.widths[k] != width:
-                        continue
-                    values, counts = self.shingles[k], self.counts[k]
-                    window = shingles[start : start + many]
-                    at = np.searchsorted(values, window).clip(max=len(values) - 1)
-                    common = np.minimum(np.bincount(at[values[at] == window], minlength=len(values)), counts).sum()
-                    likeness = common / (many + counts.sum() - common)
-                    if likeness >= THRESHOLD and (k not in best or likeness > best[k][0]):
-                        best[k] = (float(likeness), int(start), int(length))
+            near = [self.within_radius(f) for f in fingerprints(stretch, part - low, many)]
+            window, item = np.repeat(part, [len(x) for x in near]), np.concatenate(near)
+            wanted = (np.minimum(self.lengths[item], n_words) == length) & (self.widths[item] == width)
+            window, item = window[wanted], item[wanted]
+            for k in np.unique(item):
+                self._confirm(int(k), stretch, low, window[item == k], many, length, best)
+
+    def _confirm(self, k: int, stretch: np.ndarray, low: int, starts: np.ndarray, many: int, length: int, best: dict) -> None:
+        """The exact similarity of item k with the windows at starts, those with the most shingles of the item first."""
+        values, counts = self.shingles[k], self.counts[k]
+        at = np.searchsorted(values, stretch).clip(max=len(values) - 1)
+        inside = values[at] == stretch
+        held = np.concatenate([[0], np.cumsum(inside)])
+        most = held[starts - low + many] - held[starts - low]  # common shingles, if none is too many
+        bound = most / (many + counts.sum() - most)
+        for j in np.lexsort((starts, -bound)):
+            if bound[j] < max(THRESHOLD, best[k][0] if k in best else 0.0):
+                break
+            part = slice(starts[j] - low, starts[j] - low + many)
+            common = np.minimum(np.bincount(at[part][inside[part]], minlength=len(values)), counts).sum()
+            likeness = common / (many + counts.sum() - common)
+            if likeness >= THRESHOLD and (k not in best or (likeness, -starts[j]) > (best[k][0], -best[k][1])):
+                best[k] = (float(likeness), int(starts[j]), int(length))
 
 
 def passes(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
