@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyframe.llm.common import table, text_or_empty, written
+from dutyframe.llm.common import drop_written, salted_join, table, text_or_empty, written
 
 BITS = 128
+#: Fingerprints that differ in up to so many bits are near.
+RADIUS = 3
 LONGEST = 16
 _LANE = (1 << 32) - 1
 
@@ -80,9 +82,12 @@ def neighbours(rows: DataFrame, key: str) -> DataFrame:
     return led.withColumn("next", F.coalesce("next", "after")).select("k", "h", key, "n", "copies", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", queries: Column | None = None, radius: int = RADIUS) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
+    With queries, a condition on the key, also near_prints: for each row that meets it, how many
+    other distinct fingerprints of the table lie within the radius (null for all other rows).
+
     The edited text is the text with its last third replaced by the start of the next document,
     in order of descending key, null last, then text hash; after the last comes the first, so a
     single document follows itself. A null text counts as empty; a text without words has an
@@ -106,9 +111,19 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     printed = fingerprint_words(either, by, "t")
     sides = [F.max(F.when(F.col("kind") == kind, F.col(f))).alias(f"{f}_{kind}") for kind in (0, 1) for f in ("f0", "f1")]
     done = written(printed.groupBy(*by[:-1]).agg(*sides), "fingerprints")
+    drop_written(links)
     following = done.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("f0_0").alias("next_f0"), F.col("f1_0").alias("next_f1"))
     c = F.col
-    out = done.join(following, ["next_k", "next_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1), c("copies"))))
+    out = done.join(following, ["next_k", "next_h"])
+    more = []
+    if queries is not None:
+        prints = done.select(c("f0_0").alias("f0"), c("f1_0").alias("f1"))
+        asked = done.filter(queries).select(c("f0_0").alias("f0"), c("f1_0").alias("f1"))
+        found = within_radius(asked, prints, radius).groupBy("a0", "a1").agg((F.count(F.lit(1)) - 1).alias("near_prints"))
+        found = found.select(c("a0").alias("f0_0"), c("a1").alias("f1_0"), "near_prints")
+        rows = [out.filter(queries).join(found, ["f0_0", "f1_0"]), out.filter(~F.coalesce(queries, F.lit(False))).withColumn("near_prints", F.lit(None).cast("long"))]
+        out, more = rows[0].unionByName(rows[1]), ["near_prints"]
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), c("copies"))))
     return out.select(
         key,
         c("n").alias("n_chars"),
@@ -117,10 +132,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         as_text(c("f0_1"), c("f1_1")).alias("edited_fingerprint"),
         likeness(c("f0_0"), c("f1_0"), c("f0_1"), c("f1_1")).alias("near_edited"),
         likeness(c("f0_0"), c("f1_0"), c("next_f0"), c("next_f1")).alias("near_next"),
+        *more,
     )
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a0, a1, b0, b1, distance: the distinct fingerprints of `prints` within the radius of each distinct one of `queries`.
 
     Both have the halves f0 and f1 (see fingerprints; rows with equal fingerprints are one class,
@@ -147,12 +163,13 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> Dat
         distinct = df.filter("f0 is not null and f1 is not null").select(F.col("f0").alias(a), F.col("f1").alias(b)).distinct()
         return distinct.select(a, b, F.posexplode(F.array(*[block(k, a, b) for k in range(blocks)])).alias("number", "block"))
 
-    x, y = tables(queries, "a0", "a1"), tables(prints, "b0", "b1")
+    x, y = tables(queries, "a0", "a1"), written(tables(prints, "b0", "b1"), "block-tables")
     distance = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    earlier = reduce(lambda p, q: p | q, [(x["number"] > k) & (block(k, "a0", "a1") == block(k, "b0", "b1")) for k in range(blocks - 1)], F.lit(False))
-    met = x.join(y, (x["number"] == y["number"]) & (x["block"] == y["block"]) & (distance <= radius) & ~earlier)
+    earlier = reduce(lambda p, q: p | q, [(F.col("number") > k) & (block(k, "a0", "a1") == block(k, "b0", "b1")) for k in range(blocks - 1)], F.lit(False))
+    # the fingerprints of a hot block are dealt over tasks, to each of which the queries with that block go
+    met = salted_join(y, x, ["number", "block"], "b0").filter((distance <= radius) & ~earlier)
     return met.select("a0", "a1", "b0", "b1", distance.cast("int").alias("distance"))
 
 
 def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), queries=F.col("doc_id") % 50 == 0)
