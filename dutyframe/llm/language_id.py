@@ -26,6 +26,7 @@ SMOOTHING = 2e-6
 SHARPNESS = 2.0
 AMBIGUOUS_LEAD = 0.2
 UNDETERMINED = "und"
+MOST_LANGUAGES = 1000
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -124,10 +125,12 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
     The rows are those with the smallest hash of the key, so reruns take the same ones. Rows with
     a null text or language teach nothing. Languages are the classes of the model, a short list
-    that the driver holds together with one share vector for each.
+    that the driver holds together with one share vector for each; more than MOST_LANGUAGES are an error.
     """
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the model holds a list of weights for each")
     if not counts:
         return Model([], codewords(0), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1), np.zeros((0, 1)))
     span = 1 << 31

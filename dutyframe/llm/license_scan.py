@@ -30,6 +30,8 @@ TEMPLATES = [
     ("cc", "licensed under cc by nc 4 0"),
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license"),
 ]
+#: Bytes of templates in all that the driver and each task may hold.
+TEMPLATE_BYTES = 1_000_000
 #: A word once A-Z is lower-cased; on a text as it is, upper-case letters are words' letters too.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,6 +42,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
+def templates_from(rows: DataFrame, label: str = "label", text: str = "text") -> list[tuple[str, str]]:
+    """The templates of a table, whole license texts for instance, for scan(); rows with nulls or without words are none.
+
+    A table of more than TEMPLATE_BYTES is refused, as templates go to every task.
+    """
+    if (rows.agg(F.sum(F.octet_length(text))).first()[0] or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"the templates have more than {TEMPLATE_BYTES} bytes")
+    found = rows.select(F.col(label).alias("l"), F.array_join(words_of(F.col(text)), " ").alias("t")).filter("l is not null and t != ''")
+    return sorted({(r["l"], r["t"]) for r in found.collect()})
+
+
 def places(words: Column, phrase: str) -> Column:
     """The starts of all places where the phrase's words stand consecutively."""
     parts = phrase.split()

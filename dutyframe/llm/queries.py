@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_jump_hash_sharding": sharding.ORACLE,
+    "op3_bbit_minhash": minhash.ORACLE,
     "op4_license_scan": license_scan.ORACLE,
+    "op8_lcp_merge_dedup": suffix_dedup.ORACLE,
 }

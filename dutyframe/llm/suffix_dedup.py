@@ -428,3 +428,17 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def op8_lcp_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Every 200-byte string by its md5, the bytes of those that start twice as islands, what is left hashed together.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT rid, k, md5(b[k:k + 199]) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 198)) AS k FROM d WHERE octet_length(b) >= 200)),
+r AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+i AS (SELECT rid, k, sum(CASE WHEN before IS NULL OR k - before > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY k) AS g FROM (SELECT rid, k, lag(k) OVER (PARTITION BY rid ORDER BY k) AS before FROM r)),
+g AS (SELECT rid, g, min(k) AS a, max(k) + 199 AS z FROM i GROUP BY rid, g),
+o AS (SELECT rid, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM g GROUP BY rid)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(list_reduce(list_transform(range(n_spans + 1), lambda j: b[(CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END):(CASE WHEN j = n_spans THEN octet_length(b) ELSE a[j + 1] - 1 END)]), lambda x, y: x || y)) END AS kept_sha256
+FROM d LEFT JOIN o USING (rid)
+"""

@@ -8,6 +8,7 @@ distinct pre-token. The list changes how much is shuffled, never a count.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,9 +33,24 @@ _LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE
 #: Ranges in which all Unicode versions agree on letters and numbers.
 _SETTLED = "[\x00-\u0377\u0384-\u052f\u05d0-\u05ea\u0620-\u064a\u1e00-\u1eff\u2000-\u2027\u2030-\u205e\u20a0-\u20bd\u2190-\u23ff\u3001-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
 
+#: The normalizers and pre-tokenizers that the patterns above stand for.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
 _CACHE: dict[int, PreTokens] = {}
 
 
+def check_tokenizer(json_text: str) -> None:
+    """An error for a tokenizer whose texts are normalized or split in another way than this module does."""
+    file = json.loads(json_text)
+    normalizers = (file.get("normalizer") or {}).get("normalizers", [])
+    splitters = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    same = [n["type"] for n in normalizers] == _NORMALIZERS and [s["type"] for s in splitters] == _PRE_TOKENIZERS
+    same = same and normalizers[1]["pattern"] == {"Regex": r"\s+"} and splitters[0]["pattern"] == {"Regex": _PATTERN}
+    if not same or file["model"]["type"] != "BPE":
+        raise ValueError("this tokenizer normalizes or splits texts in another way than the counts here assume")
+
+
 class PreTokens:
     """The tokenizer of a JSON file, split into its pre-tokenizing and its piece-counting part."""
 
@@ -117,12 +133,14 @@ def count_tokens(df: DataFrame, tokenizer_file: str, key: str = "doc_id", text:
 
     A null text counts as empty: 0 bytes and 0 tokens. No begin, end or other added special
     tokens; the strings of special tokens inside a text are one token each, as the library's
-    default has it. Repeated rows and null keys get one result row each. An empty table gives an
+    default has it. A tokenizer of another kind is refused (check_tokenizer). Repeated rows and null keys get one result row each. An empty table gives an
     empty result.
     """
     spark = df.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
-        json_text = spark.sparkContext.broadcast(f.read())
+        file = f.read()
+    check_tokenizer(file)
+    json_text = spark.sparkContext.broadcast(file)
     common = spark.sparkContext.broadcast(common_pre_tokens(df, json_text, key, text))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

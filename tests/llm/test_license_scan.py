@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
 from dutyframe.llm import license_scan as ls
 
 GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,3 +87,22 @@ def test_wrapped_notices(spark, frame, prose):
     found = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in ls.scan(frame(rows)).collect() if not r["n_base"]}
     assert found == {k: brute_wrapped(t) for k, t in rows if k in found}
     assert {k: found[k][0] for k in (1, 2, 3, 6, 7, 8)} == {1: "mit", 2: "bsd", 3: "mit", 6: "", 7: "mit", 8: ""}
+
+
+def test_whole_texts_of_a_table(spark, frame, prose):
+    """A text of 120 words as a template, wrapped over lines and with words changed; half of it isn't enough."""
+    body = prose(120, 9).split()
+    table = spark.createDataFrame([("own", " ".join(body)), (None, "no label"), ("none", None), ("blank", " . ")], "label string, text string")
+    templates = ls.templates_from(table)
+    assert templates == [("own", " ".join(body))]
+    wrapped = lambda words: "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    changed = [f"w{k}" if k % 24 == 0 else w for k, w in enumerate(body)]
+    rows = [(1, prose(50, 1) + "\n" + wrapped(body) + "\n" + prose(50, 2)), (2, wrapped(changed)), (3, wrapped(body[:30])), (4, prose(150, 3)[:300]), (5, None)]
+    found = {r["doc_id"]: r["labels"] for r in ls.scan(frame(rows), templates=templates).collect()}
+    assert found[1] == found[2] == "own" and found[3] == found[5] == ""
+
+
+def test_too_many_templates(spark, monkeypatch):
+    monkeypatch.setattr(ls, "TEMPLATE_BYTES", 5)
+    with pytest.raises(ValueError, match="bytes"):
+        ls.templates_from(spark.createDataFrame([("l", "some words")], "label string, text string"))
