@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dutyframe.llm import decontamination, language_id, license_scan, minhash, mixing, sharding, simhash, suffix_dedup, token_counts, toxicity
+from dutyframe.llm import chat_format, decontamination, filter_audit, language_id, license_scan, minhash, mixing, prefix_trie, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_lcp_merge_dedup": suffix_dedup.op8_lcp_merge_dedup,
     "op9_simhash_decontamination": decontamination.op9_simhash_decontamination,
     "op10_simhash_fingerprints": simhash.op10_simhash_fingerprints,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_chat_round_trip": chat_format.op13_chat_round_trip,
 }
 ORACLES = {
     "op2_jump_hash_sharding": sharding.ORACLE,
     "op3_bbit_minhash": minhash.ORACLE,
     "op4_license_scan": license_scan.ORACLE,
     "op8_lcp_merge_dedup": suffix_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_chat_round_trip": chat_format.ORACLE,
 }
