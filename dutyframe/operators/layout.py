@@ -1,7 +1,7 @@
-"""Tables out of positioned words, as window expressions and ordered folds.
+"""Tables out of positioned words, as running values in order.
 
 Glyphs: page, text, x, y, advance, font_size. Words: page, text, x, y, width, font_size. A page is
-the unit of work: windows are partitioned by `page` columns, and a page's words are a bounded group.
+the unit of work: scans are partitioned by `page` columns, and a page of any length may be spread over tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dutyframe.operators.scan import anchored_groups, floor_join, islands
+from dutyframe.operators.tables import written
+
 # Fixed values of the layout: tolerances in points or as shares of the font size.
 LINE_SHARE, LINE_LEAST = 0.4, 1.5
 WORD_GAP_SHARE = 0.28
@@ -18,37 +21,6 @@ HEADER_TOLERANCE = 6.0
 ROW_GAP_FONTS = 1.5
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], breaks, name: str) -> DataFrame:
-    """df with a running number of islands: breaks(previous row's columns) says where one ends.
-
-    breaks takes a function that gives the previous row's value of a column.
-    """
-    by = Window.partitionBy(*keys).orderBy(*order)
-    new = F.coalesce(breaks(lambda c: F.lag(c).over(by)), F.lit(True)).cast("int")
-    return df.withColumn("__new", new).withColumn(name, F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
-
-
-def anchored_groups(values: Column, fits) -> Column:
-    """array<struct<k, group>> of an ordered array: a new group begins where a value doesn't fit the first of its group.
-
-    The comparison is with the group's first value, not with the one before, so this is a fold.
-    """
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("group"), F.lit(None).cast("double").alias("anchor"))
-    empty = F.array().cast("array<struct<k:int,group:int,anchor:double>>")
-
-    def step(done: Column, v: Column) -> Column:
-        before = F.coalesce(F.try_element_at(done, F.lit(-1)), start)
-        same = before["anchor"].isNotNull() & fits(before["anchor"], v)
-        entry = F.struct(
-            (before["k"] + 1).cast("int").alias("k"),
-            F.when(same, before["group"]).otherwise(before["group"] + 1).cast("int").alias("group"),
-            F.when(same, before["anchor"]).otherwise(v.cast("double")).alias("anchor"),
-        )
-        return F.concat(done, F.array(entry))
-
-    return F.aggregate(values, empty, step)
-
-
 def end_x(x: Column, width: Column) -> Column:
     return x + width
 
@@ -57,6 +29,10 @@ def centre_x(x: Column, width: Column) -> Column:
     return x + width / 2
 
 
+def midpoint(a: Column, b: Column) -> Column:
+    return (a + b) / 2
+
+
 def words_of_glyphs(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line, word, text, x, y, width, font_size from glyphs.
 
@@ -64,7 +40,7 @@ def words_of_glyphs(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     at a blank glyph or a wide gap.
     """
     near = lambda before: F.abs(F.col("y") - before("y")) > F.greatest(F.col("font_size") * LINE_SHARE, F.lit(LINE_LEAST))
-    lines = islands(glyphs, keys, ["y", "x"], near, "line")
+    lines = islands(glyphs, keys, ["y", "x", "text"], near, "line")
     blank = F.trim("text") == ""
     flagged = lines.withColumn("__blank", blank).withColumn("__end", F.col("x") + F.col("advance"))
     by = Window.partitionBy(*keys, "line").orderBy("x")
@@ -99,8 +75,8 @@ def header_cells(words: DataFrame, keys: list[str]) -> DataFrame:
 def column_bounds(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells with low and high: borders halfway to the neighbours, without end at both sides."""
     by = Window.partitionBy(*keys).orderBy("start", "cell")
-    low = (F.lag("end").over(by) + F.col("start")) / 2
-    high = (F.col("end") + F.lead("start").over(by)) / 2
+    low = midpoint(F.lag("end").over(by), F.col("start"))
+    high = midpoint(F.col("end"), F.lead("start").over(by))
     infinite = F.lit("Infinity").cast("double")
     return cells.withColumns({"low": F.coalesce(low, -infinite), "high": F.coalesce(high, infinite)})
 
@@ -117,18 +93,6 @@ def assign_interval(points: DataFrame, bounds: DataFrame, keys: list[str], at: s
     return joined
 
 
-def floor_join(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, value: str) -> DataFrame:
-    """points with the value of the last mark at or before each, within equal keys; null before the first.
-
-    Both sides are one ordered stream; no pair of a point and a mark is made.
-    """
-    left = points.withColumns({"__at": F.col(at), "__kind": F.lit(1), "__value": F.lit(None).cast(marks.schema[value].dataType)})
-    right = marks.select(*[F.col(k) for k in keys], F.col(mark).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__value"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    by = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(by)).filter("__kind = 1").drop("__at", "__kind", "__value")
-
-
 def reconstruct(words: DataFrame, keys: list[str], is_header) -> DataFrame:
     """keys, column, label, row, row_label, line, text: the table of each page that has one.
 
@@ -143,20 +107,26 @@ def reconstruct(words: DataFrame, keys: list[str], is_header) -> DataFrame:
     cells = column_bounds(header_cells(header, keys), keys)
     many = Window.partitionBy(*keys)
     cells = cells.withColumn("__n", F.count(F.lit(1)).over(many)).filter("__n > 1").select(*keys, (F.col("cell") - 1).alias("column"), "label", "low", "high")
-    body = assign_interval(placed.filter(F.col("y") > F.col("head_y") + HEADER_TOLERANCE), cells, keys, "x")
-    first = body.filter("column = 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "x", "text", "font_size"))).alias("ws"))
-    grouped = first.withColumn("g", anchored_groups(F.transform("ws", lambda w: w["y"]), lambda a, v: v - a <= F.element_at(F.col("ws"), 1)["font_size"] * ROW_GAP_FONTS))
-    starts = grouped.select(*keys, F.posexplode(F.arrays_zip("ws", "g")).alias("at", "z"))
-    rows = starts.groupBy(*keys, F.col("z.g.group").alias("row")).agg(
-        (F.min("z.ws.y") - HEADER_TOLERANCE).alias("top"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z.ws.y", "z.ws.x", "z.ws.text"))), lambda w: w["text"]), " ").alias("row_label"),
-    )
+    body = written(assign_interval(placed.filter(F.col("y") > F.col("head_y") + HEADER_TOLERANCE), cells, keys, "x"), "table-words")
+    labels = _within_first(body.filter("column = 0"), keys, "row", lambda font: font * ROW_GAP_FONTS)
+    rows = labels.groupBy(*keys, "row").agg((F.min("y") - HEADER_TOLERANCE).alias("top"), _in_order("y", "x").alias("row_label"))
     in_rows = floor_join(body.filter("column > 0"), rows.withColumn("mark", F.struct("row", "row_label")), keys, "y", "top", "mark").filter("mark is not null")
-    lists = in_rows.groupBy(*keys, "column", "label", F.col("mark.row").alias("row"), F.col("mark.row_label").alias("row_label")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "text", "font_size"))).alias("ws"))
-    tolerance = F.greatest(F.element_at(F.col("ws"), 1)["font_size"] * LINE_SHARE, F.lit(LINE_LEAST))
-    lined = lists.withColumn("g", anchored_groups(F.transform("ws", lambda w: w["y"]), lambda a, v: v - a <= tolerance))
-    out = lined.select(*keys, "column", "label", "row", "row_label", F.explode(F.arrays_zip("ws", "g")).alias("z"))
-    return out.groupBy(*keys, "column", "label", "row", "row_label", F.col("z.g.group").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z.ws.x", "z.ws.text"))), lambda w: w["text"]), " ").alias("text"))
+    cell = [*keys, "column", "label", "row", "row_label"]
+    placed = in_rows.select(*keys, "column", "label", "mark.row", "mark.row_label", "y", "x", "text", "font_size")
+    lines = _within_first(written(placed, "cell-words"), cell, "line", lambda font: F.greatest(font * LINE_SHARE, F.lit(LINE_LEAST)))
+    return lines.groupBy(*cell, "line").agg(_in_order("x").alias("text"))
+
+
+def _in_order(*order: str) -> Column:
+    """The texts of a group as one, in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda w: w["text"]), " ")
+
+
+def _within_first(words: DataFrame, keys: list[str], name: str, tolerance) -> DataFrame:
+    """words with a running number of groups downwards: a group holds what is within tolerance(font size of the keys' first word) of its first word."""
+    first = words.groupBy(*keys).agg(F.min(F.struct("y", "x", "text", "font_size"))["font_size"].alias("__font"))
+    sized = written(words.join(first, keys), "sized-words")
+    return anchored_groups(sized, keys, "y", F.col("y") + tolerance(F.col("__font")), name).drop("__font")
 
 
 def expand_width_runs(runs: DataFrame, first: str = "first", last: str = "last", most: int = 4096) -> DataFrame:

@@ -1,8 +1,7 @@
 """Entity resolution: one entity for the spellings and keys that mean the same.
 
-Lookups are joins against stored state; drafts that match nothing are grouped by their own
-identity, so that a later draft of a batch finds the entity an earlier one made, without a
-sequential pass.
+Lookups are joins against stored state; within a batch, labels are handed from earlier drafts to later
+ones, so that a draft finds the entity an earlier one made, without a sequential pass.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutyframe.functions.text import matching_key
+from dutyframe.operators.scan import Segments
+from dutyframe.operators.tables import written
 
 
 def match(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -20,14 +21,20 @@ def match(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, alias
     drafts: source_id, local_id, kind, name_folded, identity. Keys match within a kind. Where
     several entities match, the smallest id is taken.
     """
+    by_key, by_name, by_alias = _stored(external_ids, entities, aliases)
+    found = drafts.join(by_key, ["source_id", "local_id", "kind"], "left").join(by_name, ["kind", "name_folded"], "left").join(by_alias, ["kind", "name_folded"], "left")
+    loose = F.when(F.col("identity") == "name", F.coalesce("id_by_name", "id_by_alias"))
+    return found.withColumn("entity_id", F.coalesce("id_by_key", loose)).drop("id_by_key", "id_by_name", "id_by_alias")
+
+
+def _stored(external_ids: DataFrame, entities: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The smallest stored id for each key, name and alias."""
     kinds = entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("key_kind"))
     by_key = external_ids.join(kinds, "entity_id").groupBy(F.col("scheme").alias("source_id"), F.col("value").alias("local_id"), F.col("key_kind").alias("kind")).agg(F.min("entity_id").alias("id_by_key"))
     by_name = entities.groupBy("kind", "name_folded").agg(F.min("id").alias("id_by_name"))
     named = aliases.join(kinds, "entity_id")
     by_alias = named.groupBy(F.col("key_kind").alias("kind"), F.col("alias_folded").alias("name_folded")).agg(F.min("entity_id").alias("id_by_alias"))
-    found = drafts.join(by_key, ["source_id", "local_id", "kind"], "left").join(by_name, ["kind", "name_folded"], "left").join(by_alias, ["kind", "name_folded"], "left")
-    loose = F.when(F.col("identity") == "name", F.coalesce("id_by_name", "id_by_alias"))
-    return found.withColumn("entity_id", F.coalesce("id_by_key", loose)).drop("id_by_key", "id_by_name", "id_by_alias")
+    return by_key, by_name, by_alias
 
 
 def with_new_ids(matched: DataFrame, base: int) -> DataFrame:
@@ -45,6 +52,59 @@ def with_new_ids(matched: DataFrame, base: int) -> DataFrame:
     return joined.withColumn("is_new", F.col("entity_id").isNull()).withColumn("entity_id", F.coalesce("entity_id", "__new")).drop("__who", "__new")
 
 
+#: Labels of stored entities lie below those of new ones, which are the places of the drafts that make them.
+_STORED = 1 << 62
+
+
+def settle(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, aliases: DataFrame, base: int, order: list[str]) -> DataFrame:
+    """drafts with entity_id, is_new (the draft that makes its entity) and __order, as if they had come one after the other.
+
+    drafts: source_id, local_id, kind, name_folded, identity; order: columns that tell which comes first (rows that
+    tie are taken in the order of the others). A draft finds its entity
+
+    1. by its key (source, local id, kind), stored or of an earlier draft;
+    2. else, where names identify, by its name: of the stored entities of that name and those that an earlier draft
+       of the batch has called so, whatever its identity, the one made first;
+    3. else by a stored alias (the smallest id).
+
+    If it finds none it makes one; new ids follow base in the order of the drafts that make them. A null in key or name
+    is a value like others. So a key's first draft decides for all of them, and the entity of a first draft is that of an earlier key or its own: labels are handed
+    down from earlier keys to later ones in rounds, as many as names are passed on from key to key. One name's keys are a
+    running minimum in the order of their first use, which is cut where a name is very common.
+    """
+    key, name = ["source_id", "local_id", "kind"], ["kind", "name_folded"]
+    others = [c for c in (*key, "name_folded", "identity", "snapshot_id", "payload", "name") if c in drafts.columns and c not in order]
+    placed = written(drafts.sort(*order, *others).withColumn("__order", F.monotonically_increasing_id()), "drafts")
+    by_key, by_name, by_alias = _stored(external_ids, entities, aliases)
+
+    def left(rows: DataFrame, more: DataFrame, on: list[str], kept: list[str]) -> DataFrame:
+        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in on]
+        return rows.alias("d").join(more.alias("o"), same, "left").select("d.*", *[F.col(f"o.{c}") for c in kept])
+
+    first = placed.groupBy(*key).agg(F.min_by(F.struct("name_folded", "identity", "__order"), "__order").alias("f")).select(*key, "f.*")
+    known = left(left(left(first, by_key, key, ["id_by_key"]), by_name, name, ["id_by_name"]), by_alias, name, ["id_by_alias"])
+    label = lambda c: F.col(c) - _STORED
+    own = F.when(F.col("id_by_key").isNotNull(), label("id_by_key")).when(F.coalesce(F.col("identity") != "name", F.lit(True)), F.col("__order"))
+    known = known.select(*key, "name_folded", "__order", own.isNotNull().alias("settled"), own.alias("label"), label("id_by_name").alias("named"), F.coalesce(label("id_by_alias"), F.col("__order")).alias("otherwise"))
+    known = written(known, "keys")
+    # a key counts for a name from its first draft of that name on
+    uses = written(placed.groupBy(*key, "name_folded").agg(F.min("__order").alias("__use")), "uses")
+    while True:
+        told = written(left(uses, known, key, ["label"]), "told")
+        before = Segments(told, name, ["__use"]).scan("__earlier", F.col("label"), "min", before=True).scan("__any", F.lit(1), "max", before=True).rows()
+        seen = left(known.withColumn("__use", F.col("__order")), before, [*key, "__use"], ["__earlier", "__any"])
+        by_use = F.when(F.col("__any").isNull(), F.coalesce("named", "otherwise")).otherwise(F.least("__earlier", "named"))
+        after = written(seen.withColumns({"__was": F.col("label"), "label": F.when(F.col("settled"), F.col("label")).otherwise(by_use)}).drop("__use", "__earlier", "__any"), "keys")
+        known = after.drop("__was")
+        if after.filter(~F.col("label").eqNullSafe(F.col("__was"))).isEmpty():
+            break
+    fresh = known.filter("label >= 0").select("label").distinct().sort("label").withColumn("__row", F.monotonically_increasing_id())
+    ids = dense_ids(written(fresh, "labels"), "__row", "__id", base)
+    final = left(known.select(*key, "label"), ids.select("label", "__id"), ["label"], ["__id"]).select(*key, "label", F.coalesce("__id", F.col("label") + _STORED).alias("entity_id"))
+    out = left(placed, final, key, ["label", "entity_id"])
+    return written(out.withColumn("is_new", F.col("label") == F.col("__order")).drop("label"), "settled")
+
+
 def dense_ids(rows: DataFrame, running: str, name: str, base: int) -> DataFrame:
     """rows with name instead of running, a monotonically increasing id: base + 1, base + 2, ... in its order.
 

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutyframe.functions.geo import bounding_box, distance_km
+from dutyframe.functions.geo import bounding_box, distance_km, valid_point
 from dutyframe.functions.text import matching_key
 from dutyframe.operators.schemas import KINDS
 
@@ -71,6 +71,25 @@ def read_kind(text: str) -> str:
     return text
 
 
+def read_requests(asked: DataFrame) -> DataFrame:
+    """Requests as a table (near `lat,lon`, date, kind, limit, radius, all text or null) with their arguments read.
+
+    limit, radius_km: clamped, the defaults where there is none or no number; lat, lon, day, kind: null where there is none or it is refused; refused: the
+    names of the arguments that can't be taken, in order. Other columns stay.
+    """
+    point = valid_point(*[F.trim(F.regexp_extract("near", r"^([^,]*),([^,]*)$", k)).try_cast("double") for k in (1, 2)])
+    day = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd"))
+    kind = F.when(F.col("kind").isin(KINDS), F.col("kind"))
+    rows = F.coalesce(F.col("limit").try_cast("int"), F.lit(DEFAULT_ROWS))
+    km = F.coalesce(F.col("radius").try_cast("double"), F.lit(DEFAULT_RADIUS_KM))
+    bad = [F.when(F.col(name).isNotNull() & read.isNull(), F.lit(name)) for name, read in (("near", point), ("date", day), ("kind", kind))]
+    others = [c for c in asked.columns if c not in ("near", "date", "kind", "limit", "radius")]
+    return asked.select(
+        *others, F.least(F.greatest(rows, F.lit(1)), F.lit(MAX_ROWS)).alias("limit"), F.least(F.greatest(km, F.lit(MIN_RADIUS_KM)), F.lit(MAX_RADIUS_KM)).alias("radius_km"),
+        point["lat"].alias("lat"), point["lon"].alias("lon"), day.alias("day"), kind.alias("kind"), F.array_compact(F.array(*bad)).alias("refused"),
+    )
+
+
 def response(rows: DataFrame, column: str = "payload") -> DataFrame:
     """One row: the number of rows and all of them as nested JSON, as the reading queries answer (they stop at MAX_ROWS)."""
     lines = nested_payload(rows.limit(MAX_ROWS), column)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dutyframe.operators import locate, store
-from dutyframe.sources.base import ISSUE, RECORD, Source
+from dutyframe.operators.tables import written
+from dutyframe.sources.base import Source, SourceFailed
 
-Parse = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 REFERENCE = "source_id string, method string, url string, form string, published_date date, revision int, label string"
 PASS = "source_id string, outcome string, documents long, skipped long, failed long, detail string"
 
@@ -37,84 +37,51 @@ def documents(references: DataFrame, landed: DataFrame) -> tuple[DataFrame, Data
     return asked.join(keyed, "key").select(*columns, "sha256", "content"), asked.join(keyed, "key", "left_anti").select(*columns)
 
 
-def isolated(parse: Parse, folder: str) -> Parse:
-    """parse, with the documents that break it told apart: they get an issue `document_failed`, all others are parsed.
+def ingest_source(own: store.RecordStore, source: Source, listings: DataFrame, landed: DataFrame, first: str, last: str, batch: int, reparse: bool = False) -> dict[str, int]:
+    """The counters of one source: documents of its listings in the window that have landed; those that haven't count as failed.
 
-    A batch that fails is cut in half by id until single documents are left, so one bad document
-    costs about log2(batch) more runs. Results are written to folder. A mistake in the plan itself
-    (an AnalysisException) isn't a document's fault and is raised.
+    A parser gives a document that it can't read as an issue `document_failed`, a row like others; so any error of a job
+    here is one of the plan or of the machines, and is raised.
     """
-    spark_schema = {"records": RECORD, "issues": ISSUE}
-
-    def attempt(rows: DataFrame, name: str) -> list[str]:
-        try:
-            records, issues = parse(rows)
-            for kind, df in (("records", records), ("issues", issues)):
-                df.select(*[c.strip().split(" ")[0] for c in spark_schema[kind].split(",")]).write.mode("overwrite").parquet(f"{folder}/{kind}/{name}")
-            return [name]
-        except AnalysisException:
-            raise
-        except PySparkException as error:
-            ends = rows.agg(F.count_distinct("snapshot_id"), F.percentile_approx("snapshot_id", 0.5), F.max("snapshot_id")).first()
-            if ends[0] <= 1:
-                detail = str(error).strip().splitlines()[0][:300]
-                failed = rows.select("snapshot_id", "source_id").distinct()
-                failed = failed.select("snapshot_id", "source_id", F.lit("error").alias("severity"), F.lit("document_failed").alias("code"), F.lit(detail).alias("detail"))
-                failed.write.mode("overwrite").parquet(f"{folder}/issues/{name}")
-                rows.sparkSession.createDataFrame([], RECORD).write.mode("overwrite").parquet(f"{folder}/records/{name}")
-                return [name]
-            middle = ends[1] if ends[1] < ends[2] else ends[1] - 1
-            return attempt(rows.filter(F.col("snapshot_id") <= middle), f"{name}0") + attempt(rows.filter(F.col("snapshot_id") > middle), f"{name}1")
-
-    def run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        names = attempt(rows, "p")
-        spark = rows.sparkSession
-        return tuple(spark.read.schema(spark_schema[kind]).parquet(*[f"{folder}/{kind}/{n}" for n in names]) for kind in ("records", "issues"))
-
-    return run
-
-
-def ingest_source(own: store.RecordStore, source: Source, listings: DataFrame, landed: DataFrame, first: str, last: str, batch: int, reparse: bool = False) -> dict[str, int]:
-    """The counters of one source: documents of its listings in the window that have landed; those that haven't count as failed."""
     found, missing = documents(source.discover(listings, first, last), landed)
     absent = missing.select(F.lit(None).cast("long").alias("snapshot_id"), "source_id", F.lit("error").alias("severity"), F.lit("not_landed").alias("code"), F.concat_ws(" ", F.nullif("url", F.lit("")), "form").alias("detail"))
-    parse = isolated(source.parse, own.path(f"_parsed/{source.id}-{batch}"))
 
     def with_absent(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        records, issues = parse(rows)
+        records, issues = source.parse(rows)
         return records, issues.unionByName(absent)
 
-    counts = own.ingest(found, with_absent, batch, reparse)
+    counts = own.ingest(found, with_absent, batch, reparse, writer=source.id)
     return counts | {"failed": counts["failed"] + missing.count()}
 
 
 def run_pass(own: store.RecordStore, sources: Iterable[Source], listings: dict[str, DataFrame], landed: DataFrame, first: str, last: str, batch: int, places: DataFrame | None = None) -> DataFrame:
     """A row per source (see PASS) of one pass, and one for locating if anything new has come.
 
-    Sources run in turn, each as a batch of its own (batch, batch + 1, ...). One that fails as a
-    whole is told so in its row, and the next one still runs. places: query responses (json).
+    Sources run in turn, each as a batch of its own. One whose plan can't be made (its documents lack what it
+    reads, or it says so by SourceFailed) is told so in its row, and the next one still runs. A job that
+    fails is raised: a lost executor or a full disk says nothing about a source. places: query responses (json).
     """
     out = []
-    for k, source in enumerate(sources):
+    for source in sources:
         try:
-            c = ingest_source(own, source, listings[source.id], landed, first, last, batch + k)
+            c = ingest_source(own, source, listings[source.id], landed, first, last, batch)
             out.append((source.id, "done", c["documents"], c["skipped"], c["failed"], None))
-        except PySparkException as error:
+        except (AnalysisException, SourceFailed) as error:
             out.append((source.id, "failed", 0, 0, 0, str(error).strip().splitlines()[0][:300]))
     if places is not None and any(r[2] for r in out):
-        report = {r["outcome"]: r["n"] for r in locate_entities(own, places, batch + len(out)).collect()}
+        report = {r["outcome"]: r["n"] for r in locate_entities(own, places).collect()}
         detail = ", ".join(f"{report.get(k, 0)} {k}" for k in ("located", "ambiguous", "unmatched"))
         out.append(("locate", "done", sum(report.values()), 0, 0, detail))
     return own.spark.createDataFrame(out, PASS)
 
 
-def locate_entities(own: store.RecordStore, responses: DataFrame, batch: int, kind: str = "hospital") -> DataFrame:
-    """Places for the stored entities of a kind that lack one: what was found is stored, the counts are returned."""
+def locate_entities(own: store.RecordStore, responses: DataFrame, kind: str = "hospital") -> DataFrame:
+    """Places for the stored entities of a kind that lack one: what was found is stored as a version, the counts are returned."""
     lacking = locate.lacking_place(own.entities(), kind)
-    path = own.path(f"_located/{batch}")
-    locate.match_places(lacking.select("id", "name"), locate.candidates(responses)).write.mode("overwrite").parquet(path)
-    matches = own.spark.read.parquet(path)
+    change = store.Transaction(own)
+    matches = written(locate.match_places(lacking.select("id", "name"), locate.candidates(responses)), "located")
     found = matches.filter("outcome = 'located'")
     placed = locate.set_places(lacking.join(found.select("id"), "id", "left_semi"), found)
-    own.put("entity", placed.withColumn("updated_at", F.current_timestamp()), batch)
+    change.put("entity", placed.withColumn("updated_at", F.current_timestamp()))
+    change.commit()
     return locate.locate_report(matches)

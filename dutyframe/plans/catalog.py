@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dutyframe.functions import dates, geo, text
-from dutyframe.operators import layout, locate, resolve, serve, similar, store, supersede
+from dutyframe.operators import layout, locate, resolve, scan, serve, similar, store, supersede
 from dutyframe.plans.roles import parts, places, properties, scratch, snapshots, table
 from dutyframe.sources import html
 
@@ -267,9 +267,40 @@ w AS (SELECT user_id, k, t AS anchor, 1 AS g FROM o WHERE k = 1
 SELECT user_id, CAST(max(g) AS INT) AS groups FROM w GROUP BY user_id""")
 def gap_islands_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups whose every member lies within ten hours of the group's first."""
-    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "at"))), lambda r: r["at"]).alias("at"))
-    return lists.select("user_id", F.element_at(layout.anchored_groups(F.col("at"), lambda a, v: v - a <= 36000), -1)["group"].alias("groups"))
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return layout.anchored_groups(e, ["user_id"], "at", F.col("at") + 36000, "g").groupBy("user_id").agg(F.max("g").alias("groups"))
+
+
+@query("""
+SELECT event_id, CAST(sum(CASE WHEN gap IS NULL OR gap > 300 THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS INT) AS island FROM (
+  SELECT ts, event_id, epoch(ts) - lag(epoch(ts)) OVER (ORDER BY ts, event_id) AS gap FROM events)""")
+def islands_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one run: its rows are cut into segments and spread over tasks."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return scan.islands(e, [], ["ts", "event_id"], lambda before: F.col("at") - before("at") > 300, "island", most=1000).select("event_id", "island")
+
+
+@query("""
+WITH c AS (SELECT event_id, ts FROM events WHERE event_type <> 'purchase'), p AS (SELECT ts, max(event_id) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT c.event_id, p.purchase FROM c ASOF LEFT JOIN p ON c.ts >= p.ts""")
+def floor_join_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last purchase of anybody at or before it: one key, spread over tasks."""
+    e = table(spark, sf_dir, "events")
+    marks = e.filter("event_type = 'purchase'").groupBy("ts").agg(F.max("event_id").alias("purchase"))
+    points = e.filter("event_type != 'purchase'").select("event_id", F.col("ts").alias("at"))
+    return scan.floor_join(points, marks, [], "at", "ts", "purchase", most=1000).select("event_id", "purchase")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT CAST(round(o_totalprice * 100) AS BIGINT) AS v, row_number() OVER (ORDER BY CAST(round(o_totalprice * 100) AS BIGINT), o_orderkey) AS k FROM orders),
+w AS (SELECT k, v AS anchor, 1 AS g FROM o WHERE k = 1
+  UNION ALL SELECT o.k, CASE WHEN o.v - w.anchor <= 50000 THEN w.anchor ELSE o.v END, CASE WHEN o.v - w.anchor <= 50000 THEN w.g ELSE w.g + 1 END FROM w JOIN o ON o.k = w.k + 1)
+SELECT g AS "group", count(*) AS n, min(anchor) AS first FROM w GROUP BY g""")
+def anchored_groups_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order prices in groups that reach 500 beyond their least one: all orders are one key."""
+    o = table(spark, sf_dir, "orders").select(F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+    grouped = scan.anchored_groups(o, [], "v", F.col("v") + 50000, "group", most=1000)
+    return grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"))
 
 
 _CELLS = "(SELECT event_type, CAST(user_id AS BIGINT) AS cell, min(value) AS start, min(value) + 0.5 AS \"end\" FROM events GROUP BY ALL)"
@@ -372,25 +403,20 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("lines").alias("n_lines"), F.size(F.filter("lines", lambda x: x.startswith("("))).alias("n_remarks"))
 
 
-@query(f"SELECT id, attribution FROM (VALUES ('fsa-attica-pharmacies', 'Pharmacists'' Association of Attica'), ('moh-attica-hospitals', 'Ministry of Health')) v(id, attribution)")
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serve.sources_table(spark).select("id", "attribution")
-
-
 @query("SELECT user_id, event_type, revision, event_id FROM (SELECT *, CAST(floor(value) AS BIGINT) AS revision, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(value) AS BIGINT) DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest revision per key, by a stream over the events that runs to its end."""
-    from dutyframe.streaming.refresh import latest_revisions
+    """The latest revision per key, by a stream over the events in several batches, stopped and started again midway."""
+    from dutyframe.streaming import refresh
 
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    top = latest_revisions(stream.withColumn("revision", F.floor("value").cast("long")), ["user_id", "event_type"], "revision", "event_id")
+    refresh.state_store(spark)
+    e = table(spark, sf_dir, "events")
     place = scratch(spark, "latest")
-    last = []
-
-    def keep(rows: DataFrame, batch: int) -> None:  # the whole state of the batch, as a table in the shared folder
-        rows.write.mode("overwrite").parquet(f"{place}/{batch}")
-        last.append(batch)
-
-    top.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(top.schema).parquet(f"{place}/{last[-1]}")
+    half = e.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    early = F.unix_micros(F.col("ts").cast("timestamp")) <= half
+    for rows in (e.filter(early), e.filter(~early)):  # the second half lands when the first run is over
+        rows.repartitionByRange(4, "ts").write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/in")
+        rising = refresh.rising_revisions(stream.withColumn("revision", F.floor("value").cast("long")), ["user_id", "event_type"], "revision", "event_id", "ts", "3650 days")
+        refresh.keep_batches(rising, f"{place}/out", f"{place}/check").awaitTermination()
+    told = spark.read.schema(rising.schema).parquet(f"{place}/out")
+    return supersede.latest(told, ["user_id", "event_type"], ["revision", "event_id"]).select("user_id", "event_type", "revision", "event_id")

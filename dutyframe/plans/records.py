@@ -1,158 +1,15 @@
-"""Queries over literal documents: every text, layout and source rule, and the store's scenarios, with what they must give."""
+"""Queries of the smaller rules over the provided tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dutyframe.config import from_env
-from dutyframe.functions import dates, geo, text, times
-from dutyframe.operators import layout, locate, names, serve, store, update
-from dutyframe.operators.schemas import TABLES
-from dutyframe.plans import golden
+from dutyframe.functions import dates
+from dutyframe.operators import serve, store, update
 from dutyframe.plans.catalog import query
-from dutyframe.plans.golden import as_sql
 from dutyframe.plans.roles import scratch
-from dutyframe.sources import raw, registry
-from dutyframe.sources.base import ISSUE, RECORD, Source
-
-
-@query(as_sql("column INTEGER, label VARCHAR, row INTEGER, row_label VARCHAR, line INTEGER, text VARCHAR, page INTEGER", [
-    (1, "09:00 – 15:30", 1, "Πρώτη", 1, "Π.Ν.Α. «ΑΝΑΤΟΛΗ»", 1), (1, "09:00 – 15:30", 1, "Πρώτη", 2, "Π.Ν.Β.ΝΙΚΑΙΑΣ", 1),
-    (2, "15:30 – 09:00", 1, "Πρώτη", 1, "Π.Ν.Α. «ΔΥΣΗ»", 1), (2, "15:30 – 09:00", 2, "Δεύτερη", 1, "Π.Ν.Α. «ΝΟΤΟΣ»", 1),
-]))
-def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The layout pipeline over a rota page of positioned words."""
-    return layout.reconstruct(golden.rota_words(spark), ["page"], names.is_table_header)
-
-
-@query(as_sql("input VARCHAR, date VARCHAR", golden.DATES))
-def golden_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.rows(spark, golden.DATES).select("input", dates.parse_date(F.col("input")).cast("string").alias("date"))
-
-
-@query(as_sql("input VARCHAR, start INTEGER, \"end\" INTEGER, ends_next_day BOOLEAN", [(i, *w) for i, ws in golden.TIMES for w in ws]))
-def golden_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.rows(spark, golden.TIMES).select("input", F.explode_outer(times.parse_ranges(F.col("input"))).alias("w")).select("input", "w.*")
-
-
-@query(as_sql("input VARCHAR, revision INTEGER", golden.REVISIONS))
-def golden_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden.rows(spark, golden.REVISIONS).select("input", dates.parse_revision(F.col("input")).alias("revision"))
-
-
-@query(as_sql("input VARCHAR, upper VARCHAR, fold VARCHAR, key VARCHAR", golden.FOLDS))
-def golden_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("input")
-    return golden.rows(spark, golden.FOLDS).select("input", text.strip_accents_upper(c).alias("upper"), text.fold(c).alias("fold"), text.matching_key(c).alias("key"))
-
-
-@query(as_sql("input VARCHAR, month INTEGER", golden.MONTHS))
-def golden_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Month names with typos: the one nearest month, if there is one."""
-    return golden.rows(spark, golden.MONTHS).select("input", dates.month_number(F.col("input")).alias("month"))
-
-
-@query(as_sql("id INTEGER, line INTEGER, name VARCHAR, notes VARCHAR", [(k, *e) for k, _, entries in golden.ENTRIES for e in entries]))
-def name_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a column to entries: wrapped names joined, remarks and closing times moved to notes."""
-    lines = spark.createDataFrame([(k, x) for k, x, _ in golden.ENTRIES], "id int, lines array<string>")
-    return lines.select("id", F.explode(names.split_entries(F.col("lines"))).alias("e")).select("id", "e.*")
-
-
-_LINES = ["Π.Ν. «ΔΥΣΗ", "Π.Ν.", "ΑΝΑΤΟΛΗ έως", "έως και", "» ΔΥΣΗ", "ΛΙΜΑΝΙ 21:15", "a<b> & \"c\""]
-
-
-@query(as_sql("line VARCHAR, unclosed BOOLEAN, opens BOOLEAN, bare BOOLEAN, trails BOOLEAN, connectors BOOLEAN, suspicious BOOLEAN, goes_on BOOLEAN, escaped VARCHAR, name VARCHAR", [
-    ("Π.Ν. «ΔΥΣΗ", True, True, False, False, False, True, False, "Π.Ν. «ΔΥΣΗ", "Π.Ν. «ΔΥΣΗ"), ("Π.Ν.", False, True, True, False, False, False, False, "Π.Ν.", "Π.Ν."),
-    ("ΑΝΑΤΟΛΗ έως", False, False, False, True, False, False, True, "ΑΝΑΤΟΛΗ έως", "ΑΝΑΤΟΛΗ έως"), ("έως και", False, False, False, True, True, False, True, "έως και", "έως και"),
-    ("» ΔΥΣΗ", False, False, False, False, False, True, True, "» ΔΥΣΗ", "» ΔΥΣΗ"), ("ΛΙΜΑΝΙ 21:15", False, False, False, False, False, False, True, "ΛΙΜΑΝΙ 21:15", "ΛΙΜΑΝΙ"),
-    ("a<b> & \"c\"", False, False, False, False, False, False, True, "a&lt;b&gt; &amp; &quot;c&quot;", "a<b> & \"c\""),
-]))
-def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules that tell how lines of names go on."""
-    c = F.col("line")
-    rows = spark.createDataFrame([(x,) for x in _LINES], "line string")
-    return rows.select(
-        "line", text.unclosed_quote(c).alias("unclosed"), text.opens_entry(c).alias("opens"), text.is_bare_abbreviation(c).alias("bare"), text.trails_off(c).alias("trails"), text.only_connectors(c).alias("connectors"),
-        names.is_suspicious(c).alias("suspicious"), text.continues(F.lit("Π.Ν.Α"), c).alias("goes_on"), text.html_escape(c).alias("escaped"), text.split_trailing_hours(c)["name"].alias("name"),
-    )
-
-
-@query(as_sql("input VARCHAR, header BOOLEAN, tokens VARCHAR, symbols VARCHAR", [
-    ("ΚΛΙΝΙΚΕΣ", True, "ΚΛΙΝΙΚΕΣ", "ΚΛΙΝΙΚΕΣ"), ("09:00 – 15:30", True, "09|:|00|–|15|:|30", "09:00 – 15:30"), ("8ΜΑΙΟΥ 2025", False, "8|ΜΑΙΟΥ|2025", "8ΜΑΙΟΥ 2025"), (" 7", False, "|7", "OK 7"),
-]))
-def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table headers, runs of letters and digits, and characters of symbol fonts."""
-    c = F.col("input")
-    rows = spark.createDataFrame([("ΚΛΙΝΙΚΕΣ",), ("09:00 – 15:30",), ("8ΜΑΙΟΥ 2025",), (" 7",)], "input string")
-    return rows.select("input", names.is_table_header(c).alias("header"), F.array_join(text.tokens(c), "|").alias("tokens"), text.unmap_symbols(c).alias("symbols"))
-
-
-_GLYPHS = [("Γ", 0.0, 50.0, 6.0), ("Ε", 6.0, 50.5, 6.0), ("Α", 20.0, 51.0, 6.0), (" ", 26.0, 51.0, 3.0), ("2", 29.0, 51.0, 6.0), ("Χ", 0.0, 70.0, 6.0)]
-
-
-@query(as_sql("line INTEGER, word INTEGER, text VARCHAR, x DOUBLE, width DOUBLE, end_x DOUBLE, centre_x DOUBLE", [
-    (1, 1, "ΓΕ", 0.0, 12.0, 12.0, 6.0), (1, 2, "Α", 20.0, 6.0, 26.0, 23.0), (1, 3, "2", 29.0, 6.0, 35.0, 32.0), (2, 1, "Χ", 0.0, 6.0, 6.0, 3.0),
-]))
-def glyph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glyphs to lines and words, with the words' ends and centres."""
-    glyphs = spark.createDataFrame([(1, t, x, y, a, 10.0) for t, x, y, a in _GLYPHS], "page int, text string, x double, y double, advance double, font_size double")
-    w = layout.words_of_glyphs(glyphs, ["page"])
-    return w.select("line", "word", "text", "x", "width", layout.end_x(F.col("x"), F.col("width")).alias("end_x"), layout.centre_x(F.col("x"), F.col("width")).alias("centre_x"))
-
-
-@query(as_sql("code INTEGER, width DOUBLE", [(3, 226.0), (4, 226.0), (5, 226.0), (9, 1.0)]))
-def glyph_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spark.createDataFrame([(3, 5, 226.0), (0, 65535, 1000.0), (9, 9, 1.0), (9, 8, 1.0)], "first int, last int, width double")
-    return layout.expand_width_runs(runs).select("code", "width")
-
-
-_POINTS = ["?query=37.5,23.5", "?x=1&query=37.5%2C23.5&z", "?query=37.5", "?query=91,0", "Point(23.5 37.5)", "Point(23.5)", ""]
-
-
-@query(as_sql("input VARCHAR, link_lat DOUBLE, link_lon DOUBLE, wkt_lat DOUBLE, wkt_lon DOUBLE", [
-    ("?query=37.5,23.5", 37.5, 23.5, None, None), ("?x=1&query=37.5%2C23.5&z", 37.5, 23.5, None, None), ("?query=37.5", None, None, None, None), ("?query=91,0", None, None, None, None),
-    ("Point(23.5 37.5)", None, None, 37.5, 23.5), ("Point(23.5)", None, None, None, None), ("", None, None, None, None),
-]))
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates of map links and of well-known text; those out of range are none."""
-    rows = spark.createDataFrame([(x,) for x in _POINTS], "input string").withColumns({"link": geo.point_of_map_link(F.col("input")), "wkt": geo.point_of_wkt(F.col("input"))})
-    return rows.select("input", F.col("link.lat").alias("link_lat"), F.col("link.lon").alias("link_lon"), F.col("wkt.lat").alias("wkt_lat"), F.col("wkt.lon").alias("wkt_lon"))
-
-
-def _told(f, *args) -> str:
-    try:
-        return str(f(*args))
-    except ValueError:
-        return "refused"
-
-
-@query(as_sql("argument VARCHAR, told VARCHAR", [
-    ("near 37.9, 23.7", "(37.9, 23.7)"), ("near 37.9", "refused"), ("near 91,0", "refused"), ("date 2025-03-11", "2025-03-11"), ("date 11/3/2025", "refused"), ("kind hospital", "hospital"), ("kind bakery", "refused"),
-    ("limit 0", "1"), ("limit 100", "100"), ("limit 9999", "500"), ("radius 0", "0.1"), ("radius 3", "3"), ("radius 99", "50.0"),
-]))
-def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arguments of the reading queries: read, refused or clamped."""
-    read = {"near": geo.read_point, "date": geo.read_date, "kind": serve.read_kind, "limit": lambda v: serve.clamp_rows(int(v)), "radius": lambda v: serve.clamp_radius(int(v))}
-    asked = ["near 37.9, 23.7", "near 37.9", "near 91,0", "date 2025-03-11", "date 11/3/2025", "kind hospital", "kind bakery", "limit 0", "limit 100", "limit 9999", "radius 0", "radius 3", "radius 99"]
-    return spark.createDataFrame([(a, _told(read[a.split(" ", 1)[0]], a.split(" ", 1)[1])) for a in asked], "argument string, told string")
-
-
-@query(as_sql("given VARCHAR, store VARCHAR, landing VARCHAR, refresh VARCHAR, reparse BOOLEAN", [
-    ("", "store", "landing", "processingTime 180 minutes", False), ("STORE=/s REFRESH_MINUTES=15 REPARSE=1", "/s", "landing", "processingTime 15 minutes", True), ("REFRESH_MINUTES=0", "store", "landing", "availableNow True", False),
-    ("REFRESH_MINUTES=soon", None, None, "refused", None),
-]))
-def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings from environment variables over defaults."""
-    out = []
-    for given in ("", "STORE=/s REFRESH_MINUTES=15 REPARSE=1", "REFRESH_MINUTES=0", "REFRESH_MINUTES=soon"):
-        try:
-            s = from_env({f"DUTYFRAME_{k}": v for k, _, v in (x.partition("=") for x in given.split())})
-            out.append((given, s.store, s.landing, " ".join(str(x) for pair in s.trigger.items() for x in pair), s.reparse))
-        except ValueError:
-            out.append((given, None, None, "refused", None))
-    return spark.createDataFrame(out, "given string, store string, landing string, refresh string, reparse boolean")
+from dutyframe.sources import raw
 
 
 @query("""
@@ -179,13 +36,6 @@ def request_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update.requests(p).select("page_id", raw.identity(F.col("url"), F.col("form")).alias("identity"), hint.alias("hint"), "method")
 
 
-@query(as_sql("x VARCHAR, n INTEGER", [("ok", 1), ("a\ufffdb", 1), ("", 1)]))
-def lossy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes that are no UTF-8 become replacement characters."""
-    rows = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"a\xffb"),), (bytearray(b""),)], "b binary")
-    return rows.select(raw.decode(F.col("b")).alias("x"), F.lit(1).alias("n"))
-
-
 @query("SELECT sha256(region.r_name || chr(10)) AS sha256, r_name || chr(10) AS content, CAST(1 AS BIGINT) AS files FROM region")
 def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a landing zone, read as documents: one is landed for each region."""
@@ -195,213 +45,6 @@ def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.landed(spark, path, "*.txt").groupBy("sha256", "content").agg(F.count_distinct("url").alias("files"))
 
 
-_RECORD = "local_id VARCHAR, kind VARCHAR, name VARCHAR, address VARCHAR, municipality VARCHAR, lat DOUBLE, lon DOUBLE, on_date VARCHAR, starts_at VARCHAR, ends_at VARCHAR, type VARCHAR"
-
-
-def _shown(records: DataFrame) -> DataFrame:
-    moments = [F.col(c).cast("string").alias(c) for c in ("on_date", "starts_at", "ends_at")]
-    return records.select("local_id", "kind", "name", "address", "municipality", "lat", "lon", *moments, F.get_json_object("payload", "$.type").alias("type"))
-
-
-def _cards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, golden.CARDS, golden.DAY), (2, "<p>nothing today", golden.DAY)], "snapshot_id long, content string, published_date date")
-
-
-@query(as_sql(_RECORD, [
-    ("7001", "pharmacy", "ΔΟΚΙΜΗ ΠΡΩΤΗ", "ΟΔΟΣ ΑΛΦΑ 1", "ΒΟΡΡΑΣ", 37.91, 23.74, "2025-03-11", "2025-03-11 09:00:00", "2025-03-11 13:00:00", "pharmacy_on_call"),
-    ("7001", "pharmacy", "ΔΟΚΙΜΗ ΠΡΩΤΗ", "ΟΔΟΣ ΑΛΦΑ 1", "ΒΟΡΡΑΣ", 37.91, 23.74, "2025-03-11", "2025-03-11 18:00:00", "2025-03-11 22:00:00", "pharmacy_on_call"),
-    ("7002", "pharmacy", "ΔΟΚΙΜΗ ΔΕΥΤΕΡΗ", "ΟΔΟΣ ΒΗΤΑ 2", "ΒΟΡΡΑΣ", None, None, "2025-03-11", "2025-03-11 08:00:00", "2025-03-11 14:00:00", "pharmacy_on_call"),
-    ("7003", "pharmacy", "ΔΟΚΙΜΗ ΤΡΙΤΗ", "ΟΔΟΣ ΓΑΜΑ 3", "ΒΟΡΡΑΣ", None, None, "2025-03-11", None, None, "pharmacy_on_call"),
-]))
-def pharmacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of duty pharmacies: split shifts, swapped fields, unreadable hours and places."""
-    return _shown(registry.by_id("fsa-attica-pharmacies").parse(_cards(spark))[0])
-
-
-@query(as_sql("snapshot_id BIGINT, severity VARCHAR, code VARCHAR, n BIGINT", [(1, "warning", "card_without_id", 1), (1, "warning", "missing_location", 2), (1, "warning", "unreadable_hours", 1), (2, "warning", "empty_document", 1)]))
-def pharmacy_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = registry.by_id("fsa-attica-pharmacies").parse(_cards(spark))[1]
-    return issues.groupBy("snapshot_id", "severity", "code").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(as_sql("form VARCHAR, day VARCHAR", [("Date=2025-03-10", "2025-03-10"), ("Date=2025-03-11", "2025-03-11")]))
-def pharmacy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the date picker offers within a window, whose bounds may be swapped."""
-    page = spark.createDataFrame([(1, golden.PICKER)], "page_id int, html string")
-    found = registry.by_id("fsa-attica-pharmacies").discover(page, "2025-03-20", "2025-03-10")
-    return found.select("form", F.col("published_date").cast("string").alias("day"))
-
-
-@query(as_sql("url VARCHAR, day VARCHAR, revision INTEGER", [
-    ("https://www.moh.gov.gr/articles/citizen/efhmeries-nosokomeiwn/68-efhmeries-nosokomeiwn-attikhs?fdl=11", "2025-03-11", 0),
-    ("https://www.moh.gov.gr/articles/citizen/efhmeries-nosokomeiwn/68-efhmeries-nosokomeiwn-attikhs?fdl=13", "2025-03-10", 0),
-    ("https://files.example/?fdl=14", "2025-03-11", 2),
-]))
-def hospital_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a listing: dates and revisions in their names, a date borrowed from the file before."""
-    page = spark.createDataFrame([(1, golden.LISTING)], "page_id int, html string")
-    found = registry.by_id("moh-attica-hospitals").discover(page, "2025-03-01", "2025-03-31")
-    return found.select("url", F.col("published_date").cast("string").alias("day"), "revision")
-
-
-def _rota(spark: SparkSession) -> DataFrame:
-    return golden.rota_words(spark).withColumns({"snapshot_id": F.lit(1).cast("long"), "published_date": F.lit(golden.DAY)})
-
-
-@query(as_sql("name VARCHAR, clinic VARCHAR, shift VARCHAR, starts_at VARCHAR, ends_at VARCHAR, municipality VARCHAR", [
-    ("Π.Ν.Α. «ΑΝΑΤΟΛΗ»", "Πρώτη", "09:00 – 15:30", "2025-03-11 09:00:00", "2025-03-11 15:30:00", "Αττική"), ("Π.Ν.Β.ΝΙΚΑΙΑΣ", "Πρώτη", "09:00 – 15:30", "2025-03-11 09:00:00", "2025-03-11 15:30:00", "Αττική"),
-    ("Π.Ν.Α. «ΔΥΣΗ»", "Πρώτη", "15:30 – 09:00", "2025-03-11 15:30:00", "2025-03-12 09:00:00", "Αττική"), ("Π.Ν.Α. «ΝΟΤΟΣ»", "Δεύτερη", "15:30 – 09:00", "2025-03-11 15:30:00", "2025-03-12 09:00:00", "Αττική"),
-]))
-def hospital_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rota of positioned words to records with clinic, shift and overnight hours."""
-    records = registry.by_id("moh-attica-hospitals").parse(_rota(spark))[0]
-    field = lambda n: F.get_json_object("payload", f"$.{n}").alias(n)
-    return records.select("name", field("clinic"), field("shift"), F.col("starts_at").cast("string").alias("starts_at"), F.col("ends_at").cast("string").alias("ends_at"), "municipality")
-
-
-@query(as_sql("qid VARCHAR, names VARCHAR, lat DOUBLE, lon DOUBLE", [
-    ("P1", "Περιφερειακό Νοσοκομείο Ανατολή|Ανατολή|Π.Ν. Ανατολή", 37.95, 23.75), ("P2", "Νοσοκομείο Δύση|Δύση Α", 38.01, 23.65), ("P3", "Δύση|Κλινική Δύση", 38.02, 23.66), ("P5", "Μακρινός Νότος|Νότος", 35.0, 26.0),
-]))
-def place_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of a query response: names in order, the first readable point."""
-    found = locate.candidates(spark.createDataFrame([(golden.RESPONSE,)], "json string"))
-    return found.select("qid", F.array_join("names", "|").alias("names"), "lat", "lon")
-
-
-@query(as_sql("id INTEGER, outcome VARCHAR, qid VARCHAR", [(1, "located", "P1"), (2, "ambiguous", None), (3, "unmatched", None), (4, "unmatched", None), (5, "located", "P1"), (6, "unmatched", None), (7, "unmatched", None)]))
-def place_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quoted names against candidates: one, several, none, abbreviated, out of the region."""
-    found = locate.candidates(spark.createDataFrame([(golden.RESPONSE,)], "json string"))
-    return locate.match_places(spark.createDataFrame(golden.NAMES, "id int, name string"), found).select("id", "outcome", "qid")
-
-
-class _Lines(Source):
-    """A source for scenarios: a document is `name|note`, one hospital each; a note of `break` breaks the parse."""
-
-    id, group, attribution = "lines", "hospitals", "nobody"
-
-    def discover(self, listings: DataFrame, first: str, last: str) -> DataFrame:
-        shown = listings.select(F.lit(self.id).alias("source_id"), F.col("html").alias("url"), F.lit(None).cast("date").alias("published_date"), F.lit(0).alias("revision"), F.col("html").alias("label"))
-        return shown
-
-    def parse(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-        part = lambda k: F.get(F.split("content", r"\|"), F.lit(k))
-        name = F.when(part(1) == "break", F.raise_error(F.lit("unreadable"))).otherwise(part(0))
-        given = {"local_id": text.matching_key(name), "kind": F.lit("hospital"), "name": name, "name_folded": text.matching_key(name), "identity": F.lit("name"), "on_date": F.col("published_date"), "payload": F.col("content"), "seq": F.lit(1)}
-        kinds = [c.strip().split(" ") for c in RECORD.split(",")]
-        records = documents.select(*[given.get(c, F.col(c) if c in ("snapshot_id", "source_id") else F.lit(None)).cast(kind).alias(c) for c, kind in kinds])
-        return records, documents.sparkSession.createDataFrame([], ISSUE)
-
-
-def _documents(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    made = spark.createDataFrame([("lines", u, c, d, r) for u, c, d, r in rows], "source_id string, url string, content string, published_date date, revision int")
-    return made.withColumns({"sha256": F.sha2("content", 256), "label": F.lit("x")})
-
-
-_D = golden.DAY
-_STEPS = [
-    [("u1", "Π.Ν. «Χ»|1", _D, 0), ("u9", "Ω|0", None, 0)],
-    [("u1", "Π.Ν. «Χ»|1", _D, 0)],
-    [("u2", "ΠΝ «χ»|2", _D, 1), ("u3", "bad|break", _D, 0)],
-    [("u0", "late|0", _D, 0), ("u3", "bad|break", _D, 0)],
-]
-
-
-#: The scenarios' stores of a session, which several queries read.
-_MADE: dict[tuple, tuple] = {}
-
-
-def _once(spark: SparkSession, make) -> tuple:
-    key = (spark.sparkContext.applicationId, make.__name__)
-    if key not in _MADE:
-        _MADE[key] = make(spark)
-    return _MADE[key]
-
-
-def _ingest(spark: SparkSession) -> tuple[store.RecordStore, list[dict]]:
-    own = store.RecordStore(spark, scratch(spark, "store"))
-    out = []
-    for k, rows in enumerate(_STEPS, 1):
-        out.append(own.ingest(_documents(spark, rows), update.isolated(_Lines().parse, own.path(f"_parsed/{k}")), k))
-    return own, out
-
-
-def _ingested(spark: SparkSession) -> tuple[store.RecordStore, list[dict]]:
-    return _once(spark, _ingest)
-
-
-@query(as_sql("step INTEGER, seen BIGINT, documents BIGINT, failed BIGINT, skipped BIGINT", [(1, 2, 2, 0, 0), (2, 1, 0, 0, 1), (3, 2, 1, 1, 0), (4, 2, 1, 1, 0)]))
-def ingest_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches of documents: new ones, a repeated one, a correction beside one that can't be parsed, a late original."""
-    return spark.createDataFrame([(k, c["seen"], c["documents"], c["failed"], c["skipped"]) for k, c in enumerate(_ingested(spark)[1], 1)], "step int, seen long, documents long, failed long, skipped long")
-
-
-@query(as_sql("snapshot_id BIGINT, name VARCHAR, payload VARCHAR, superseded BOOLEAN, processed BOOLEAN", [
-    (1, "Ω", "Ω|0", False, True), (2, "ΠΝ «χ»", "Π.Ν. «Χ»|1", True, True), (3, None, None, None, False), (4, "ΠΝ «χ»", "ΠΝ «χ»|2", False, True), (5, "late", "late|0", True, True),
-]))
-def store_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the store holds after these batches: ids undated first, two spellings one entity, the correction alone current."""
-    own, _ = _ingested(spark)
-    p = own.properties().join(own.entities().select(F.col("id").alias("entity_id"), "name"), "entity_id")
-    s = own.snapshots().select(F.col("id").alias("snapshot_id"), F.col("processed_at").isNotNull().alias("processed"))
-    return s.join(p.select("snapshot_id", "name", "payload", "superseded"), "snapshot_id", "left").select("snapshot_id", "name", "payload", "superseded", "processed")
-
-
-@query(as_sql("alias VARCHAR, entities BIGINT", [("late", 1), ("Π.Ν. «Χ»", 1), ("Ω", 1)]))
-def store_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, _ = _ingested(spark)
-    return own.read("entity_alias").groupBy("alias").agg(F.count_distinct("entity_id").alias("entities"))
-
-
-@query(as_sql("code VARCHAR, severity VARCHAR, n BIGINT", [("document_failed", "error", 2), ("unrecognized_name", "info", 3)]))
-def store_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues by code: the document that fails is told at each try, a name when it is first seen."""
-    own, _ = _ingested(spark)
-    return own.read("ingest_issue").groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(as_sql("name VARCHAR, columns BIGINT, n BIGINT", [(t, c.count(",") + 1, 0) for t, c in TABLES.items()]))
-def empty_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new store reads as empty tables."""
-    own = store.RecordStore(spark, scratch(spark, "store"))
-    return spark.createDataFrame([(t, len(own.read(t).columns), own.read(t).count()) for t in TABLES], "name string, columns long, n long")
-
-
-class _Broken(_Lines):
-    id = "broken"
-
-    def parse(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return documents.select("no_such_column"), documents
-
-
-def _pass(spark: SparkSession) -> tuple[store.RecordStore, DataFrame]:
-    own = store.RecordStore(spark, scratch(spark, "pass"))
-    page = lambda *rows: spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "page_id int, html string")
-    listings = {"broken": page("a1"), "lines": page("a1", "a2", "a3", "a4"), "fsa-attica-pharmacies": page(golden.PICKER)}
-    landed = spark.createDataFrame(
-        [("GET", "a1", None, "Π.Ν. «ΑΝΑΤΟΛΗ»|1"), ("GET", "a2", None, "Π.Ν. «ΔΥΣΗ»|1"), ("GET", "a3", None, "x|break"), ("POST", None, "Date=2025-03-11", golden.CARDS)], "method string, url string, form string, content string"
-    )
-    responses = spark.createDataFrame([(golden.RESPONSE,)], "json string")
-    sources = [_Broken(), _Lines(), registry.by_id("fsa-attica-pharmacies")]
-    return own, update.run_pass(own, sources, listings, landed, "2025-03-10", "2025-03-18", 1, responses)
-
-
-def _passed(spark: SparkSession) -> tuple[store.RecordStore, DataFrame]:
-    return _once(spark, _pass)
-
-
-@query(as_sql("source_id VARCHAR, outcome VARCHAR, documents BIGINT, skipped BIGINT, failed BIGINT", [("broken", "failed", 0, 0, 0), ("lines", "done", 2, 0, 2), ("fsa-attica-pharmacies", "done", 1, 0, 1), ("locate", "done", 2, 0, 0)]))
-def source_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over three sources: one fails as a whole, one has a document that can't be parsed and one that hasn't landed."""
-    return _passed(spark)[1].drop("detail")
-
-
-@query(as_sql("name VARCHAR, lat DOUBLE, lon DOUBLE, location_source VARCHAR", [("Π.Ν. «ΑΝΑΤΟΛΗ»", 37.95, 23.75, "wikidata:P1"), ("Π.Ν. «ΔΥΣΗ»", None, None, None), ("ΔΟΚΙΜΗ ΔΕΥΤΕΡΗ", None, None, None), ("ΔΟΚΙΜΗ ΠΡΩΤΗ", 37.91, 23.74, None), ("ΔΟΚΙΜΗ ΤΡΙΤΗ", None, None, None)]))
-def located_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entities after that pass: a hospital that one place alone matches has its point and where it comes from."""
-    return _passed(spark)[0].entities().select("name", "lat", "lon", "location_source")
-
-
 @query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as JSON with their payload nested, read back."""
@@ -425,18 +68,3 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("s_suppkey") % 3 == 0, "fsa-attica-pharmacies").when(F.col("s_suppkey") % 3 == 1, "moh-attica-hospitals").otherwise("elsewhere")
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), source.alias("source_id"))
     return serve.with_attribution(rows).select("id", "attribution")
-
-
-@query(as_sql("run INTEGER, properties BIGINT, entities BIGINT", [(1, 2, 2), (2, 2, 2), (3, 3, 3)]))
-def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refreshes by micro-batches over landed documents: the same documents again change nothing, new ones are added."""
-    from dutyframe.streaming import refresh
-
-    own, place = store.RecordStore(spark, scratch(spark, "store")), scratch(spark, "stream")
-    out = []
-    for run, rows in enumerate(([("u1", "x|1", _D, 0), ("u2", "y|1", _D, 0)], [("u1", "x|1", _D, 0), ("u2", "y|1", _D, 0)], [("u3", "z|1", _D, 0)]), 1):
-        docs = _documents(spark, rows)
-        docs.write.mode("append").parquet(f"{place}/in")
-        refresh.refresh(own, refresh.read_landed(spark, f"{place}/in", docs.schema), _Lines().parse, f"{place}/check").awaitTermination()
-        out.append((run, own.properties().count(), own.entities().count()))
-    return spark.createDataFrame(out, "run int, properties long, entities long")

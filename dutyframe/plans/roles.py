@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dutyframe.operators.tables import scratch  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,13 +47,3 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier as entities with points spread around Athens by key."""
     s = table(spark, sf_dir, "supplier")
     return s.select(F.col("s_suppkey").alias("id"), F.lit("pharmacy").alias("kind"), F.col("s_name").alias("name"), (37.9 + (F.col("s_suppkey") % 97) / 400.0).alias("lat"), (23.6 + (F.col("s_suppkey") % 89) / 300.0).alias("lon"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the folder that driver and executors share (in local mode an own one, where none is set)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="dutyframe-")
-    return f"{where.rstrip('/')}/records/{name}-{uuid.uuid4().hex}"

@@ -11,8 +11,15 @@ RECORD = "snapshot_id long, source_id string, local_id string, kind string, name
 ISSUE = "snapshot_id long, source_id string, severity string, code string, detail string"
 
 
+class SourceFailed(Exception):
+    """A source can't be read at all, for a reason of its own."""
+
+
 class Source(ABC):
-    """discover: listing pages (page_id, html) to document references; parse: documents to (records, issues)."""
+    """discover: listing pages (page_id, html) to document references; parse: documents to (records, issues).
+
+    parse never lets one document break the others: a document that can't be read is an issue `document_failed`.
+    """
 
     id: str
     group: str

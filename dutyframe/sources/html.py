@@ -1,4 +1,7 @@
-"""HTML elements as rows: one Arrow pass flattens pages to a table of elements, Spark does the rest."""
+"""HTML elements as rows: one Arrow pass flattens pages to a table of elements, Spark does the rest.
+
+A page that can't be read is one row with the tag FAILED, whose text says why.
+"""
 
 from __future__ import annotations
 
@@ -11,42 +14,72 @@ from pyspark.sql import functions as F
 
 # Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+FAILED = "!failed"
+#: Bytes of a page; a longer one isn't read.
+MOST_BYTES = 64 << 20
 ELEMENT = "n int, parents array<int>, tag string, classes array<string>, attrs map<string,string>, text string"
 
 
 class _Elements(HTMLParser):
-    """Elements in document order, each with its ancestors and all text below it."""
+    """Elements in document order, each with its ancestors and where the text below it stands in all text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
         self.open: list[int] = []
+        self.said: list[str] = []
+        self.length = 0
+
+    def _add(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.found.append({"parents": list(self.open), "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "from": self.length, "to": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        values = {k: v or "" for k, v in attrs}
-        self.found.append({"parents": list(self.open), "tag": tag, "attrs": values, "text": []})
-        if tag not in VOID:
+        self._add(tag, attrs)
+        if tag in VOID:
+            self.found[-1]["to"] = self.length
+        else:
             self.open.append(len(self.found) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.found.append({"parents": list(self.open), "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": []})
+        self._add(tag, attrs)
+        self.found[-1]["to"] = self.length
 
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.found[self.open[at]]["tag"] == tag:
+                for k in self.open[at:]:
+                    self.found[k]["to"] = self.length
                 del self.open[at:]
                 return
 
     def handle_data(self, data: str) -> None:
-        for at in self.open:
-            self.found[at]["text"].append(data)
+        self.said.append(data)
+        self.length += len(data)
 
 
-def elements(pages: DataFrame, key: str, html: str) -> DataFrame:
+def read_page(html: str | None, most_bytes: int = MOST_BYTES) -> list[dict]:
+    """The elements of one page: parents, tag, attrs, text. ValueError if it can't be read.
+
+    Text is kept once, an element's is cut out of it; character references are decoded; unclosed elements end with the one they are in.
+    """
+    if html is not None and len(html) > most_bytes // 4 and len(html.encode()) > most_bytes:
+        raise ValueError(f"longer than {most_bytes} bytes")
+    parser = _Elements()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (AssertionError, ValueError, RecursionError) as error:  # what the parser raises at markup it can't follow
+        raise ValueError(f"not to be read as HTML: {error}") from None
+    said = "".join(parser.said)
+    for e in parser.found:
+        e["text"] = said[e.pop("from") : e.pop("to")]
+    return parser.found
+
+
+def elements(pages: DataFrame, key: str, html: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """key, n, parents, tag, classes, attrs, text: a row for each element of each page, in order n.
 
-    Character references are decoded; null pages have no elements; unclosed elements end with the
-    one they are in.
+    Null pages have no elements. See read_page().
     """
     kind = pages.schema[key].dataType.simpleString()
 
@@ -54,12 +87,13 @@ def elements(pages: DataFrame, key: str, html: str) -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                parser = _Elements()
-                parser.feed(text or "")
-                parser.close()
-                for n, e in enumerate(parser.found):
+                try:
+                    found = read_page(text, most_bytes)
+                except ValueError as error:
+                    found = [{"parents": [], "tag": FAILED, "attrs": {}, "text": str(error)}]
+                for n, e in enumerate(found):
                     at.append(k)
-                    rows.append((n, e["parents"], e["tag"], e["attrs"].get("class", "").split(), list(e["attrs"].items()), "".join(e["text"])))
+                    rows.append((n, e["parents"], e["tag"], e["attrs"].get("class", "").split(), list(e["attrs"].items()), e["text"]))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [key, "n", "parents", "tag", "classes", "attrs", "text"])

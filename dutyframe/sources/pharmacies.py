@@ -10,13 +10,14 @@ from dutyframe.functions.geo import point_of_map_link
 from dutyframe.functions.text import collapse, matching_key
 from dutyframe.functions.times import on_day, parse_ranges
 from dutyframe.sources.base import Source
-from dutyframe.sources.html import elements, inside
+from dutyframe.sources.html import FAILED, MOST_BYTES, elements, inside
 
 
 class Pharmacies(Source):
     id = "fsa-attica-pharmacies"
     group = "pharmacies"
     attribution = "Pharmacists' Association of Attica"
+    most_bytes = MOST_BYTES
 
     def discover(self, listings: DataFrame, first: str, last: str) -> DataFrame:
         """A form reference for each date of the picker in the window."""
@@ -30,7 +31,7 @@ class Pharmacies(Source):
 
     def parse(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         """documents: snapshot_id, content, published_date. One record per readable window of a card, at least one per card."""
-        found = elements(documents, "snapshot_id", "content")
+        found = elements(documents, "snapshot_id", "content", self.most_bytes)
         cards = found.filter((F.col("tag") == "div") & F.array_contains("classes", "card"))
         local = F.nullif(F.trim(F.col("attrs")["id"]), F.lit(""))
         below = inside(found, cards, "snapshot_id").withColumnRenamed("owner", "card")
@@ -66,5 +67,7 @@ class Pharmacies(Source):
         no_id = self.issues(rows.filter("local_id is null"), "warning", "card_without_id", F.lit("duty card has no id"))
         no_place = self.issues(good.filter("point is null"), "warning", "missing_location", F.concat(F.lit("no usable coordinates: "), "local_id"))
         no_hours = self.issues(good.filter(F.size("windows") == 0), "warning", "unreadable_hours", F.concat_ws(": ", "local_id", "hours_text"))
-        empty = self.issues(documents.join(records.select("snapshot_id").distinct(), "snapshot_id", "left_anti"), "warning", "empty_document", F.lit("no records"))
-        return records, no_id.unionByName(no_place).unionByName(no_hours).unionByName(empty)
+        broken = found.filter(F.col("tag") == FAILED)
+        failed = self.issues(broken, "error", "document_failed", F.col("text"))
+        empty = self.issues(documents.join(broken.select("snapshot_id"), "snapshot_id", "left_anti").join(records.select("snapshot_id").distinct(), "snapshot_id", "left_anti"), "warning", "empty_document", F.lit("no records"))
+        return records, no_id.unionByName(no_place).unionByName(no_hours).unionByName(empty).unionByName(failed)

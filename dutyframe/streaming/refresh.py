@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from dutyframe.operators.store import RecordStore
 
 REFRESH = "3 hours"
+#: A day's records may be corrected from a day before it to seven after: what is older than this isn't awaited.
+HORIZON = "9 days"
 
 
 def latest_revisions(stream: DataFrame, keys: list[str], revision: str, key: str) -> DataFrame:
@@ -15,17 +21,84 @@ def latest_revisions(stream: DataFrame, keys: list[str], revision: str, key: str
     return stream.groupBy(*keys).agg(F.max(F.struct(revision, key)).alias("top")).select(*keys, f"top.{revision}", f"top.{key}")
 
 
+class LatestRevision(StatefulProcessor):
+    """Of each key the highest (revision, id) so far, told whenever it rises; a key that nothing has come for is forgotten after a time."""
+
+    def __init__(self, keys: list[str], revision: str, key: str, at: str, horizon_ms: int):
+        self.keys, self.columns, self.at, self.horizon = keys, [revision, key], at, horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.top = handle.getValueState("top", "revision long, id long, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.top.get() if self.top.exists() else None
+        best, until = (tuple(held[:2]), held[2]) if held else (None, 0)
+        risen, seen = False, until
+        for part in rows:
+            part = part.dropna(subset=self.columns)
+            if part.empty:
+                continue
+            first = max(zip(*(part[c].astype("int64") for c in self.columns), strict=True))
+            seen = max(seen, int(pd.to_datetime(part[self.at]).max().value // 1_000_000) + self.horizon)
+            if best is None or first > best:
+                best, risen = (int(first[0]), int(first[1])), True
+        if best is None:
+            return
+        if seen > until:  # one timer for each key, at its last sign of life and the horizon after it
+            if held:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(seen)
+        if risen or seen > until:
+            self.top.update((*best, seen))
+        if risen:
+            yield pd.DataFrame([[*key, *best]], columns=[*self.keys, *self.columns])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.top.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def rising_revisions(stream: DataFrame, keys: list[str], revision: str, key: str, at: str, horizon: str = HORIZON) -> DataFrame:
+    """keys, revision, key: a row whenever a key's highest (revision, key) rises (update mode), from state that is kept by key.
+
+    A batch touches the state of its own keys only. at: when a row was published; a key of which nothing was published for the horizon
+    before the watermark is forgotten, so the state is as large as the keys of that time; its next row is told as its first. Rows later than the watermark are dropped,
+    as are rows without revision or key. The state lies in RocksDB: state_store() sets that.
+    """
+    days = int(horizon.split()[0])
+    shape = ", ".join([f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in keys] + [f"`{revision}` long", f"`{key}` long"])
+    watched = stream.select(*keys, F.col(revision).cast("long").alias(revision), F.col(key).cast("long").alias(key), F.col(at).cast("timestamp").alias(at)).withWatermark(at, horizon)
+    return watched.groupBy(*keys).transformWithStateInPandas(LatestRevision(keys, revision, key, at, days * 86_400_000), outputStructType=shape, outputMode="Update", timeMode="EventTime")
+
+
+def state_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def keep_batches(rising: DataFrame, folder: str, checkpoint: str):
+    """Start writing what rises, a folder for each batch; a repeated batch replaces its own."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return rising.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def refresh(store: RecordStore, documents: DataFrame, parse, checkpoint: str, once: bool = True, every: str = REFRESH):
     """Start ingesting a stream of raw documents into the store.
 
-    A batch runs after the one before it. A batch that is repeated after a failure overwrites its own
-    partitions, and documents already processed are skipped by hash, so each counts once.
+    A batch runs after the one before it, as one version of the store under the stream's name (its checkpoint). A batch that is
+    repeated after a failure finds itself committed, or nothing of it; so each counts once.
     """
 
     def ingest(rows: DataFrame, batch: int) -> None:
         rows.persist()
         try:
-            store.ingest(rows, parse, batch)
+            store.ingest(rows, parse, batch, writer=checkpoint)
         finally:
             rows.unpersist()
 
@@ -33,7 +106,7 @@ def refresh(store: RecordStore, documents: DataFrame, parse, checkpoint: str, on
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def distinct_documents(stream: DataFrame, at: str, late: str = "9 days") -> DataFrame:
+def distinct_documents(stream: DataFrame, at: str, late: str = HORIZON) -> DataFrame:
     """The first of each (source_id, url, sha256), remembered for the refresh horizon."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(["source_id", "url", "sha256"])
 
