@@ -7,9 +7,9 @@ that pass are confirmed on their full shingle sets, so every link is exact.
 
 Texts with equal shingle sets are one class from the start. In a bucket of a band, classes are
 first compared with the most central class of the bucket only, and then one class of each component;
-classes of one component need no more comparisons, and what is left in other components is compared
-in full in the last round, which deals a large bucket over many tasks. So a
-large group of near copies costs about its size, and no link between components is lost.
+classes of one component need no more comparisons. In the last round what is outside a bucket's largest component is
+compared with all of the bucket, which is dealt over many tasks. So a large group of near copies
+costs about its size, times the number of classes that resemble it but don't belong, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ THRESHOLD_PERCENT = 80
 ESTIMATE_CUT = 0.608
 #: Up to so many text hashes are broadcast to read their texts; beyond it the texts are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Classes of a bucket that are compared in one task; larger buckets are dealt over tasks in pairs of such parts.
+#: Classes of a bucket that are compared in one task; larger buckets are dealt over tasks in such parts.
 PART = 512
 
 _RNG = np.random.Generator(np.random.PCG64(816))
@@ -235,25 +235,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     second = confirm(likely(across))
     scratch.made.append(second)
     tree = linked(tree.unionByName(_links(second)))
-    # last round: in buckets that still hold several components, every pair across them, in the first band the two share
+    # last round: in buckets that still hold several components, pairs across them, in the first band the two share. Classes
+    # of other components than the bucket's largest meet all of it; those of the largest never meet each other
     labelled = scratch.written(rooted(tree), "labelled")
-    open_buckets = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("times")).filter("a != b").select("bucket", "times")
-    held = join_keys(labelled, open_buckets, "bucket", "times", labelled.count())
+    per_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_buckets = per_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("times"), (F.sum("n") - F.max("n")).alias("few")).filter("few > 0")
+    held = join_keys(labelled, open_buckets.withColumn("all", F.col("times")), "bucket", "times", labelled.count())
     held = held.join(signs, "id").join(beside, "id", "left").withColumn("before", F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1))
-    own = ["id", "root", "n", "sig", "before", "near", "common", "mask", "part"]
-    # a bucket of many parts has a cell for each two of them, and one for each by itself
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    held = held.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least("part", k).alias("x"), F.greatest("part", k).alias("y")))
-    held = scratch.written(held.select("bucket", *own, F.explode(cells).alias("cell")).select("bucket", "cell.x", "cell.y", *own), "open")
-    a, b = (held.select("bucket", "x", "y", *(F.col(c).alias(f"{c}_{side}") for c in own)) for side in "uv")
-    wanted = (F.col("id_u") < F.col("id_v")) & (F.col("root_u") != F.col("root_v")) & _sizes_allow("n_u", "n_v") & (estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT)
+    own = ["id", "root", "n", "sig", "before", "near", "common", "mask"]
+    held = scratch.written(held.select("bucket", "top", "all", "few", *own), "open")
+    # both sides are cut in parts of PART classes; a class goes to each part of the other side
+    parts = lambda c: F.ceil(F.col(c) / PART).cast("int")
+    place = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "id"), parts(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    side = lambda df, c: df.select("bucket", "x", "y", *(F.col(o).alias(f"{o}_{c}") for o in own), F.col("top").alias(f"top_{c}"))
+    a = side(held.filter("root != top").withColumns({"x": place(1, "few"), "y": every("all")}), "u")
+    b = side(held.withColumn("x", every("few")).withColumn("y", place(2, "all")), "v")
+    wanted = (F.col("root_u") != F.col("root_v")) & ((F.col("id_u") < F.col("id_v")) | (F.col("root_v") == F.col("top_v"))) & _sizes_allow("n_u", "n_v") & (estimate(F.col("sig_u"), F.col("sig_v")) >= ESTIMATE_CUT)
     # of two classes compared with the same hub, the common shingles inside the hub are known, and outside it bounded
     inside = F.aggregate(F.zip_with("mask_u", "mask_v", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, k: n + k)
     most = inside + F.least(F.col("n_u") - F.col("common_u"), F.col("n_v") - F.col("common_v"))
     far = F.coalesce((F.col("near_u") == F.col("near_v")) & (most * 100 < (F.col("n_u") + F.col("n_v") - most) * THRESHOLD_PERCENT), F.lit(False))
-    same_cell = (a["bucket"] == b["bucket"]) & (a["x"] == b["x"]) & (a["y"] == b["y"]) & ((a["x"] == a["y"]) | (F.col("part_u") != F.col("part_v")))
-    rest = a.join(b, same_cell & wanted & ~far & ~F.arrays_overlap("before_u", "before_v")).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    same_cell = (a["bucket"] == b["bucket"]) & (a["x"] == b["x"]) & (a["y"] == b["y"])
+    # a pair may meet as (u, v) in one bucket and as (v, u) in another: its smaller id comes first
+    rest = a.join(b, same_cell & wanted & ~far & ~F.arrays_overlap("before_u", "before_v")).select(F.least("id_u", "id_v").alias("u"), F.greatest("id_u", "id_v").alias("v")).distinct()
     rest = scratch.written(rest, "rest")
     if not rest.isEmpty():
         third = confirm(rest)

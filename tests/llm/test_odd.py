@@ -232,3 +232,15 @@ def test_no_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Session())
+
+
+def test_outliers_beside_a_large_group_of_near_copies(spark, frame, prose, hot, no_broadcasts):
+    """Texts that resemble a group without belonging to it, some linked with each other: they meet all of the group, in parts."""
+    base = prose(120, 5).split()
+    edited = lambda own, n, seed: " ".join(f"x{seed}w{k}" if (k * 37 + seed * 11) % 120 < n else w for k, w in enumerate(own))
+    rows = [(k, edited(base, k % 4, k)) for k in range(40)]
+    far = [edited(base, 17, 900 + k).split() for k in range(3)]
+    rows += [(100 + 10 * k + c, edited(own, c, 50 + k)) for k, own in enumerate(far) for c in range(3)]
+    found = minhash.near_duplicates(frame(rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == linked(rows, 2)
+    assert len({r["component_id"] for r in found}) > 1
