@@ -82,14 +82,33 @@ def settle_large(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) ->
     return p
 
 
+def repair(sizes: np.ndarray, whole: np.ndarray, p: np.ndarray, words: float, rng: np.random.Generator) -> np.ndarray:
+    """p, all integral, with some documents once more or once less, in a drawn order, so that sizes * p comes near words.
+
+    A document that is larger than all the words to be dealt can't be taken in part; where it is taken, or left out, others
+    make up for it, within 0 to CAP copies. No document is changed twice, and none beyond what is amiss.
+    """
+    p = p.copy()
+    amiss = float((sizes * p).sum() - words)
+    for k in rng.permutation(len(p)):
+        if sizes[k] <= abs(amiss):
+            step = -1.0 if amiss > 0 else 1.0
+            if 0 <= whole[k] + p[k] + step <= CAP:
+                p[k] += step
+                amiss += step * sizes[k]
+    return p
+
+
 def _round_group(level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "tie", "leaf"], ascending=[False, True, True], kind="stable")  # large ones first, so that a small one is left over
         rng = np.random.default_rng([SEED, level, int(rows["sid"].iloc[0]), int(rows["block"].iloc[0])])
         sizes, p = rows["size"].to_numpy(np.float64), rows["p"].to_numpy()
+        words = float((sizes * p).sum())
         p = pivotal(sizes, settle_large(sizes, p, rng), rng)
-        if last:
+        if last or rows["alone"].iloc[0]:
             p = np.where((p > 0) & (p < 1), (rng.random(len(p)) < p).astype(float), p)
+            p = repair(sizes, rows["whole"].to_numpy(np.float64), p, words, rng)
         return rows.assign(p=p)
 
     return run
@@ -133,7 +152,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     size: words of the whole text (null or empty: 0); such rows are taken 0 times, as size 0 adds
     no words. A null source is a source of its own. Repeated rows are rounded one by one, and are
     numbered, so that a key that holds very many rows is dealt over blocks like any other rows. A target
-    is off by one document's size at most. Draws are seeded and rows are ordered by size and the
+    is off by one document's size at most, and where other documents can make up for it by far less (see repair). Draws are seeded and rows are ordered by size and the
     hash of key, size and number, so reruns agree. An empty table gives an empty result.
     """
     rows = written(one_by_one(df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))), "mix-sizes")
@@ -147,7 +166,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     joined = joined.withColumn("share", share).withColumn("whole", F.floor("share")).withColumn("p", F.col("share") - F.col("whole"))
     blocks = F.ceil(F.col("n_rows") / BLOCK_ROWS)
     joined = joined.withColumn("block", F.pmod("tie", F.greatest(blocks, F.lit(1))).cast("long")).withColumn("leaf", F.col("block"))
-    columns = ["key", "source", "size", "sid", "source_size", "target", "whole", "tie", "block", "leaf", "p"]
+    joined = joined.withColumn("alone", blocks <= 1)  # the block is all of its source
+    columns = ["key", "source", "size", "sid", "source_size", "target", "whole", "tie", "block", "leaf", "alone", "p"]
     open_rows = joined.filter("p > 0 and p < 1").select(columns)
     schema = open_rows.schema
     leaves = max(1, math.ceil((shape[1] or 0) / BLOCK_ROWS))

@@ -80,3 +80,34 @@ def test_take_repeats_rows(docs):
 
 def test_empty(docs):
     assert mixing.mix(docs.limit(0)).isEmpty()
+
+
+def test_small_sources_come_near_their_targets(spark, frame):
+    """Fifty documents each, one of which is larger than all the words that are to be added: within 2 % all the same."""
+    rng = np.random.default_rng(7)
+    rows, sizes = [], {}
+    for s in range(9):
+        for k in range(50):
+            n = 4000 if k == 0 else int(rng.integers(40, 500))
+            rows.append((f"s{s}", s * 100 + k, n))
+            sizes[s * 100 + k] = n
+    df = spark.createDataFrame([(k, " w" * n, s) for s, k, n in rows], "doc_id long, text string, source string")
+    found = mixing.mix(df).collect()
+    taken, target = {}, {}
+    for r in found:
+        assert r["taken"] == r["copies"] * sizes[r["doc_id"]] and 0 <= r["copies"] <= 3
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert max(abs(taken[s] - target[s]) / target[s] for s in target) < 0.02
+
+
+def test_repair_stays_within_the_copies(prose):
+    rng = np.random.default_rng(1)
+    for seed in range(200):
+        sizes = rng.integers(1, 300, 40).astype(float)
+        whole, p = rng.integers(0, 4, 40).astype(float), rng.integers(0, 2, 40).astype(float)
+        p[whole == 3] = 0
+        words = (sizes * p).sum() + rng.integers(-3000, 3000)
+        q = mixing.repair(sizes, whole, p, words, np.random.default_rng(seed))
+        assert ((whole + q >= 0) & (whole + q <= 3)).all() and (np.abs(q - p) <= 1).all()
+        assert abs((sizes * q).sum() - words) <= abs((sizes * p).sum() - words)
