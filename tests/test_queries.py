@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from dutyframe.plans import built, catalog, records, stored  # noqa: F401
+from dutyframe.plans import asked, built, catalog, records, stored  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
