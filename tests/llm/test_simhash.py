@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
+import xxhash
+
 from dutyframe.llm import simhash
 
 
@@ -54,3 +57,27 @@ def test_within_radius_against_all_pairs(spark):
         join = lambda x, y: ((x % (1 << 64)) << 64) | (y % (1 << 64))
         assert len(found) == len(want)
         assert {(join(x["a0"], x["a1"]), join(x["b0"], x["b1"])) for x in found} == want
+
+
+def plain_print(text):
+    """Every word votes with the square of its length on the 64 bits of two hashes of it."""
+    lanes = [[0] * 64, [0] * 64]
+    total = 0
+    for word in re.split(r"[\x20\x09-\x0D]+", text):
+        weight = min(len(word), 16) ** 2
+        total += weight
+        b = xxhash.xxh64(word.encode(), seed=xxhash.xxh64(b"b", seed=42).intdigest()).intdigest()
+        for lane, h in zip(lanes, (xxhash.xxh64(word.encode(), seed=42).intdigest(), b), strict=True):
+            for k in range(64):
+                lane[k] += weight * (h >> k & 1)
+    f0, f1 = (sum((2 * v > total) << k for k, v in enumerate(lane)) for lane in lanes)
+    return f"{f0:016x}{f1:016x}"
+
+
+def test_fingerprints_bit_by_bit(spark, frame, prose, odd):
+    rows = [*odd, (40, "Ωμέγα ß\tß\n\n" + "x" * 40), *((50 + k, prose(9 + 7 * k, k)) for k in range(12))]
+    texts = {}
+    for k, t in rows:
+        texts.setdefault(k, set()).add(plain_print(t or ""))
+    for r in simhash.fingerprints(frame(rows)).collect():
+        assert r["fingerprint"] in texts[r["doc_id"]]
