@@ -57,10 +57,11 @@ def match_places(entities: DataFrame, places: DataFrame, region: bool = True) ->
     longest = F.array_max(F.transform("wanted", lambda w: F.struct((~w["abbreviated"]).alias("whole"), F.length(w["word"]).alias("n"), w["word"].alias("word"))))
     keyed = wanted.filter("wanted is not null").withColumn("k", longest).withColumn("size", F.when(F.col("k.whole"), F.lit(-1)).otherwise(F.col("k.n"))).withColumn("word", F.col("k.word"))
     whole = known.withColumn("word", F.explode("known")).withColumn("size", F.lit(-1))
-    begun = known.withColumn("w", F.explode("known")).withColumn("size", F.explode(F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1))))).withColumn("word", F.expr("substring(w, 1, size)")).drop("w")
-    # only beginnings as long as one that is looked for; lengths of words are few
-    lengths = keyed.filter("size > 0").select("size").distinct()
-    lookup = whole.unionByName(begun.join(F.broadcast(lengths), "size", "left_semi"))
+    # beginnings only as long as one that is looked for; lengths of words are few, and one row holds them
+    lengths = keyed.filter("size > 0").agg(F.collect_set("size").alias("sizes"))
+    begun = known.withColumn("w", F.explode("known")).join(F.broadcast(lengths), F.lit(True)).withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("w"))))
+    begun = begun.withColumn("word", F.expr("substring(w, 1, size)")).drop("w", "sizes")
+    lookup = whole.unionByName(begun)
     met = keyed.join(lookup, ["size", "word"]).filter(holds_all(F.col("wanted"), F.col("known"))).select("id", "qid", "lat", "lon").distinct()
     counted = met.groupBy("id").agg(F.count_distinct("qid").alias("n"), F.min(F.struct("qid", "lat", "lon")).alias("p"))
     joined = entities.select("id").join(counted, "id", "left")

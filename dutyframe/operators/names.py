@@ -41,6 +41,12 @@ def split_entries(lines: Column) -> Column:
     return F.filter(F.transform(joined, hours), lambda e: ~only_connectors(e["name"]))
 
 
+def line_counts(text: Column) -> Column:
+    """struct(lines, remarks): the lines of a text, and those of them in brackets."""
+    lines = F.split(text, "\n")
+    return F.struct(F.size(lines).alias("lines"), F.size(F.filter(lines, lambda x: x.startswith("("))).alias("remarks"))
+
+
 def is_suspicious(name: Column) -> Column:
     """A quote left open, or a closing one in front: a name the layout has split."""
     return unclosed_quote(name) | name.startswith("»")

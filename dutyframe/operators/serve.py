@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dutyframe.functions.geo import bounding_box, distance_km, valid_point
@@ -71,6 +71,11 @@ def read_kind(text: str) -> str:
     return text
 
 
+def counts_by(rows: DataFrame, by: str, wanted: Column, total: str = "entities", some: str = "wanted") -> DataFrame:
+    """For each value of `by` the number of rows, and of those that are wanted."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias(total), F.count_if(wanted).alias(some))
+
+
 def read_requests(asked: DataFrame) -> DataFrame:
     """Requests as a table (near `lat,lon`, date, kind, limit, radius, all text or null) with their arguments read.
 

@@ -59,6 +59,12 @@ def backfill_processed(snapshots: DataFrame, properties: DataFrame) -> DataFrame
     return joined.withColumn("processed_at", F.coalesce("processed_at", F.when(F.col("__has"), F.col("fetched_at")))).drop("__has")
 
 
+def first_fetches(documents: DataFrame, content: str, key: str = "id") -> DataFrame:
+    """sha256, the first key and the number of fetches of each different content."""
+    hashed = documents.select(key, content_hash(F.col(content)).alias("sha256"))
+    return hashed.groupBy("sha256").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
+
+
 def ingest_report(outcomes: DataFrame) -> DataFrame:
     """Counters per source from a row per document: source_id, outcome, entities, properties, warnings."""
     return outcomes.groupBy("source_id").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dutyframe.functions import dates, geo, text
-from dutyframe.operators import layout, locate, resolve, scan, serve, similar, store, supersede
+from dutyframe.operators import layout, locate, names, resolve, scan, serve, similar, store, supersede
 from dutyframe.plans.roles import parts, places, properties, scratch, snapshots, table
 from dutyframe.sources import html
 
@@ -113,8 +113,8 @@ def superseded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def snapshot_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots by content hash: the first id and the number of fetches."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return d.groupBy("sha256").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return store.first_fetches(d, "text")
 
 
 @query("""SELECT source AS source_id, count(DISTINCT sha256(text)) AS n FROM documents WHERE source || sha256(text) NOT IN (SELECT source || sha256(text) FROM documents WHERE lang <> 'en') GROUP BY source""")
@@ -384,7 +384,7 @@ def counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with and without a condition, over the lookups."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     joined = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
-    return joined.groupBy(F.col("n_name").alias("kind")).agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("s_acctbal") < 0).alias("negative"))
+    return serve.counts_by(joined.withColumnRenamed("n_name", "kind"), "kind", F.col("s_acctbal") < 0, some="negative")
 
 
 @query("""
@@ -399,8 +399,8 @@ def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '('))) AS INT) AS n_remarks FROM documents")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
-    return d.select("doc_id", F.size("lines").alias("n_lines"), F.size(F.filter("lines", lambda x: x.startswith("("))).alias("n_remarks"))
+    d = table(spark, sf_dir, "documents").select("doc_id", names.line_counts(F.col("text")).alias("c"))
+    return d.select("doc_id", F.col("c.lines").alias("n_lines"), F.col("c.remarks").alias("n_remarks"))
 
 
 @query("SELECT user_id, event_type, revision, event_id FROM (SELECT *, CAST(floor(value) AS BIGINT) AS revision, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(value) AS BIGINT) DESC, event_id DESC) AS r FROM events) WHERE r = 1")
