@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, fitted on the labelled ones, calls toxic go."""
+    """Documents that the compression classifier, fitted on the labelled ones, calls toxic go.
+
+    Each row is judged by its text alone: repeated rows go or stay together, a null or empty text stays.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_ordinary(docs, model)
 
@@ -32,17 +35,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Each row is judged by its text alone: repeated rows go or stay together, a null or empty text stays, as do rows with a null doc_id unless they hold one.
+    """
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out, taken once, or repeated, as the sources' target weights ask."""
+    """Documents are left out, taken once, or repeated, as the sources' target weights ask.
+
+    A null source is one of its own; a text without words adds none and is left out; repeated rows are drawn one by one.
+    """
     return mixing.take(docs)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard of 16 and its slot there."""
+    """Every row with its shard of 16 and its slot there. A null doc_id is hashed as the empty text; repeated rows get a slot each."""
     return sharding.shard_table(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 

@@ -77,7 +77,7 @@ def join_keys(big: DataFrame, keyed: DataFrame, on: str, count: str, rows: int,
     """big joined with keyed, which has one row for each value of `on` and in `count` its number of rows in big.
 
     rows: the rows of big. Hot keys, HOT_SHARE at most, are broadcast, so that their rows of big stay
-    where they are; all other keys are joined as usual. how: inner or left_semi.
+    where they are; all other keys are joined as usual. how: inner or left_semi. A null key meets nothing.
     """
     hot = F.col(count) > hot_limit(rows)
     few, many = keyed.filter(hot), keyed.filter(~hot)
@@ -90,7 +90,7 @@ def salted_join(big: DataFrame, keyed: DataFrame, on: list[str], spread: str, co
     """big (a written table) joined with keyed, which has one row for each value of `on`.
 
     Rows of a hot key are dealt over several tasks by the hash of `spread`, each of which gets a copy
-    of the key's row of keyed: 2 x HOT_SHARE copies at most in all, whatever the rows of big.
+    of the key's row of keyed: 2 x HOT_SHARE copies at most in all, whatever the rows of big. A null key meets nothing.
     counts: `on` and n, the rows of big for each value, where they are known.
     """
     rows = big.count()

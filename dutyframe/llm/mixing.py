@@ -193,7 +193,8 @@ def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
 
     Rows are told apart by key, source and text hash. Rows that repeat all three are rounded one by
     one and share their copies: each is repeated by its even part, and what is over goes to the
-    first ones.
+    first ones. Nulls in any of the three are values of their own. Names of columns that begin with two underscores are
+    used on the way; df must have none.
     """
     mark = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(source, text).cast("string"))
     marked = df.withColumn("__mark", mark).withColumn("__at", F.spark_partition_id())
@@ -201,8 +202,8 @@ def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     wanted = mix(marked, "__mark", text, source).groupBy("__mark").agg(*totals).filter("__copies > 0")
     rows = join_keys(marked, wanted, "__mark", "__times", df.count())
     once = rows.filter("__rows = 1").withColumn("__own", F.col("__copies"))
-    # repeated rows are numbered within the partition that they were read in, and those by their counts
-    repeated = rows.filter("__rows > 1")
+    # repeated rows are written, as the partition that they were read in must be the same for both uses, and numbered within it
+    repeated = written(rows.filter("__rows > 1"), "mix-repeated")
     before = Window.partitionBy("__mark").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     starts = repeated.groupBy("__mark", "__at").agg(F.count(F.lit(1)).alias("__n")).select("__mark", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     turn = F.row_number().over(Window.partitionBy("__mark", "__at").orderBy("__mark")) + F.col("__start")

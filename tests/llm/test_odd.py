@@ -244,3 +244,26 @@ def test_outliers_beside_a_large_group_of_near_copies(spark, frame, prose, hot,
     found = minhash.near_duplicates(frame(rows)).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == linked(rows, 2)
     assert len({r["component_id"] for r in found}) > 1
+
+
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_joins_with_hot_and_null_keys(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    rows = [(k % 3 if k < 30 else k, k) for k in range(50)] + [(None, 98), (None, 99)]
+    big = common.written(spark.createDataFrame(rows, "a long, b long"), "big")
+    keyed = spark.createDataFrame([(0, 10, 7), (1, 10, 8), (40, 1, 9), (77, 0, 1), (None, 2, 5)], "a long, times long, v long")
+    want = sorted((a, b, {0: 7, 1: 8, 40: 9}[a]) for a, b in rows if a in (0, 1, 40))
+    assert sorted(tuple(r) for r in common.join_keys(big, keyed, "a", "times", len(rows)).select("a", "b", "v").collect()) == want
+    assert sorted(tuple(r) for r in common.join_keys(big, keyed, "a", "times", len(rows), "left_semi").select("a", "b").collect()) == [w[:2] for w in want]
+    assert sorted(tuple(r) for r in common.salted_join(big, keyed.drop("times"), ["a"], "b").select("a", "b", "v").collect()) == want
+
+
+def test_rows_are_taken_as_often_after_a_shuffle(spark, frame, prose):
+    """The rows come out of a shuffle that may be put together in other ways for each use."""
+    rows = [(k % 7, prose(20 + k % 7, k % 7)) for k in range(210)]
+    docs = frame(rows).withColumn("source", F.when(F.col("doc_id") < 3, "a").otherwise("b"))
+    wanted = Counter()
+    for r in mixing.mix(docs).collect():
+        wanted[r["doc_id"]] += r["copies"]
+    got = mixing.take(docs.repartition(13, "text"))
+    assert Counter(r["doc_id"] for r in got.collect()) == +wanted and got.columns == docs.columns
