@@ -7,8 +7,9 @@ together over the key's segments, and what comes before a segment is added to it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,21 +123,66 @@ def anchored_groups(df: DataFrame, keys: list[str], at: str, reach: Column, name
     """df with a running number of groups from 1: a group begins with the first row beyond the reach of the row that began the one before.
 
     at: where a row is, a number; reach: how far a group goes that begins with this row (its own place at least). The comparison is
-    with the group's first row, not with the one before, so groups can't be told apart row by row.
-    Each place has one place where the next group would begin, found as the first mark beyond its reach in one ordered
-    stream. The groups that do begin are those met from a key's first place: jumps of 2**k groups double in each
-    round, and so do the groups found. Of rows at one place the shortest reach counts. A null place is in no group (null).
+    with the group's first row, not with the one before, so a window function can't tell groups apart. Of rows at one
+    place the shortest reach counts. A null place is in no group (null).
+
+    The rows of a key are walked once, in order. A key of more than `most` rows is not walked by one task: each place has one place where
+    the next group would begin, found as the first one beyond its reach in one ordered stream, and the groups that do begin are those met
+    from the key's first place. Jumps of 2**k groups double in each round, and so do the groups found.
     """
-    spots = df.filter(F.col(at).isNotNull()).groupBy(*keys, F.col(at).alias("__at")).agg(F.min(F.coalesce(reach, F.col(at))).alias("__reach"))
-    spots = written(spots.withColumn("__reach", F.greatest("__reach", "__at")), "spots")
+    most = ROWS_IN_A_TASK if most is None else most
+    ready = df.withColumns({"__place": F.col(at), "__reach": F.greatest(F.coalesce(reach, F.col(at)), F.col(at))})
+    hot = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    if hot.isEmpty():
+        return _walked(ready, keys, name)
+    if not keys:
+        return _doubled(ready, keys, name, most)
+    few = written(hot.select(*[F.col(k).alias(f"__k_{k}") for k in keys]), "hot-keys")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    few = F.broadcast(few)
+    return _walked(ready.join(few, same, "left_anti"), keys, name).unionByName(_doubled(ready.join(few, same, "left_semi"), keys, name, most))
+
+
+def _walked(ready: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One pass over each key's rows in order."""
+    columns = ready.columns
+    shape = ready.drop("__place", "__reach").withColumn(name, F.lit(None).cast("int")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, limit, group = None, None, 0
+        for batch in batches:
+            of = {c: batch.column(columns.index(c)).to_pylist() for c in ("__place", "__reach", *keys)}
+            out = []
+            for place, far, *key in zip(of["__place"], of["__reach"], *(of[k] for k in keys), strict=True):
+                if key != now:
+                    now, limit, group = key, None, 0
+                if place is None:
+                    out.append(None)
+                    continue
+                if limit is None or place > limit:
+                    limit, group = far, group + 1
+                out.append(group)
+            kept = [n for n, c in enumerate(columns) if c not in ("__place", "__reach")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.int32())], [*(columns[n] for n in kept), name])
+
+    dealt = ready.repartition(*keys) if keys else ready.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, "__place", "__reach").mapInArrow(run, shape)
+
+
+def _doubled(ready: DataFrame, keys: list[str], name: str, most: int) -> DataFrame:
+    """The same for keys of any size."""
+    there = ready.filter("__place is not null")
+    spots = written(there.groupBy(*keys, F.col("__place").alias("__at")).agg(F.min("__reach").alias("__reach")), "spots")
     # backwards, so that the last mark before a reach is the first place beyond it
     back = lambda c: -F.col(c)
-    probes = spots.select(*keys, F.col("__at").alias("__own"), back("__reach").alias("__place"), F.lit(0).alias("__kind"), F.lit(None).cast(spots.schema["__at"].dataType).alias("__mark"))
-    marks = spots.select(*keys, F.lit(None).cast(spots.schema["__at"].dataType).alias("__own"), back("__at").alias("__place"), F.lit(1).alias("__kind"), F.col("__at").alias("__mark"))
+    none = F.lit(None).cast(spots.schema["__at"].dataType)
+    probes = spots.select(*keys, F.col("__at").alias("__own"), back("__reach").alias("__place"), F.lit(0).alias("__kind"), none.alias("__mark"))
+    marks = spots.select(*keys, none.alias("__own"), back("__at").alias("__place"), F.lit(1).alias("__kind"), F.col("__at").alias("__mark"))
     stream = Segments(probes.unionByName(marks), keys, ["__place", "__kind", "__own"], most).scan("__next", F.col("__mark"), "last")
     jump = written(stream.rows().filter("__kind = 0 and __next is not null").select(*keys, F.col("__own").alias("__at"), "__next"), "jumps")
-    first = spots.groupBy(*keys).agg(F.min("__at").alias("__at")).withColumn(name, F.lit(1).cast("long"))
-    begun, step = written(first, "begun"), 1
+    begun, step = written(spots.groupBy(*keys).agg(F.min("__at").alias("__at")).withColumn(name, F.lit(1).cast("long")), "begun"), 1
     while True:
         onward = _hop(begun, jump, keys).select(*keys, F.col("__next").alias("__at"), (F.col(name) + step).alias(name))
         more = written(onward, "begun")
@@ -145,8 +191,9 @@ def anchored_groups(df: DataFrame, keys: list[str], at: str, reach: Column, name
         begun, step = begun.unionByName(more), step * 2
         twice = _hop(jump.withColumnRenamed("__next", "__mid"), jump.withColumnRenamed("__at", "__mid"), keys, "__mid")
         jump = written(twice.select(*keys, "__at", "__next"), "jumps")
-    found = floor_join(df.filter(F.col(at).isNotNull()), begun, keys, at, "__at", name, most)
-    return found.unionByName(df.filter(F.col(at).isNull()), allowMissingColumns=True).withColumn(name, F.col(name).cast("int"))
+    rows = ready.drop("__reach").withColumnRenamed("__place", "__where")
+    found = floor_join(rows.filter("__where is not null"), begun, keys, "__where", "__at", name, most)
+    return found.unionByName(rows.filter("__where is null"), allowMissingColumns=True).withColumn(name, F.col(name).cast("int")).drop("__where")
 
 
 def _hop(left: DataFrame, jump: DataFrame, keys: list[str], on: str = "__at") -> DataFrame:

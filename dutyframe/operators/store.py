@@ -6,13 +6,14 @@ those without a processed mark are parsed. A batch of documents is one version o
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dutyframe.operators import resolve, schemas, supersede
-from dutyframe.operators.log import CommitLog
+from dutyframe.operators.log import CommitLog, Conflict
 from dutyframe.operators.tables import written
 
 IDENTITY = ["source_id", "url", "sha256"]
@@ -255,5 +256,6 @@ class RecordStore:
         t.commit(writer, batch, counts)
         crowded = [name for name, folders in t.tables.items() if len(folders) > COMPACT_AFTER]
         if crowded:
-            self.compact(crowded)
+            with contextlib.suppress(Conflict):  # another writer's turn; the next batch compacts
+                self.compact(crowded)
         return counts
