@@ -204,6 +204,8 @@ class RecordStore:
         starts_at, ends_at, payload, snapshot_id and seq. Failed documents are those of an issue
         `document_failed`; they get no processed mark and are tried again. A document that is parsed again replaces what it said before.
 
+        Rows of one source, url and hash are one document; where they differ in the rest, any of them is taken.
+
         A writer's batches count upwards; the last one again changes nothing and tells what it told. A batch that broke
         off has left nothing; Conflict tells that another writer came first, and the batch may be tried again.
         Counters are those of written tables.
