@@ -1,7 +1,10 @@
-"""Connected components of a link table, by alternating star contraction."""
+"""Connected components of a link table, by alternating star contraction; a small table is walked by one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,32 @@ from dutyframe.llm.common import drop_written, join_keys, written
 
 #: Up to so many links, all neighbours of a hub (a pair of ids each) may meet in one task; beyond it they stay where they are.
 ONE_TASK = 1_000_000
+#: Up to so many links (some 50 MB with their names) one task walks all of them; that spares the rounds, not the memory.
+WALKED = 200_000
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find; a component is named by its smallest node."""
+    above: dict = {}
+
+    def top(x):
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            above.setdefault(u, u)
+            above.setdefault(v, v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    found = [(u, r) for u in above if (r := top(u)) != u]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], ["u", "v"])
 
 
 def _downward(links: DataFrame) -> DataFrame:
@@ -29,6 +58,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = written(_downward(links), "links")
     seen = _state(now)
+    if seen[0] <= WALKED:
+        walked = written(now.coalesce(1).mapInArrow(_walk, now.schema), "links")
+        drop_written(now)
+        return walked
 
     def met(big: DataFrame, keyed: DataFrame, rows: int) -> DataFrame:
         return join_keys(big, keyed, "u", "n", rows) if rows > ONE_TASK else big.join(keyed.drop("n"), "u")

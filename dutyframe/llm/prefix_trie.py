@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dutyframe.llm.chat_format import turn_digest
 from dutyframe.llm.common import Scratch, table, text_or_empty, word_count
-from dutyframe.llm.lookup import counted, lookup
+from dutyframe.llm.lookup import lookup
 from dutyframe.operators.resolve import dense_ids
 
 #: Conversations of one group of so many ids share the beginning of the group's first one, at most BORROWED - 1 turns of it.

@@ -29,6 +29,7 @@ def hot(monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 3)
     monkeypatch.setattr(minhash, "PART", 3)
     monkeypatch.setattr(components, "ONE_TASK", 3)
+    monkeypatch.setattr(components, "WALKED", 0)
 
 
 def near_rows(prose):
@@ -267,3 +268,19 @@ def test_rows_are_taken_as_often_after_a_shuffle(spark, frame, prose):
         wanted[r["doc_id"]] += r["copies"]
     got = mixing.take(docs.repartition(13, "text"))
     assert Counter(r["doc_id"] for r in got.collect()) == +wanted and got.columns == docs.columns
+
+
+def test_a_walk_names_the_components_that_the_rounds_name(spark, monkeypatch):
+    """Chains, rings, hubs, links both ways and again, nodes linked with themselves; numbers, strings and bytes."""
+    import random
+
+    r = random.Random(3)
+    links = [(k, k + 1) for k in range(30)] + [(40 + k, 40 + (k + 1) % 9) for k in range(9)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)] + [(7, 7), (3, 2), (2, 3)]
+    for kind, name in (("long", int), ("string", "é{:04}".format), ("binary", lambda k: bytes([k % 256, k // 256]))):
+        df = spark.createDataFrame([(name(a), name(b)) for a, b in links], f"u {kind}, v {kind}")
+        monkeypatch.setattr(components, "WALKED", 10**6)
+        walked = {(bytes(a) if kind == "binary" else a, bytes(b) if kind == "binary" else b) for a, b in components.components(df).collect()}
+        monkeypatch.setattr(components, "WALKED", 0)
+        assert walked == {(bytes(a) if kind == "binary" else a, bytes(b) if kind == "binary" else b) for a, b in components.components(df).collect()}
+        assert len({u for u, _ in walked}) == len(walked)
+    assert components.components(df.limit(0)).isEmpty()
