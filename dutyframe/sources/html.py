@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements without an end tag.
@@ -20,6 +20,11 @@ MOST_BYTES = 64 << 20
 ELEMENT = "n int, parents array<int>, tag string, classes array<string>, attrs map<string,string>, text string"
 
 
+def only_references(html: Column, names: tuple[str, ...] = ("lt", "gt", "amp")) -> Column:
+    """html in which no character references count but these, closed by a semicolon; others (`&quot;`, `&amp` at an end) stay as written."""
+    return F.regexp_replace(html, f"&(?!(?:{'|'.join(names)});)", "&amp;")
+
+
 class _Elements(HTMLParser):
     """Elements in document order, each with its ancestors and where the text below it stands in all text."""
 
