@@ -38,13 +38,20 @@ class Hospitals(Source):
         return self.published(listings).filter(in_window(F.col("published_date"), F.lit(first).cast("date"), F.lit(last).cast("date")))
 
     def published(self, listings: DataFrame) -> DataFrame:
-        """url, published_date, revision and label of each PDF of a listing that can be dated."""
-        links = elements(listings, "page_id", "html").filter((F.col("tag") == "a") & F.col("attrs")["href"].contains("fdl="))
+        """url, published_date, revision and label of each PDF of a listing that can be dated.
+
+        A long listing comes in parts (column `part`, which may be absent): pages of their own, whose files follow those of the part before.
+        """
+        if "part" not in listings.columns:
+            listings = listings.withColumn("part", F.lit(0))
+        listings = listings.select(F.struct("page_id", "part").alias("page"), "html")
+        links = elements(listings, "page", "html").select("page.page_id", F.struct("page.part", "n").alias("n"), "tag", "attrs")
+        links = links.filter((F.col("tag") == "a") & F.col("attrs")["href"].contains("fdl="))
         files = links.select("page_id", "n", F.col("attrs")["href"].alias("href"), filename(F.col("attrs")["title"]).alias("label")).filter("label is not null")
         files = files.withColumns({"date": parse_date(F.col("label")), "is_pdf": F.lower("label").endswith(".pdf")})
         dated = borrowed_dates(files, ["page_id"], "n").filter("is_pdf and date is not null")
         url = F.when(F.col("href").startswith("?"), F.concat(F.lit(LISTING), "href")).otherwise(F.col("href"))
-        return dated.select(F.lit(self.id).alias("source_id"), url.alias("url"), F.col("date").alias("published_date"), parse_revision(F.col("label")).alias("revision"), "label", "n")
+        return dated.select(F.lit(self.id).alias("source_id"), url.alias("url"), F.col("date").alias("published_date"), parse_revision(F.col("label")).alias("revision"), "label", F.col("n")["n"].alias("n"))
 
     def parse(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         """documents: snapshot_id, published_date, page, text, x, y, width, font_size, line: the words of rotas."""

@@ -17,6 +17,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 FAILED = "!failed"
 #: Bytes of a page; a longer one isn't read.
 MOST_BYTES = 64 << 20
+#: Elements that are handed on at once.
+ROWS = 2000
 ELEMENT = "n int, parents array<int>, tag string, classes array<string>, attrs map<string,string>, text string"
 
 
@@ -81,27 +83,37 @@ def read_page(html: str | None, most_bytes: int = MOST_BYTES) -> list[dict]:
     return parser.found
 
 
+def _batch(keys: pa.Array, at: list[int], rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+
 def elements(pages: DataFrame, key: str, html: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """key, n, parents, tag, classes, attrs, text: a row for each element of each page, in order n.
 
-    Null pages have no elements. See read_page().
+    Null pages have no elements. See read_page(). One page is held at a time, and handed on before the next is read. key may be a struct.
     """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
+        names = [key, "n", "parents", "tag", "classes", "attrs", "text"]
         for batch in batches:
-            at, rows = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            keys, at, rows = batch.column(0), [], []
+            for k in range(batch.num_rows):
                 try:
-                    found = read_page(text, most_bytes)
+                    found = read_page(batch.column(1)[k].as_py(), most_bytes)
                 except ValueError as error:
                     found = [{"parents": [], "tag": FAILED, "attrs": {}, "text": str(error)}]
                 for n, e in enumerate(found):
                     at.append(k)
                     rows.append((n, e["parents"], e["tag"], e["attrs"].get("class", "").split(), list(e["attrs"].items()), e["text"]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [key, "n", "parents", "tag", "classes", "attrs", "text"])
+                    if len(rows) >= ROWS:
+                        yield _batch(keys, at, rows, kinds, names)
+                        at, rows = [], []
+                del found
+            if rows or batch.num_rows == 0:
+                yield _batch(keys, at, rows, kinds, names)
 
     return pages.select(F.col(key), F.col(html).cast("string")).mapInArrow(run, f"`{key}` {kind}, {ELEMENT}")
 

@@ -9,6 +9,7 @@ from dutyframe.functions.dates import in_window
 from dutyframe.functions.geo import point_of_map_link
 from dutyframe.functions.text import collapse, matching_key
 from dutyframe.functions.times import on_day, parse_ranges
+from dutyframe.operators.tables import written
 from dutyframe.sources.base import Source
 from dutyframe.sources.html import FAILED, MOST_BYTES, elements, inside
 
@@ -21,7 +22,7 @@ class Pharmacies(Source):
 
     def discover(self, listings: DataFrame, first: str, last: str) -> DataFrame:
         """A form reference for each date of the picker in the window."""
-        found = elements(listings, "page_id", "html")
+        found = written(elements(listings, "page_id", "html").filter("tag in ('select', 'option')"), "elements")
         pickers = found.filter((F.col("tag") == "select") & (F.col("attrs")["id"] == "Date"))
         options = inside(found.filter("tag = 'option'"), pickers, "page_id")
         dates = options.select(F.try_to_date(F.trim(F.col("attrs")["value"]), "yyyy-MM-dd").alias("published_date")).filter("published_date is not null")
@@ -31,7 +32,7 @@ class Pharmacies(Source):
 
     def parse(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         """documents: snapshot_id, content, published_date. One record per readable window of a card, at least one per card."""
-        found = elements(documents, "snapshot_id", "content", self.most_bytes)
+        found = written(elements(documents, "snapshot_id", "content", self.most_bytes), "elements")  # read once for all that follows
         cards = found.filter((F.col("tag") == "div") & F.array_contains("classes", "card"))
         local = F.nullif(F.trim(F.col("attrs")["id"]), F.lit(""))
         below = inside(found, cards, "snapshot_id").withColumnRenamed("owner", "card")
