@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dutyframe.functions.text import fold, tokens
+from dutyframe.functions.text import fold, let, tokens
 
 # Month names, genitive and nominative, and weekdays, folded.
 MONTHS = [
@@ -31,7 +31,7 @@ TYPOS = 2
 def _valid(year: Column, month: Column, day: Column) -> Column:
     """The date of three numbers in text form; null out of the calendar or of the years."""
     made = F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-    return F.when(F.year(made).between(FIRST_YEAR, LAST_YEAR), made)
+    return let(made, lambda d: F.when(d.between(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1)), F.make_date(F.lit(LAST_YEAR), F.lit(12), F.lit(31))), d))
 
 
 def _parts(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
@@ -55,37 +55,38 @@ def month_number(token: Column) -> Column:
     """1 to 12 for a month's name, an abbreviation of one month only, or the one month within two typos; else null."""
     no = F.lit(None).cast("int")
     names = F.array(*[F.array(*[F.lit(n) for n in pair]) for pair in MONTHS])
-    exact = F.array_position(F.transform(names, lambda pair: F.array_contains(pair, token)), True).cast("int")
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for k, pair in enumerate(MONTHS, 1) for n in pair for x in (n, k)]), token)
     begins = F.transform(names, lambda pair: F.exists(pair, lambda n: n.startswith(token)))
-    few = F.size(F.filter(begins, lambda b: b)) == 1
-    away = F.transform(names, lambda pair: F.array_min(F.transform(pair, lambda n: F.levenshtein(n, token))))
-    least = F.array_min(away)
-    alone = (least <= TYPOS) & (F.size(F.filter(away, lambda d: d == least)) == 1)
-    weekday = F.lit(False)
-    for name in WEEKDAYS:
-        weekday = weekday | token.endswith(name)
+    begun = let(begins, lambda b: F.when(F.size(F.filter(b, lambda x: x)) == 1, F.array_position(b, True).cast("int")))
+    # a distance beyond TYPOS counts as one more than that
+    typos = lambda n: F.nullif(F.levenshtein(n, token, TYPOS), F.lit(-1))
+    away = F.transform(names, lambda pair: F.coalesce(F.array_min(F.transform(pair, typos)), F.lit(TYPOS + 1)))
+    alone = lambda a, least: F.when((least <= TYPOS) & (F.size(F.filter(a, lambda d: d == least)) == 1), F.array_position(a, least).cast("int"))
+    near = let(away, lambda a: let(F.array_min(a), lambda least: alone(a, least)))
+    weekday = token.rlike("(?:" + "|".join(WEEKDAYS) + r")\z")
     return (
         F.when(token.rlike("[0-9]") | weekday, no)
-        .when(exact > 0, exact)
+        .when(exact.isNotNull(), exact)
         .when(F.length(token) < 3, no)
-        .when(few, F.array_position(begins, True).cast("int"))
-        .when((F.length(token) >= 5) & alone, F.array_position(away, least).cast("int"))
+        .otherwise(F.coalesce(begun, F.when(F.length(token) >= 5, near)))
     )
 
 
 def parse_words(text: Column) -> Column:
     """The first month name decides; the nearest day before it, the first year after it, or else the nearest before."""
-    words = tokens(fold(text))
-    months = F.transform(words, lambda w: F.coalesce(month_number(w), F.lit(0)))
-    at = F.array_position(F.transform(months, lambda m: m > 0), True).cast("int")
-    before = F.reverse(F.slice(words, 1, F.greatest(at - 1, F.lit(0))))
-    after = F.slice(words, at + 1, F.size(words))
-    number = lambda w: F.try_element_at(F.filter(F.array(w), lambda x: x.rlike("^[0-9]{1,4}$")), F.lit(1)).cast("int")
+    number = lambda w: F.when(w.rlike("^[0-9]{1,4}$"), w.try_cast("int"))
     is_day = lambda w: (F.length(w) <= 2) & number(w).between(1, 31)
     is_year = lambda w: (F.length(w) == 4) & number(w).between(FIRST_YEAR, LAST_YEAR)
-    day = F.try_element_at(F.filter(before, lambda w: F.coalesce(is_day(w), F.lit(False))), F.lit(1))
-    year = F.try_element_at(F.filter(F.concat(after, before), lambda w: F.coalesce(is_year(w), F.lit(False))), F.lit(1))
-    return F.when(at > 0, _valid(year, F.try_element_at(months, at).cast("string"), day))
+    first = lambda words, fits: F.try_element_at(F.filter(words, lambda w: F.coalesce(fits(w), F.lit(False))), F.lit(1))
+
+    def read(words: Column, months: Column, at: Column) -> Column:
+        before = F.reverse(F.slice(words, 1, F.greatest(at - 1, F.lit(0))))
+        after = F.slice(words, at + 1, F.size(words))
+        return F.when(at > 0, _valid(first(F.concat(after, before), is_year), F.try_element_at(months, at).cast("string"), first(before, is_day)))
+
+    at = lambda months: F.array_position(F.transform(months, lambda m: m > 0), True).cast("int")
+    months = lambda words: F.transform(words, lambda w: F.coalesce(month_number(w), F.lit(0)))
+    return let(tokens(fold(text)), lambda words: let(months(words), lambda ms: let(at(ms), lambda k: read(words, ms, k))))
 
 
 def parse_date(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Text normalizing as native column expressions (Arrow only where Spark has no function: NFD)."""
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,11 @@ PLAIN = "ΑΕΗΙΟΥΩΙΥΑΙΥAAAAAACEEEEIIIINOOOOOUUUUYY"
 CONNECTORS = ["ΕΩΣ", "ΚΑΙ", "ΜΕΧΡΙ", "ΑΠΟ", ""]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_accents_upper(text: Column) -> Column:
     """Full upper case without marks, for precomposed Greek and Latin-1 letters; punctuation stays.
 

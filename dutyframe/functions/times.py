@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dutyframe.functions.text import strip_accents_upper
+from dutyframe.functions.text import let, strip_accents_upper
 
 # Dashes that separate the two ends of a range, and the words for parts of the day.
 DASHES = "-‐–—−"
@@ -15,26 +15,29 @@ MORNING, NIGHT, AFTERNOON, NEXT_DAY = "ΠΡΩΙ", ("ΒΡΑΔΥ", "ΝΥΧΤΑ"),
 def _minutes(text: Column) -> Column:
     """One end of a range, already folded. A clock time that isn't valid rejects the end, hours with a part of the day or not."""
     clock = r"([0-9]{1,2})[:.]([0-9]{2})"
-    hour = F.try_to_number(F.nullif(F.regexp_extract(text, clock, 1), F.lit("")), F.lit("99")).cast("int")
-    minute = F.try_to_number(F.nullif(F.regexp_extract(text, clock, 2), F.lit("")), F.lit("99")).cast("int")
-    bare = F.try_to_number(F.nullif(F.regexp_extract(text, r"([0-9]{1,2})", 1), F.lit("")), F.lit("99")).cast("int")
+    number = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
     night = text.contains(NIGHT[0]) | text.contains(NIGHT[1])
     day = text.contains(AFTERNOON[0]) | text.contains(AFTERNOON[1])
     morning = text.contains(MORNING)
-    late = ~morning & (night | day)
-    hours = F.when((morning | night) & (bare == 12), 0).when(late & (bare < 12), bare + 12).otherwise(bare)
-    return F.when(hour.isNotNull(), F.when((hour < 24) & (minute < 60), hour * 60 + minute)).when(hours < 24, hours * 60)
+
+    def spoken(bare: Column) -> Column:
+        hours = F.when((morning | night) & (bare == 12), 0).when(~morning & (night | day) & (bare < 12), bare + 12).otherwise(bare)
+        return let(hours, lambda h: F.when(h < 24, h * 60))
+
+    def told(hour: Column) -> Column:
+        minute = lambda: let(number(clock, 2), lambda m: F.when((hour < 24) & (m < 60), hour * 60 + m))
+        return F.when(hour.isNotNull(), minute()).otherwise(let(number(r"([0-9]{1,2})", 1), spoken))
+
+    return let(number(clock, 1), told)
 
 
 def parse_segment(folded: Column) -> Column:
     """start - end of folded text; overnight if the right side says so or the end isn't after the start."""
     cut = rf"(?s)^([^{DASHES}]*)[{DASHES}](.*)$"
-    left, right = F.regexp_extract(folded, cut, 1), F.regexp_extract(folded, cut, 2)
-    start, end = _minutes(left), _minutes(right)
-    return F.when(
-        folded.rlike(f"[{DASHES}]") & start.isNotNull() & end.isNotNull(),
-        F.struct(start.alias("start"), end.alias("end"), (right.contains(NEXT_DAY) | (end <= start)).alias("ends_next_day")),
-    )
+    sides = let(folded, lambda t: F.when(t.rlike(f"[{DASHES}]"), F.struct(F.regexp_extract(t, cut, 1).alias("left"), F.regexp_extract(t, cut, 2).alias("right"))))
+    ends = let(sides, lambda s: F.struct(_minutes(s["left"]).alias("start"), _minutes(s["right"]).alias("end"), s["right"].contains(NEXT_DAY).alias("next")))
+    whole = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), (e["next"] | (e["end"] <= e["start"])).alias("ends_next_day"))
+    return let(ends, lambda e: F.when(e["start"].isNotNull() & e["end"].isNotNull(), whole(e)))
 
 
 def parse_range(text: Column) -> Column:
