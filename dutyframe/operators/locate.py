@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dutyframe.functions.geo import in_attica, point_of_wkt
 from dutyframe.functions.text import fold
+from dutyframe.operators.tables import written
 
 LEAST_LETTERS = 4
 RESPONSE = "struct<results:struct<bindings:array<struct<item:struct<value:string>,label:struct<value:string>,alias:struct<value:string>,coord:struct<value:string>>>>>"
@@ -46,25 +47,31 @@ def match_places(entities: DataFrame, places: DataFrame, region: bool = True) ->
     """id, outcome (located, ambiguous, unmatched), qid, lat, lon for entities (id, name).
 
     A place counts if all distinctive words of the name are among the words of one of its names.
-    Words that stand whole are looked up by equality; only names whose words are all abbreviated
-    are compared by beginnings, through the first letters of the word.
+    Words that stand whole are looked up by equality, abbreviated ones through the first letters of words; each name by its rarest
+    word alone, and equal names once.
     """
     if region:
         places = places.filter(in_attica(F.col("lat"), F.col("lon")))
-    wanted = entities.select("id", distinctive_words(F.col("name")).alias("wanted"))
-    known = places.select("qid", "lat", "lon", F.explode("names").alias("name")).select("qid", "lat", "lon", F.array_distinct(F.split(fold(F.col("name")), " ")).alias("known"))
-    # one word of the name is the key of the lookup: the longest whole one, else the longest beginning
-    longest = F.array_max(F.transform("wanted", lambda w: F.struct((~w["abbreviated"]).alias("whole"), F.length(w["word"]).alias("n"), w["word"].alias("word"))))
-    keyed = wanted.filter("wanted is not null").withColumn("k", longest).withColumn("size", F.when(F.col("k.whole"), F.lit(-1)).otherwise(F.col("k.n"))).withColumn("word", F.col("k.word"))
-    whole = known.withColumn("word", F.explode("known")).withColumn("size", F.lit(-1))
+    named = written(entities.select("id", distinctive_words(F.col("name")).alias("wanted")), "named")
+    # equal names are looked for once, and equal names of places are one that tells its least and its greatest place
+    asked = written(named.filter("wanted is not null").select("wanted").distinct().withColumn("ask", F.monotonically_increasing_id()), "asked")
+    words = places.select("qid", "lat", "lon", F.explode("names").alias("name")).select("qid", "lat", "lon", F.array_sort(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("known"))
+    known = written(words.groupBy("known").agg(F.min(F.struct("qid", "lat", "lon")).alias("p"), F.max("qid").alias("last")).withColumn("spelling", F.monotonically_increasing_id()), "known")
+    # of the words of a name the one that fewest spellings hold is the key of the lookup; one that none holds settles it
+    keyed = asked.select("ask", F.explode(F.array_distinct("wanted")).alias("w")).select("ask", F.when(F.col("w.abbreviated"), F.length("w.word")).otherwise(F.lit(-1)).alias("size"), "w.word")
+    whole = known.select("spelling", F.explode("known").alias("word")).withColumn("size", F.lit(-1))
     # beginnings only as long as one that is looked for; lengths of words are few, and one row holds them
     lengths = keyed.filter("size > 0").agg(F.collect_set("size").alias("sizes"))
-    begun = known.withColumn("w", F.explode("known")).join(F.broadcast(lengths), F.lit(True)).withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("w"))))
-    begun = begun.withColumn("word", F.expr("substring(w, 1, size)")).drop("w", "sizes")
-    lookup = whole.unionByName(begun)
-    met = keyed.join(lookup, ["size", "word"]).filter(holds_all(F.col("wanted"), F.col("known"))).select("id", "qid", "lat", "lon").distinct()
-    counted = met.groupBy("id").agg(F.count_distinct("qid").alias("n"), F.min(F.struct("qid", "lat", "lon")).alias("p"))
-    joined = entities.select("id").join(counted, "id", "left")
+    begun = known.select("spelling", F.explode("known").alias("w")).join(F.broadcast(lengths), F.lit(True)).withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("w"))))
+    begun = begun.withColumn("word", F.expr("substring(w, 1, size)")).drop("w", "sizes").distinct()
+    lookup = written(whole.unionByName(begun, allowMissingColumns=True), "words")
+    held = lookup.groupBy("size", "word").agg(F.count(F.lit(1)).alias("held"))
+    rarest = keyed.join(held, ["size", "word"], "left").groupBy("ask").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "size", "word")).alias("k")).filter("k.held > 0")
+    pairs = rarest.select("ask", "k.size", "k.word").join(lookup, ["size", "word"]).select("ask", "spelling")
+    met = pairs.join(asked, "ask").join(known, "spelling").filter(holds_all(F.col("wanted"), F.col("known")))
+    counted = met.groupBy("ask").agg(F.min("p").alias("p"), F.max("last").alias("last")).withColumn("n", F.when(F.col("p.qid") == F.col("last"), 1).otherwise(2))
+    found = written(asked.join(counted, "ask").select("wanted", "n", "p"), "found")
+    joined = named.join(found, "wanted", "left")
     one = F.col("n") == 1
     outcome = F.when(one, "located").when(F.col("n") > 1, "ambiguous").otherwise("unmatched")
     return joined.select("id", outcome.alias("outcome"), *[F.when(one, F.col(f"p.{c}")).alias(c) for c in ("qid", "lat", "lon")])
