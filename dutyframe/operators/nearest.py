@@ -2,7 +2,8 @@
 
 The world is cut into 2**LEVEL x 2**LEVEL cells of longitude and latitude, numbered along a Morton curve, so that
 four neighbours of a level are one cell of the level above: its number is theirs without the last two bits. Points look in the nine cells around
-them, first in small ones; those that can't be sure of their nearest places look again in cells four times as wide. No pair of a far point and place is made.
+them, first in small ones; those that can't be sure of their nearest places look again in cells four times as wide. Points that are far from all places
+then go the other way, from the whole world down, and of the cells with places keep those that may hold a nearest one. No pair of a far point and place is made.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from dutyframe.operators.tables import written
 LEVEL = 16
 #: Levels by which a round's cells are wider than those of the round before.
 STEP = 2
+#: Points that are not settled in cells of this level are far.
+FAR = 2
+#: Kilometres by which distances may be wrong, near the antipodes most of all.
+SLACK_KM = 0.01
 #: Distances are compared to the millimetre.
 DIGITS = 6
 
@@ -71,10 +76,12 @@ def nearest(points: DataFrame, places: DataFrame, k: int, key: str = "id", place
     spots = written(lone.unionByName(shared).select("place", "lat", "lon", cell(F.col("lat"), F.col("lon")).alias("cell")).sortWithinPartitions("cell"), "spots")
     wanted = min(k, spots.limit(k).count())
     x, y = _axis(F.col("lon"), -180.0, 360.0), _axis(F.col("lat"), -90.0, 180.0)
-    left = written(points.filter(real).select(F.col(key).alias("point"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), x.alias("x"), y.alias("y")), "points")
+    asked = written(points.filter(real).select(F.col(key).alias("__key"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "asked")
+    # points at one spot look once
+    left = written(asked.select("p_lat", "p_lon").distinct().withColumn("point", F.monotonically_increasing_id()), "points")
+    left = left.select("point", "p_lat", "p_lon", _axis(F.col("p_lon"), -180.0, 360.0).alias("x"), _axis(F.col("p_lat"), -90.0, 180.0).alias("y"))
     done, empty = None, wanted == 0
-    for level in range(0, LEVEL + STEP, STEP):
-        level = min(level, LEVEL)
+    for level in range(0, FAR + STEP, STEP):
         size = LEVEL - level  # 2**size strips each way
         side = 1 << size
         around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
@@ -94,9 +101,36 @@ def nearest(points: DataFrame, places: DataFrame, k: int, key: str = "id", place
         sure = F.lit(float("inf")) if size <= 1 else F.least(lat_km, lon_km, F.when(edge, pole).otherwise(lat_km))
         last = F.element_at("best", -1)["km"]
         found = written(found.withColumn("settled", F.coalesce((F.size("best") >= wanted) & (last + 10.0**-DIGITS < sure), F.lit(size <= 1))), "found")
-        mine = found.filter("settled").select("point", F.posexplode("best").alias("rank", "b"))
+        mine = found.filter("settled").select("p_lat", "p_lon", F.posexplode("best").alias("rank", "b"))
         done = mine if done is None else done.unionByName(mine)
         left = found.filter("not settled").select("point", "p_lat", "p_lon", "x", "y")
-        if empty or size <= 1 or left.isEmpty():
+        if empty or left.isEmpty():
             break
-    return done.select("point", (F.col("rank") + 1).alias("rank"), F.col("b.place").alias("place"), F.col("b.km").alias("distance_km"))
+    if not empty and not left.isEmpty():
+        done = done.unionByName(_far(left, spots, k, wanted).select("p_lat", "p_lon", F.posexplode("best").alias("rank", "b")))
+    out = asked.join(done, ["p_lat", "p_lon"])
+    return out.select(F.col("__key").alias("point"), (F.col("rank") + 1).alias("rank"), F.col("b.place").alias("place"), F.col("b.km").alias("distance_km"))
+
+
+def _far(left: DataFrame, spots: DataFrame, k: int, wanted: int) -> DataFrame:
+    """left with best, its nearest places: level by level down, of the cells that hold places those that may hold a nearest one.
+
+    A cell is told by one of its places and by how far the others are from it at most. The `wanted` nearest of those places bound how
+    far a nearest place can be; a cell beyond that by more than its own reach holds none.
+    """
+    km = lambda a, b: distance_km(F.col(f"{a}lat"), F.col(f"{a}lon"), F.col(f"{b}lat"), F.col(f"{b}lon"))
+    front = left.select("point", "p_lat", "p_lon", F.lit(0).cast("long").alias("within"))
+    for level in range(LEVEL - STEP, -STEP, -STEP):
+        mine = spots.withColumn("child", F.shiftright("cell", 2 * level))
+        first = mine.groupBy("child").agg(F.min_by(F.struct("lat", "lon"), "place").alias("f")).select("child", F.col("f.lat").alias("c_lat"), F.col("f.lon").alias("c_lon"))
+        told = mine.join(first, "child").groupBy("child", "c_lat", "c_lon").agg(F.max(km("", "c_")).alias("reach"))
+        told = written(told.withColumn("within", F.shiftright("child", 2 * STEP)), "cells")
+        met = front.join(F.broadcast(told) if level >= LEVEL // 2 else told, "within")  # 4 ** (LEVEL - level) cells at most
+        seen = met.groupBy("point", "p_lat", "p_lon").agg(F.array_sort(F.collect_list(F.struct(km("p_", "c_").alias("km"), "child", "reach"))).alias("seen"))
+        bound = F.coalesce(F.try_element_at("seen", F.lit(wanted))["km"], F.lit(float("inf")))
+        kept = F.filter("seen", lambda c: c["km"] - c["reach"] <= F.col("bound") + SLACK_KM)
+        front = seen.withColumn("bound", bound).select("point", "p_lat", "p_lon", F.explode(F.transform(kept, lambda c: c["child"])).alias("within"))
+        front = written(front, "front")
+    met = front.join(spots.withColumnRenamed("cell", "within"), "within")
+    near = F.struct(F.round(km("p_", ""), DIGITS).alias("km"), F.col("place"))
+    return met.groupBy("point", "p_lat", "p_lon").agg(F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("best"))
