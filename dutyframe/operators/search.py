@@ -9,6 +9,8 @@ from dutyframe.functions.text import matching_key
 from dutyframe.operators.tables import written
 
 GRAM = 3
+#: Ids that are handed on together, about.
+LIST = 1000
 
 
 def grams(column: str, size: int) -> F.Column:
@@ -24,10 +26,28 @@ def search_many(entities: DataFrame, needles: DataFrame, column: str = "name_fol
     entities: id and the folded name; needles: needle_id, search (as typed; it is folded like names are). A null name or
     needle meets nothing; one that is empty once folded is in every name, as for a single search, and is paired with all of them.
     Each needle looks in the postings of its rarest piece only, and what it finds there is verified. Needles under GRAM letters
-    are pieces themselves.
+    are pieces themselves. Equal needles look once, and equal names are looked at once; the ids of both meet at the end, in lists of
+    LIST ids at most, so that no pair of ids is shuffled.
     """
-    asked = needles.select("needle_id", matching_key(F.col("search")).alias("needle")).filter("needle is not null")
-    names = entities.select("id", F.col(column).alias("name")).filter("name is not null")
+    typed = written(needles.select("needle_id", matching_key(F.col("search")).alias("needle")).filter("needle is not null"), "typed")
+    named = written(entities.select("id", F.col(column).alias("name")).filter("name is not null"), "named")
+    met = _meet(typed.select("needle").distinct().select(F.col("needle").alias("needle_id"), "needle"), named.select("name").distinct().select(F.col("name").alias("id"), "name"))
+    both = met.select(F.col("needle_id").alias("needle"), F.col("id").alias("name"))
+    both = both.join(_lists(typed, "needle", "needle_id", "__needles"), "needle").join(_lists(named, "name", "id", "__ids"), "name")
+    # lists are few and what they make is much: they are dealt evenly over a stated number of tasks
+    both = both.select("__needles", "__ids").repartition(4 * int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.select(F.explode("__needles").alias("needle_id"), "__ids").select("needle_id", F.explode("__ids").alias("id"))
+
+
+def _lists(df: DataFrame, by: str, key: str, out: str) -> DataFrame:
+    """by and its keys in lists, as many for each as it takes."""
+    sizes = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / LIST).alias("__n"))
+    dealt = df.join(sizes, by).withColumn("__list", F.pmod(F.xxhash64(key), F.col("__n")))
+    return dealt.groupBy(by, "__list").agg(F.collect_list(key).alias(out)).drop("__list")
+
+
+def _meet(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """needle_id, id of distinct needles and the distinct names that hold them."""
     sizes = [r[0] for r in asked.filter("needle != ''").select(F.least(F.length("needle"), F.lit(GRAM)).alias("s")).distinct().collect()]  # 1 to GRAM
     everything = asked.filter("needle = ''").select("needle_id", F.lit(0).alias("size"), F.lit("").alias("gram"), "needle")
     pieces, postings = everything, None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dutyframe.functions import dates, times
-from dutyframe.operators import intervals, locate
+from dutyframe.operators import intervals, locate, nearest, search
 from dutyframe.sources import html, registry
 
 
@@ -61,3 +61,33 @@ def test_common_words_meet_few_places(spark, monkeypatch):
     got = locate.match_places(names, places).collect()
     assert {(r["id"], r["outcome"], r["qid"]) for r in got} == {(k, "located", f"P{k % 150}") for k in range(300)}
     assert len(got) == 300 and 0 < tried.value < 2000
+
+
+def test_far_points_meet_few_places(spark, monkeypatch):
+    """Points far from all places, many of them at one spot, against a grid of places: few distances are measured, and none is missed."""
+    tried, own = spark.sparkContext.accumulator(0), nearest.distance_km
+
+    @F.udf("boolean")
+    def seen(_):
+        tried.add(1)
+        return True
+
+    monkeypatch.setattr(nearest, "distance_km", lambda a, b, c, d: F.when(seen(a), own(a, b, c, d)))
+    places = spark.range(900).selectExpr("id", "30 + floor(id / 30) / 10.0D AS lat", "20 + (id % 30) / 10.0D AS lon")
+    points = spark.range(200).selectExpr("id", "CASE WHEN id < 190 THEN -60.0D ELSE -60.0D + id / 10.0D END AS lat", "100.0D AS lon")
+    got = nearest.nearest(points, places, 2).select("point", "rank", "place").collect()
+    far = points.crossJoin(places.selectExpr("id AS place", "lat AS b", "lon AS l")).withColumn("km", F.round(own(F.col("lat"), F.col("lon"), F.col("b"), F.col("l")), nearest.DIGITS))
+    want = far.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("km", "place"))), 1, 2).alias("s")).collect()
+    assert {(r[0], r[1], r[2]) for r in got} == {(r["id"], n, x["place"]) for r in want for n, x in enumerate(r["s"], 1)}
+    assert 0 < tried.value < 60_000
+
+
+def test_equal_needles_and_names_meet_once(spark):
+    """Copies come together by lists of ids: the result has every pair, once."""
+    names = spark.range(50).selectExpr("id", "concat('ABCD', id % 2) AS name_folded")
+    needles = spark.range(40).selectExpr("id AS needle_id", "CASE id % 3 WHEN 0 THEN 'bcd0' WHEN 1 THEN 'bc' ELSE 'zzz' END AS search")
+    got = search.search_many(names, needles)
+    want = {(n, k) for n in range(40) for k in range(50) if n % 3 == 1 or (n % 3 == 0 and k % 2 == 0)}
+    rows = got.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert "explode(__ids" in got._jdf.queryExecution().optimizedPlan().toString()
