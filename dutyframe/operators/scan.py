@@ -18,6 +18,8 @@ from dutyframe.operators.tables import written
 
 #: Rows of one key that one task may hold; a key with more is cut.
 ROWS_IN_A_TASK = 1_000_000
+#: Segments that are cut at most, as long as each has no more than ROWS_IN_A_TASK rows: a smaller `most` says which keys are cut, not how many tasks and carried rows there are.
+SEGMENTS = 128
 SEGMENT = "__segment"
 
 #: How two values in order make one: running sum, least, greatest, or last value that isn't null.
@@ -30,6 +32,11 @@ _JOIN = {
 _OVER = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
+def _ranges(rows: int, most: int) -> int:
+    """Into how many ranges so many rows are cut."""
+    return min(-(-rows // most) + 1, max(SEGMENTS, -(-rows // ROWS_IN_A_TASK) + 1))
+
+
 class Segments:
     """df cut for scans in one order; the scans of one object share its cuts, its shuffle and its sort.
 
@@ -55,7 +62,7 @@ class Segments:
         columns = [F.col(f"r.{c}") for c in df.columns]
         rest = met.filter("__is_hot is null").select(*columns).withColumn(SEGMENT, F.lit(0))
         # a stated number of ranges, which are not put together again however few bytes they have
-        ranged = met.filter("__is_hot").select(*columns).repartitionByRange(-(-rows // most) + 1, *keys, *order).withColumn(SEGMENT, F.spark_partition_id() + 1)
+        ranged = met.filter("__is_hot").select(*columns).repartitionByRange(_ranges(rows, most), *keys, *order).withColumn(SEGMENT, F.spark_partition_id() + 1)
         self.df = rest.unionByName(written(ranged, "segments"))
 
     def _window(self):

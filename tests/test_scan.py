@@ -101,6 +101,15 @@ def test_rows_of_one_key_are_spread(spark):
     assert cut.scan("r", F.col("v"), "sum").rows().agg(F.max("r")).first()[0] == 4000
 
 
+def test_segments_do_not_grow_with_the_rows(spark):
+    """A small `most` cuts a long key into SEGMENTS, not into one task for each `most` rows; beyond ROWS_IN_A_TASK rows each, more are cut."""
+    df = spark.range(3000).select(F.col("id").cast("int").alias("at"))
+    cut = scan.Segments(df, [], ["at"], 2)
+    assert 1 < cut.df.agg(F.count_distinct(scan.SEGMENT)).first()[0] <= scan.SEGMENTS
+    assert cut.scan("r", F.lit(1), "sum").rows().filter("r != at + 1").isEmpty()
+    assert scan._ranges(10**9, 1000) == 10**9 // scan.ROWS_IN_A_TASK + 1 and scan._ranges(4000, 1000) == 5
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert scan.islands(df, ["k"], ["at"], lambda b: b("at") > 1, "g").isEmpty() and scan.anchored_groups(df, ["k"], "at", F.col("at"), "g").isEmpty()
