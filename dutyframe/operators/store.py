@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dutyframe.operators import resolve, schemas, supersede
 from dutyframe.operators.log import CommitLog, Conflict
-from dutyframe.operators.tables import written
+from dutyframe.operators.tables import CODEC, written
 
 IDENTITY = ["source_id", "url", "sha256"]
 #: A table of more folders than this is compacted; so a manifest stays small.
@@ -92,7 +92,7 @@ class Transaction:
 
     def _write(self, name: str, rows: DataFrame) -> str:
         folder = f"{name}/{self.version:020d}-{uuid.uuid4().hex}"
-        rows.write.parquet(self.own.path(folder))
+        rows.write.option("compression", CODEC).parquet(self.own.path(folder))
         return folder
 
     def put(self, name: str, rows: DataFrame) -> DataFrame:
@@ -218,18 +218,18 @@ class RecordStore:
             return last["told"]
         now = F.current_timestamp()
         seen_at = self.at(t.base["version"]) if t.base["version"] else self
-        known = seen_at.snapshots().select(F.col("id").alias("snapshot_id"), F.col("processed_at").isNotNull().alias("__done"), *IDENTITY)
-        one = documents.dropDuplicates(IDENTITY).join(known, IDENTITY, "left").withColumn("__done", F.coalesce("__done", F.lit(False)))
-        one = written(one, "seen")
-        fresh = (one if reparse else one.filter("not __done")).drop("__done")
-        # ids are dense in the order of date and revision, undated first
-        unseen = fresh.filter("snapshot_id is null").drop("snapshot_id").sort(F.col("published_date").asc_nulls_first(), "revision", *IDENTITY)
-        unseen = written(unseen.select(*IDENTITY, "published_date", "revision", "label").withColumn("__row", F.monotonically_increasing_id()), "unseen")
+        known = seen_at.read("snapshot").select(F.col("id").alias("snapshot_id"), *IDENTITY)
+        one = written(documents.dropDuplicates(IDENTITY).join(known, IDENTITY, "left"), "seen")
+        again = one.filter("snapshot_id is not null")
+        if not reparse:  # ids alone meet the marks, and only of documents that have come before
+            again = written(again.join(seen_at.read("processed").select("snapshot_id"), "snapshot_id", "left_anti"), "again")
+        # ids are dense in the order of date and revision, undated first; texts go along, so that no document is sought by its identity again
+        unseen = one.filter("snapshot_id is null").drop("snapshot_id").sort(F.col("published_date").asc_nulls_first(), "revision", *IDENTITY)
+        unseen = written(unseen.withColumn("__row", F.monotonically_increasing_id()), "unseen")
         top = known.agg(F.max("snapshot_id")).first()[0] or 0
         made = resolve.dense_ids(unseen, "__row", "snapshot_id", top)
-        made = t.put("snapshot", made.select(F.col("snapshot_id").alias("id"), *IDENTITY, now.alias("fetched_at"), "published_date", "revision", "label"))
-        ids = made.select(F.col("id").alias("__new"), *IDENTITY)
-        fresh = fresh.join(ids, IDENTITY, "left").withColumn("snapshot_id", F.coalesce("snapshot_id", "__new")).drop("__new")
+        t.put("snapshot", made.select(F.col("snapshot_id").alias("id"), *IDENTITY, now.alias("fetched_at"), "published_date", "revision", "label"))
+        fresh = made.unionByName(again.select(*made.columns))
         records, issues = parse(fresh)
         records, issues = written(records, "records"), written(issues.select("snapshot_id", "source_id", "severity", "code", "detail"), "issues")
         order = fresh.select("snapshot_id", F.struct("published_date", "revision", "snapshot_id").alias("__document"))
@@ -253,7 +253,7 @@ class RecordStore:
         failed = issues.filter("code = 'document_failed'").select("snapshot_id")
         parsed = t.put("processed", fresh.select("snapshot_id").join(failed, "snapshot_id", "left_anti").withColumn("processed_at", now)).count()
         counts = {"seen": one.count(), "documents": parsed}
-        counts["skipped"] = 0 if reparse else one.filter("__done").count()
+        counts["skipped"] = 0 if reparse else counts["seen"] - fresh.count()
         counts["failed"] = counts["seen"] - counts["skipped"] - parsed
         t.commit(writer, batch, counts)
         crowded = [name for name, folders in t.tables.items() if len(folders) > COMPACT_AFTER]

@@ -295,6 +295,23 @@ def test_rising_revisions_forget_and_recover(spark, tmp_path):
     assert told[4] == [("a", 0, 20)]  # a was forgotten
 
 
+def test_a_document_is_sought_by_its_identity_once(spark, tmp_path):
+    """The parser's input is no join by url and hash: ids come with the texts, and those that failed before meet the marks by id."""
+    own, plans = store.RecordStore(spark, str(tmp_path / "s")), []
+
+    def parse(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return Papers().parse(rows)
+
+    torn = ("desk-1", "u9", "torn", DAYS[1], 0, "l")
+    own.ingest(frame(spark, [paper(1, "A", "u1"), torn]), parse, 1)
+    told = own.ingest(frame(spark, [paper(1, "A", "u1"), torn, paper(3, "B", "u2", day=0)]), parse, 2)
+    assert told == {"seen": 3, "documents": 1, "skipped": 1, "failed": 1}
+    assert {(r["id"], r["url"], r["processed_at"] is not None) for r in own.snapshots().collect()} == {(1, "u1", True), (2, "u9", False), (3, "u2", True)}
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert joins and not any("sha256" in line or "url" in line for line in joins)
+
+
 def test_superseded_rows_stay(spark):
     snaps = spark.createDataFrame([(k, "s", DAYS[d], n) for k, d, n in ((1, 1, 2), (2, 1, 0), (3, 1, 2), (4, 0, 0), (5, 0, 0), (6, 2, 0))], "id long, source_id string, published_date date, revision int")
     rows = spark.createDataFrame([(k,) for k in (*range(1, 7), 9)], "snapshot_id long")
