@@ -295,6 +295,53 @@ def test_rising_revisions_forget_and_recover(spark, tmp_path):
     assert told[4] == [("a", 0, 20)]  # a was forgotten
 
 
+def test_rising_revisions_of_many_keys_are_compared_at_once():
+    """A thousand keys of a bucket cost one read and one write of its state; each is forgotten at its own time."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from dutyframe.streaming import refresh
+
+    told = {"held": None, "calls": 0, "timers": set()}
+
+    def update(v):
+        told.update(held=v, calls=told["calls"] + 1)
+
+    def get():
+        told["calls"] += 1
+        return told["held"]
+
+    state = SimpleNamespace(exists=lambda: told["held"] is not None, get=get, update=update, clear=lambda: told.update(held=None))
+    own = refresh.LatestRevision()
+    own.init(SimpleNamespace(getValueState=lambda *_: state, registerTimer=told["timers"].add, deleteTimer=told["timers"].remove))
+    rows = lambda revision, until, n=1000: pd.DataFrame({"name": [str(k) for k in range(n)], "top": [revision + k % 2 for k in range(n)], "row": range(n), "until": [until + k for k in range(n)], "whole": True})
+    risen = lambda *parts: sum(len(p) for p in own.handleInputRows((0,), iter(parts), None))
+    assert risen(rows(5, 100), rows(4, 50)) == 1000 and told["calls"] == 1 and told["timers"] == {100}
+    assert risen(rows(5, 100)) == 0 and told["calls"] == 2
+    assert risen(rows(4, 90), rows(6, 70, 10)) == 10 and told["calls"] == 4 and told["timers"] == {100}
+    for now, left, due in ((500, 600, {500}), (1100, None, set())):
+        (rung,) = told["timers"]
+        list(own.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), SimpleNamespace(getExpiryTimeInMs=lambda rung=rung: rung)))
+        told["timers"].remove(rung)  # as Spark does
+        assert (told["held"] and len(told["held"][0])) == left and told["timers"] == due
+
+
+def test_rising_revisions_keep_long_numbers(spark, tmp_path):
+    """Ids beyond 2**53 stay exact beside rows without one, as do keys of several types, null among them."""
+    from dutyframe.streaming import refresh
+
+    refresh.state_store(spark)
+    place, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "a long, b timestamp, revision long, id long, at timestamp"
+    now, big = dt.datetime(2024, 1, 1, 0, 0, 0, 7), 2**53 + 1
+    spark.createDataFrame([(big, now, 1, big, now), (big, now, None, 5, now), (None, now, big, 1, now), (None, now, 3, None, now)], schema).coalesce(1).write.parquet(place)
+    rising = refresh.rising_revisions(spark.readStream.schema(schema).parquet(place), ["a", "b"], "revision", "id", "at")
+    refresh.keep_batches(rising, out, str(tmp_path / "check")).awaitTermination()
+    found = spark.read.schema(rising.schema).parquet(out).select("a", "b", "revision", "id").collect()
+    assert {tuple(r) for r in found} == {(big, now, 1, big), (None, now, big, 1)}
+
+
 def test_a_document_is_sought_by_its_identity_once(spark, tmp_path):
     """The parser's input is no join by url and hash: ids come with the texts, and those that failed before meet the marks by id."""
     own, plans = store.RecordStore(spark, str(tmp_path / "s")), []
