@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyframe.operators.scan import anchored_groups, floor_join, islands
+from dutyframe.operators.scan import Segments, anchored_groups, floor_join, islands, islands_in
 from dutyframe.operators.tables import written
 
 # Fixed values of the layout: tolerances in points or as shares of the font size.
@@ -40,13 +40,13 @@ def words_of_glyphs(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     at a blank glyph or a wide gap.
     """
     near = lambda before: F.abs(F.col("y") - before("y")) > F.greatest(F.col("font_size") * LINE_SHARE, F.lit(LINE_LEAST))
-    lines = islands(glyphs, keys, ["y", "x", "text"], near, "line")
-    blank = F.trim("text") == ""
-    flagged = lines.withColumn("__blank", blank).withColumn("__end", F.col("x") + F.col("advance"))
+    pages = islands_in(Segments(glyphs, keys, ["y", "x", "text"], dealt=True), near, "line")
     by = Window.partitionBy(*keys, "line").orderBy("x")
-    flagged = flagged.withColumn("__after_blank", F.coalesce(F.lag("__blank").over(by), F.lit(False))).filter(~F.col("__blank"))
+    # what can be worked out again isn't sorted
+    shown = pages.rows().withColumn("__after", F.lag("text").over(by)).filter(F.trim("text") != "")
+    flagged = shown.withColumns({"__after_blank": F.coalesce(F.trim("__after") == "", F.lit(False)), "__end": F.col("x") + F.col("advance")}).drop("__after")
     wide = lambda before: F.col("__after_blank") | (F.col("x") - before("__end") > F.col("font_size") * WORD_GAP_SHARE)
-    words = islands(flagged, [*keys, "line"], ["x"], wide, "word")
+    words = islands_in(Segments(flagged, [*keys, "line"], ["x"], within=pages), wide, "word").rows()
     return words.groupBy(*keys, "line", "word").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda g: g["text"]), "").alias("text"),
         F.min("x").alias("x"),

@@ -42,15 +42,22 @@ class Segments:
 
     Order: ascending, nulls first, so descending orders are given as negated columns. Rows that tie in all
     of it are in no certain order, so give columns that leave only equal rows tied. keys may be empty: all rows are one key.
+    With `dealt` the rows of uncut keys go to as many tasks as leave each half of ROWS_IN_A_TASK, or one key: Spark joins tasks by
+    their bytes after compression, which are a small part of what narrow, similar rows take to sort. within: segments
+    of the same rows by fewer keys; a key can be large only where one of those was cut.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], most: int | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], most: int | None = None, dealt: bool = False, within: Segments | None = None):
         self.keys, self.order = keys, order
         most = ROWS_IN_A_TASK if most is None else most
-        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
-        rows = hot.agg(F.sum("__n")).first()[0]
+        counted = df if within is None else within.df.filter(F.col(SEGMENT) > 0)  # the rows of cut keys
+        sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        hot = sizes.filter(F.col("__n") > most)
+        everything, rows = (None, None) if within is not None and not within.cut else sizes.agg(F.sum("__n"), F.sum(F.when(F.col("__n") > most, F.col("__n")))).first()
         self.cut = rows is not None
         if not self.cut:
+            if dealt and keys and (everything or 0) > ROWS_IN_A_TASK:
+                df = df.repartition(-(-2 * everything // ROWS_IN_A_TASK), *keys)
             self.df = df.withColumn(SEGMENT, F.lit(0))
             return
         same = F.lit(True)
@@ -103,13 +110,26 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Callable[[
 
     breaks takes a function that gives the previous row's value of a column. A key's first row begins one, as does a row where breaks is null.
     """
+    return islands_in(Segments(df, keys, order, most), breaks, name).rows()
+
+
+def islands_in(rows: Segments, breaks: Callable[[Callable[[str], Column]], Column], name: str) -> Segments:
+    """The same over segments, whose cuts it keeps."""
     used: list[str] = []
     breaks(lambda c: (used.append(c), F.col(c))[1])
-    previous = F.struct(*[F.col(c) for c in dict.fromkeys(used)]) if used else F.struct(F.lit(1))
-    told = Segments(df, keys, order, most).scan("__before", previous, "last", before=True)
-    new = F.coalesce(breaks(lambda c: F.col("__before")[c]), F.lit(True)) | F.col("__before").isNull()
+    used = list(dict.fromkeys(used))
+    if rows.cut:
+        previous = F.struct(*[F.col(c) for c in used]) if used else F.struct(F.lit(1))
+        told = rows.scan("__before", previous, "last", before=True)
+        before, begins = (lambda c: F.col("__before")[c]), F.col("__before").isNull()
+    else:  # a window tells the row before; no copy of its columns is shuffled and sorted
+        by = rows._window()
+        told = rows.with_columns({**{f"__before_{c}": F.lag(c).over(by) for c in used}, "__before": F.row_number().over(by)})
+        before, begins = (lambda c: F.col(f"__before_{c}")), F.col("__before") == 1
+    new = F.coalesce(breaks(before), F.lit(True)) | begins
     told = told.with_columns({"__new": new.cast("long")}).scan(name, F.col("__new"), "sum")
-    return told.rows().withColumn(name, F.col(name).cast("int")).drop("__before", "__new")
+    told.df = told.df.withColumn(name, F.col(name).cast("int")).drop("__before", "__new", *[f"__before_{c}" for c in used])
+    return told
 
 
 def floor_join(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, value: str, most: int | None = None) -> DataFrame:

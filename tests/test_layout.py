@@ -245,3 +245,22 @@ def test_sources_by_name():
     with pytest.raises(KeyError):
         registry.by_id("nowhere")
     assert RECORD.count(",") == 16 and ISSUE.count(",") == 4
+
+
+def test_words_of_glyphs_are_sorted_narrow_and_in_bounded_parts(spark, monkeypatch):
+    """Lines of uneven height and blanks; pages as a whole, dealt and cut give the same words, and glyphs are shuffled once with nothing beside their own columns."""
+    from dutyframe.operators import scan
+
+    glyphs = [(p, "ab c"[k % 4] if k % 11 else None, 5.0 * (k % 40) + (k % 40 > 20) * 9, 20.0 * (k // 40) + k % 2, 5.0, 10.0) for p in range(6) for k in range(60 + 60 * (p == 4))] + [(9, "x", None, None, 5.0, 10.0)] * 2
+    shown = spark.createDataFrame(glyphs, "page int, text string, x double, y double, advance double, font_size double")
+    told = {}
+    for most in (10**6, 200, 70, 25):
+        monkeypatch.setattr(scan, "ROWS_IN_A_TASK", most)
+        words = layout.words_of_glyphs(shown, ["page"])
+        plan = words._jdf.queryExecution().executedPlan().toString()
+        told[most] = sorted(map(str, words.collect()))
+        if most == 200:
+            assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+            below = plan[plan.index("Exchange") :]
+            assert "struct" not in below and "__end" not in below
+    assert len(told[10**6]) > 40 and len({tuple(t) for t in told.values()}) == 1
