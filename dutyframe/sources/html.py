@@ -5,7 +5,7 @@ A page that can't be read is one row with the tag FAILED, whose text says why.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,7 +17,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 FAILED = "!failed"
 #: Bytes of a page; a longer one isn't read.
 MOST_BYTES = 64 << 20
-#: Elements that are handed on at once.
+#: Elements that are handed on at once, or more where a page's text is long.
 ROWS = 2000
 ELEMENT = "n int, parents array<int>, tag string, classes array<string>, attrs map<string,string>, text string"
 
@@ -28,94 +28,129 @@ def only_references(html: Column, names: tuple[str, ...] = ("lt", "gt", "amp"))
 
 
 class _Elements(HTMLParser):
-    """Elements in document order, each with its ancestors and where the text below it stands in all text."""
+    """Elements, each with its number n in document order, its ancestors and where the text below it stands in all text.
 
-    def __init__(self) -> None:
+    Those that have ended are handed on, some thousands at a time, as they end; what is held is what is open, and the text from there on.
+    """
+
+    def __init__(self, hand: Callable[[list[dict]], None]) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.open: list[int] = []
+        self.hand = hand
+        self.count = 0
+        self.open: list[dict] = []
+        self.ended: list[dict] = []
         self.said: list[str] = []
-        self.length = 0
-
-    def _add(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.found.append({"parents": list(self.open), "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "from": self.length, "to": None})
+        self.length = self.dropped = 0  # of all text; of what isn't held any more
+
+    def _add(self, tag: str, attrs: list[tuple[str, str | None]]) -> dict:
+        e = {"n": self.count, "parents": [o["n"] for o in self.open], "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "from": self.length}
+        self.count += 1
+        return e
+
+    def _end(self, ended: list[dict]) -> None:
+        for e in ended:
+            e["to"] = self.length
+        self.ended += ended
+        # longer texts are cut less often, as each time they are copied
+        if len(self.ended) >= max(ROWS, (self.length - self.dropped) // 1000):
+            self.hand_on()
+
+    def hand_on(self) -> None:
+        said = "".join(self.said)
+        for e in self.ended:
+            e["text"] = said[e.pop("from") - self.dropped : e.pop("to") - self.dropped]
+        if self.ended:
+            self.hand(self.ended)
+        kept = self.open[0]["from"] if self.open else self.length
+        self.ended, self.said, self.dropped = [], [said[kept - self.dropped :]], kept
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._add(tag, attrs)
+        e = self._add(tag, attrs)
         if tag in VOID:
-            self.found[-1]["to"] = self.length
+            self._end([e])
         else:
-            self.open.append(len(self.found) - 1)
+            self.open.append(e)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._add(tag, attrs)
-        self.found[-1]["to"] = self.length
+        self._end([self._add(tag, attrs)])
 
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
-            if self.found[self.open[at]]["tag"] == tag:
-                for k in self.open[at:]:
-                    self.found[k]["to"] = self.length
+            if self.open[at]["tag"] == tag:
+                ended = self.open[at:]
                 del self.open[at:]
+                self._end(ended)
                 return
 
     def handle_data(self, data: str) -> None:
         self.said.append(data)
         self.length += len(data)
 
+    def finish(self) -> None:
+        """What is still open ends with all text."""
+        ended, self.open = self.open, []
+        self._end(ended)
+        self.hand_on()
 
-def read_page(html: str | None, most_bytes: int = MOST_BYTES) -> list[dict]:
-    """The elements of one page: parents, tag, attrs, text. ValueError if it can't be read.
 
-    Text is kept once, an element's is cut out of it; character references are decoded; unclosed elements end with the one they are in.
-    """
+def _read(html: str | None, most_bytes: int, hand: Callable[[list[dict]], None]) -> None:
     if html is not None and len(html) > most_bytes // 4 and len(html.encode()) > most_bytes:
         raise ValueError(f"longer than {most_bytes} bytes")
-    parser = _Elements()
+    parser = _Elements(hand)
     try:
         parser.feed(html or "")
         parser.close()
     except (AssertionError, ValueError, RecursionError) as error:  # what the parser raises at markup it can't follow
         raise ValueError(f"not to be read as HTML: {error}") from None
-    said = "".join(parser.said)
-    for e in parser.found:
-        e["text"] = said[e.pop("from") : e.pop("to")]
-    return parser.found
+    parser.finish()
+
 
+def read_page(html: str | None, most_bytes: int = MOST_BYTES) -> list[dict]:
+    """The elements of one page in document order: n, parents, tag, attrs, text. ValueError if it can't be read.
+
+    Text is kept once, an element's is cut out of it; character references are decoded; unclosed elements end with the one they are in.
+    """
+    found: list[dict] = []
+    _read(html, most_bytes, found.extend)
+    return sorted(found, key=lambda e: e["n"])
 
-def _batch(keys: pa.Array, at: list[int], rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+def _rows(key: pa.Array, found: list[dict], names: list[str]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
+    columns = list(zip(*((e["n"], e["parents"], e["tag"], e["attrs"].get("class", "").split(), list(e["attrs"].items()), e["text"]) for e in found), strict=True))
+    return pa.RecordBatch.from_arrays([key.take(pa.array([0] * len(found), pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
 
 def elements(pages: DataFrame, key: str, html: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """key, n, parents, tag, classes, attrs, text: a row for each element of each page, in order n.
+    """key, n, parents, tag, classes, attrs, text: a row for each element of each page, numbered n in its order.
 
-    Null pages have no elements. See read_page(). One page is held at a time, and handed on before the next is read. key may be a struct.
+    Null pages have no elements. See read_page(). One page is held at a time, its elements as Arrow rows, and handed on before the next is read. key may be a struct.
     """
     kind = pages.schema[key].dataType.simpleString()
+    return pages.select(F.col(key), F.col(html).cast("string")).mapInArrow(_pages_read(key, most_bytes), f"`{key}` {kind}, {ELEMENT}")
+
+
+def _pages_read(key: str, most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [key, "n", "parents", "tag", "classes", "attrs", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string())
-        names = [key, "n", "parents", "tag", "classes", "attrs", "text"]
         for batch in batches:
-            keys, at, rows = batch.column(0), [], []
+            few: list[pa.RecordBatch] = []  # short pages go on together
             for k in range(batch.num_rows):
-                try:
-                    found = read_page(batch.column(1)[k].as_py(), most_bytes)
+                own, ready = batch.column(0).slice(k, 1), []
+                try:  # a page that can't be read to its end gives nothing of what came before
+                    _read(batch.column(1)[k].as_py(), most_bytes, lambda found, own=own, ready=ready: ready.append(_rows(own, found, names)))
                 except ValueError as error:
-                    found = [{"parents": [], "tag": FAILED, "attrs": {}, "text": str(error)}]
-                for n, e in enumerate(found):
-                    at.append(k)
-                    rows.append((n, e["parents"], e["tag"], e["attrs"].get("class", "").split(), list(e["attrs"].items()), e["text"]))
-                    if len(rows) >= ROWS:
-                        yield _batch(keys, at, rows, kinds, names)
-                        at, rows = [], []
-                del found
-            if rows or batch.num_rows == 0:
-                yield _batch(keys, at, rows, kinds, names)
-
-    return pages.select(F.col(key), F.col(html).cast("string")).mapInArrow(run, f"`{key}` {kind}, {ELEMENT}")
+                    ready = [_rows(own, [{"n": 0, "parents": [], "tag": FAILED, "attrs": {}, "text": str(error)}], names)]
+                while ready:
+                    few.append(ready.pop(0))
+                    if sum(b.num_rows for b in few) >= ROWS:
+                        yield from pa.Table.from_batches(few).combine_chunks().to_batches()
+                        few = []
+            if few:
+                yield from pa.Table.from_batches(few).combine_chunks().to_batches()
+
+    return run
 
 
 def inside(children: DataFrame, owners: DataFrame, key: str) -> DataFrame:

@@ -24,6 +24,21 @@ def test_elements_are_handed_on_in_batches(spark, monkeypatch):
     assert [r["c"] for r in got.groupBy("page_id").agg(F.count_distinct("n").alias("c")).collect()] == [3000] * 4
 
 
+def test_a_long_page_is_not_held_as_python_objects(monkeypatch):
+    """Elements become Arrow rows as they end: few are held at once, open ones outlive the cuts, and texts are those of a page read as a whole."""
+    import pyarrow as pa
+
+    card = lambda k: f"<div class='card c{k}'><p>α{k} &amp; β<br>γ</p><i/></div>δ"
+    page = "<main>x" + "".join(map(card, range(5000))) + "<p>open<b>end"
+    whole = html.read_page(page)
+    assert [e["n"] for e in whole] == list(range(20003)) and whole[0]["text"].startswith("xα0 & βγδα1") and whole[0]["text"].endswith("δopenend") and whole[-2]["text"] == "openend"
+    most, held = [], html._rows
+    monkeypatch.setattr(html, "_rows", lambda key, found, names: (most.append(len(found)), held(key, found, names))[1])
+    rows = [r for b in html._pages_read("k", html.MOST_BYTES)(iter([pa.record_batch([[7, 8], [page, None]], ["k", "h"])])) for r in b.to_pylist()]
+    assert max(most) < 4000 and {r["k"] for r in rows} == {7}
+    assert sorted((r["n"], r["parents"], r["tag"], dict(r["attrs"]), r["text"]) for r in rows) == [(e["n"], e["parents"], e["tag"], e["attrs"], e["text"]) for e in whole]
+
+
 def test_values_are_worked_out_once(spark):
     """Plans of the readers stay small: the text is folded once, and not again for each use of what it gives."""
     plan = lambda c: spark.createDataFrame([("x",)], "t string").select(c)._jdf.queryExecution().analyzed().toString()
