@@ -81,26 +81,33 @@ def settle(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, alia
         same = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in on]
         return rows.alias("d").join(more.alias("o"), same, "left").select("d.*", *[F.col(f"o.{c}") for c in kept])
 
-    first = placed.groupBy(*key).agg(F.min_by(F.struct("name_folded", "identity", "__order"), "__order").alias("f")).select(*key, "f.*")
+    said = written(placed.groupBy(*key, "name_folded", "identity").agg(F.min("__order").alias("__use")), "said")
+    # from here on a key is the place of its first draft, a name that of its first use
+    first = said.groupBy(*key).agg(F.min_by(F.struct("name_folded", "identity", F.col("__use").alias("__key")), "__use").alias("f")).select(*key, "f.*")
     known = left(left(left(first, by_key, key, ["id_by_key"]), by_name, name, ["id_by_name"]), by_alias, name, ["id_by_alias"])
     label = lambda c: F.col(c) - _STORED
-    own = F.when(F.col("id_by_key").isNotNull(), label("id_by_key")).when(F.coalesce(F.col("identity") != "name", F.lit(True)), F.col("__order"))
-    known = known.select(*key, "name_folded", "__order", own.isNotNull().alias("settled"), own.alias("label"), label("id_by_name").alias("named"), F.coalesce(label("id_by_alias"), F.col("__order")).alias("otherwise"))
-    known = written(known, "keys")
+    own = F.when(F.col("id_by_key").isNotNull(), label("id_by_key")).when(F.coalesce(F.col("identity") != "name", F.lit(True)), F.col("__key"))
+    keyed = known.select(*key, "__key", own.isNotNull().alias("settled"), own.alias("label"), label("id_by_name").alias("named"), F.coalesce(label("id_by_alias"), F.col("__key")).alias("otherwise"))
+    keyed = written(keyed, "keys")
     # a key counts for a name from its first draft of that name on
-    uses = written(placed.groupBy(*key, "name_folded").agg(F.min("__order").alias("__use")), "uses")
+    uses = left(said.groupBy(*key, "name_folded").agg(F.min("__use").alias("__use")), keyed, key, ["__key"])
+    uses = written(left(uses, said.groupBy(*name).agg(F.min("__use").alias("__name")), name, ["__name"]).select("__key", "__name", "__use"), "uses")
+    known, cuts = keyed.drop(*key), Segments(uses, ["__name"], ["__use"])  # which names are cut is the same in all rounds
     while True:
-        told = written(left(uses, known, key, ["label"]), "told")
-        before = Segments(told, name, ["__use"]).scan("__earlier", F.col("label"), "min", before=True).scan("__any", F.lit(1), "max", before=True).rows()
-        seen = left(known.withColumn("__use", F.col("__order")), before, [*key, "__use"], ["__earlier", "__any"])
+        told = uses.join(known, "__key")
+        rows = Segments(written(told, "told") if cuts.cut else told, ["__name"], ["__use"], within=cuts)
+        before = rows.scan("__earlier", F.col("label"), "min", before=True).scan("__any", F.lit(1), "max", before=True).rows()
+        seen = before.filter("__use = __key")  # what a key's first draft finds
         by_use = F.when(F.col("__any").isNull(), F.coalesce("named", "otherwise")).otherwise(F.least("__earlier", "named"))
-        after = written(seen.withColumns({"__was": F.col("label"), "label": F.when(F.col("settled"), F.col("label")).otherwise(by_use)}).drop("__use", "__earlier", "__any"), "keys")
+        after = seen.withColumns({"__was": F.col("label"), "label": F.when(F.col("settled"), F.col("label")).otherwise(by_use)})
+        after = written(after.drop("__name", "__use", "__earlier", "__any"), "labels")
         known = after.drop("__was")
         if after.filter(~F.col("label").eqNullSafe(F.col("__was"))).isEmpty():
             break
     fresh = known.filter("label >= 0").select("label").distinct().sort("label").withColumn("__row", F.monotonically_increasing_id())
     ids = dense_ids(written(fresh, "labels"), "__row", "__id", base)
-    final = left(known.select(*key, "label"), ids.select("label", "__id"), ["label"], ["__id"]).select(*key, "label", F.coalesce("__id", F.col("label") + _STORED).alias("entity_id"))
+    final = left(keyed.select(*key, "__key").join(known.select("__key", "label"), "__key"), ids.select("label", "__id"), ["label"], ["__id"])
+    final = final.select(*key, "label", F.coalesce("__id", F.col("label") + _STORED).alias("entity_id"))
     out = left(placed, final, key, ["label", "entity_id"])
     return written(out.withColumn("is_new", F.col("label") == F.col("__order")).drop("label"), "settled")
 

@@ -63,3 +63,18 @@ def test_a_name_finds_what_a_key_has_made(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     found = resolve.settle(spark.createDataFrame(rows, DRAFT), none("entity_id long, scheme string, value string"), none("id long, kind string, name_folded string"), none("entity_id long, alias_folded string"), 0, ["at"])
     assert [(r["entity_id"], r["is_new"]) for r in found.orderBy("at").collect()] == [(1, True), (1, False), (1, False), (1, False), (2, True), (3, True)]
+
+
+def test_rounds_are_one_pass_each(spark, monkeypatch):
+    """A name handed on through nine keys: a round writes its labels alone, rows of numbers that no key or name is part of; what is large was counted before."""
+    tables, counts, kept, cut = [], [], resolve.written, scan.Segments.__init__
+    monkeypatch.setattr(resolve, "written", lambda df, name: (tables.append((name, {t for _, t in df.dtypes})), kept(df, name))[1])
+    monkeypatch.setattr(scan.Segments, "__init__", lambda self, *a, **k: (counts.append(k.get("within") is None), cut(self, *a, **k))[1])
+    rows = [("s", "0", "h", "N0", "source_key", 0, "")]
+    for k in range(1, 10):
+        rows += [("s", f"{k}", "h", f"N{k - 1}", "name", 2 * k, ""), ("s", f"{k}", "h", f"N{k}", "name", 2 * k + 1, "")]
+    none = lambda schema: spark.createDataFrame([], schema)
+    found = resolve.settle(spark.createDataFrame(rows, DRAFT), none("entity_id long, scheme string, value string"), none("id long, kind string, name_folded string"), none("entity_id long, alias_folded string"), 0, ["at"])
+    assert [(r["entity_id"], r["is_new"]) for r in found.orderBy("at").collect()] == [(1, True)] + [(1, False)] * 18
+    rounds = [kinds for name, kinds in tables if name == "labels" and "boolean" in kinds]
+    assert len(rounds) == 10 and all(kinds == {"bigint", "boolean"} for kinds in rounds) and "told" not in {name for name, _ in tables} and counts.count(True) == 1
