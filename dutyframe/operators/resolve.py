@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from dutyframe.functions.text import matching_key
 from dutyframe.operators.scan import Segments
-from dutyframe.operators.tables import written
+from dutyframe.operators.tables import large, written
 
 
 def match(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -30,9 +30,9 @@ def match(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, alias
 def _stored(external_ids: DataFrame, entities: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The smallest stored id for each key, name and alias."""
     kinds = entities.select(F.col("id").alias("entity_id"), F.col("kind").alias("key_kind"))
-    by_key = external_ids.join(kinds, "entity_id").groupBy(F.col("scheme").alias("source_id"), F.col("value").alias("local_id"), F.col("key_kind").alias("kind")).agg(F.min("entity_id").alias("id_by_key"))
+    by_key = external_ids.join(large(kinds), "entity_id").groupBy(F.col("scheme").alias("source_id"), F.col("value").alias("local_id"), F.col("key_kind").alias("kind")).agg(F.min("entity_id").alias("id_by_key"))
     by_name = entities.groupBy("kind", "name_folded").agg(F.min("id").alias("id_by_name"))
-    named = aliases.join(kinds, "entity_id")
+    named = aliases.join(large(kinds), "entity_id")
     by_alias = named.groupBy(F.col("key_kind").alias("kind"), F.col("alias_folded").alias("name_folded")).agg(F.min("entity_id").alias("id_by_alias"))
     return by_key, by_name, by_alias
 
@@ -79,7 +79,7 @@ def settle(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, alia
 
     def left(rows: DataFrame, more: DataFrame, on: list[str], kept: list[str]) -> DataFrame:
         same = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in on]
-        return rows.alias("d").join(more.alias("o"), same, "left").select("d.*", *[F.col(f"o.{c}") for c in kept])
+        return rows.alias("d").join(large(more).alias("o"), same, "left").select("d.*", *[F.col(f"o.{c}") for c in kept])
 
     said = written(placed.groupBy(*key, "name_folded", "identity").agg(F.min("__order").alias("__use")), "said")
     # from here on a key is the place of its first draft, a name that of its first use
@@ -94,7 +94,7 @@ def settle(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, alia
     uses = written(left(uses, said.groupBy(*name).agg(F.min("__use").alias("__name")), name, ["__name"]).select("__key", "__name", "__use"), "uses")
     known, cuts = keyed.drop(*key), Segments(uses, ["__name"], ["__use"])  # which names are cut is the same in all rounds
     while True:
-        told = uses.join(known, "__key")
+        told = uses.join(large(known), "__key")
         rows = Segments(written(told, "told") if cuts.cut else told, ["__name"], ["__use"], within=cuts)
         before = rows.scan("__earlier", F.col("label"), "min", before=True).scan("__any", F.lit(1), "max", before=True).rows()
         seen = before.filter("__use = __key")  # what a key's first draft finds
@@ -106,7 +106,7 @@ def settle(drafts: DataFrame, external_ids: DataFrame, entities: DataFrame, alia
             break
     fresh = known.filter("label >= 0").select("label").distinct().sort("label").withColumn("__row", F.monotonically_increasing_id())
     ids = dense_ids(written(fresh, "labels"), "__row", "__id", base)
-    final = left(keyed.select(*key, "__key").join(known.select("__key", "label"), "__key"), ids.select("label", "__id"), ["label"], ["__id"])
+    final = left(keyed.select(*key, "__key").join(large(known.select("__key", "label")), "__key"), ids.select("label", "__id"), ["label"], ["__id"])
     final = final.select(*key, "label", F.coalesce("__id", F.col("label") + _STORED).alias("entity_id"))
     out = left(placed, final, key, ["label", "entity_id"])
     return written(out.withColumn("is_new", F.col("label") == F.col("__order")).drop("label"), "settled")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dutyframe.operators import resolve, schemas, supersede
 from dutyframe.operators.log import CommitLog, Conflict
-from dutyframe.operators.tables import CODEC, written
+from dutyframe.operators.tables import CODEC, large, written
 
 IDENTITY = ["source_id", "url", "sha256"]
 #: A table of more folders than this is compacted; so a manifest stays small.
@@ -147,7 +147,7 @@ class RecordStore:
         return self.read("processed").groupBy("snapshot_id").agg(F.min("processed_at").alias("processed_at"), F.max("version").alias("version"))
 
     def snapshots(self) -> DataFrame:
-        return self.read("snapshot").drop("version").join(self.marks().select(F.col("snapshot_id").alias("id"), "processed_at"), "id", "left")
+        return self.read("snapshot").drop("version").join(large(self.marks().select(F.col("snapshot_id").alias("id"), "processed_at")), "id", "left")
 
     def _entity(self) -> DataFrame:
         return supersede.latest(self.read("entity"), ["id"], ["version"])
@@ -157,17 +157,17 @@ class RecordStore:
         return self._entity().drop("version")
 
     def _property(self) -> DataFrame:
-        return self.read("property").join(self.marks().select("snapshot_id", "version"), ["snapshot_id", "version"], "left_semi")
+        return self.read("property").join(large(self.marks().select("snapshot_id", "version")), ["snapshot_id", "version"], "left_semi")
 
     def properties(self) -> DataFrame:
         """What each document said when it was parsed last, with superseded."""
         served = supersede.current_snapshots(self.snapshots().filter(F.col("processed_at").isNotNull()))
-        return supersede.flag_superseded(self._property().drop("version"), served)
+        return supersede.flag_superseded(self._property().drop("version"), large(served))
 
     def _issue(self) -> DataFrame:
         rows = self.read("ingest_issue")
         last = rows.filter("snapshot_id is not null").groupBy("snapshot_id").agg(F.max("version").alias("version"))
-        return rows.filter("snapshot_id is null").unionByName(rows.join(last, ["snapshot_id", "version"], "left_semi"))
+        return rows.filter("snapshot_id is null").unionByName(rows.join(large(last), ["snapshot_id", "version"], "left_semi"))
 
     def issues(self) -> DataFrame:
         """The issues of each document that were recorded last, and all that belong to none."""
@@ -219,10 +219,10 @@ class RecordStore:
         now = F.current_timestamp()
         seen_at = self.at(t.base["version"]) if t.base["version"] else self
         known = seen_at.read("snapshot").select(F.col("id").alias("snapshot_id"), *IDENTITY)
-        one = written(documents.dropDuplicates(IDENTITY).join(known, IDENTITY, "left"), "seen")
+        one = written(documents.dropDuplicates(IDENTITY).join(large(known), IDENTITY, "left"), "seen")
         again = one.filter("snapshot_id is not null")
         if not reparse:  # ids alone meet the marks, and only of documents that have come before
-            again = written(again.join(seen_at.read("processed").select("snapshot_id"), "snapshot_id", "left_anti"), "again")
+            again = written(again.join(large(seen_at.read("processed").select("snapshot_id")), "snapshot_id", "left_anti"), "again")
         # ids are dense in the order of date and revision, undated first; texts go along, so that no document is sought by its identity again
         unseen = one.filter("snapshot_id is null").drop("snapshot_id").sort(F.col("published_date").asc_nulls_first(), "revision", *IDENTITY)
         unseen = written(unseen.withColumn("__row", F.monotonically_increasing_id()), "unseen")
@@ -235,23 +235,23 @@ class RecordStore:
         order = fresh.select("snapshot_id", F.struct("published_date", "revision", "snapshot_id").alias("__document"))
         entities = seen_at.entities()
         base = entities.agg(F.max("id")).first()[0] or 0
-        drafts = records.join(order, "snapshot_id")
+        drafts = records.join(large(order), "snapshot_id")
         done = resolve.settle(drafts, seen_at.read("entity_external_id"), entities, seen_at.read("entity_alias"), base, ["__document", "seq"])
         fill = ["address", "municipality", "lat", "lon", "phone"]
         kinds = done.groupBy(F.col("entity_id").alias("id")).agg(F.min("kind").alias("__kind"))
-        touched = entities.join(kinds.select("id"), "id", "left_semi")
-        after = resolve.upsert(touched, done.select(F.col("entity_id").alias("id"), "name", "__order", *fill), fill, "__order").join(kinds, "id")
+        touched = entities.join(large(kinds.select("id")), "id", "left_semi")
+        after = resolve.upsert(touched, done.select(F.col("entity_id").alias("id"), "name", "__order", *fill), fill, "__order").join(large(kinds), "id")
         t.put("entity", after.withColumns({"kind": F.coalesce("kind", "__kind"), "created_at": F.coalesce("created_at", now), "updated_at": now}))
         held = done.groupBy(F.col("source_id").alias("scheme"), F.col("local_id").alias("value"), "kind").agg(F.min("entity_id").alias("entity_id"))
         have = seen_at.read("entity_external_id").select("scheme", "value", "entity_id")
-        t.put("entity_external_id", held.join(have, ["scheme", "value", "entity_id"], "left_anti"))
+        t.put("entity_external_id", held.join(large(have), ["scheme", "value", "entity_id"], "left_anti"))
         aliases = resolve.first_aliases(done.select("entity_id", F.col("name").alias("alias"), F.col("__order").alias("seq")))
-        t.put("entity_alias", aliases.join(seen_at.read("entity_alias"), ["entity_id", "alias_folded"], "left_anti"))
+        t.put("entity_alias", aliases.join(large(seen_at.read("entity_alias")), ["entity_id", "alias_folded"], "left_anti"))
         t.put("property", done.select("entity_id", "snapshot_id", F.lit("on_call").alias("kind"), "on_date", "starts_at", "ends_at", "payload"))
         new = done.filter("is_new and identity = 'name'").select("snapshot_id", "source_id", F.lit("info").alias("severity"), F.lit("unrecognized_name").alias("code"), F.col("name").alias("detail"))
         t.put("ingest_issue", issues.unionByName(new).withColumn("created_at", now))
         failed = issues.filter("code = 'document_failed'").select("snapshot_id")
-        parsed = t.put("processed", fresh.select("snapshot_id").join(failed, "snapshot_id", "left_anti").withColumn("processed_at", now)).count()
+        parsed = t.put("processed", fresh.select("snapshot_id").join(large(failed), "snapshot_id", "left_anti").withColumn("processed_at", now)).count()
         counts = {"seen": one.count(), "documents": parsed}
         counts["skipped"] = 0 if reparse else counts["seen"] - fresh.count()
         counts["failed"] = counts["seen"] - counts["skipped"] - parsed

@@ -28,3 +28,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the input: both sides are shuffled and sorted.
+
+    Spark broadcasts what has few bytes in its files. Ids and dates that are all alike take a byte or two a row there, and hundreds of MB in the driver.
+    """
+    return df.hint("merge")

@@ -359,6 +359,37 @@ def test_a_document_is_sought_by_its_identity_once(spark, tmp_path):
     assert joins and not any("sha256" in line or "url" in line for line in joins)
 
 
+def broadcasts(spark, work, monkeypatch):
+    """The plans of what work runs that gather a table in the driver, besides the few rows that the code itself says are few."""
+    executions = lambda: {e.executionId(): e for e in (seen.apply(k) for k in range(seen.size()))}
+    bus, status = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    seen = status.executionsList()
+    before = set(executions())
+    monkeypatch.setattr(F, "broadcast", lambda df: df.hint("merge"))
+    work()
+    monkeypatch.undo()
+    bus.waitUntilEmpty(30_000)
+    seen = status.executionsList()
+    plans = [e.physicalPlanDescription() for k, e in executions().items() if k not in before]
+    assert plans
+    return [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_no_table_of_the_store_is_gathered_in_the_driver(spark, tmp_path, monkeypatch):
+    """Files of ids and equal dates are small for millions of rows, so no size of a file lets the driver take one whole."""
+    own = store.RecordStore(spark, str(tmp_path))
+
+    def work():
+        for batch in (1, 2):
+            own.ingest(frame(spark, [paper(k, f"n{k % 3}", f"u{k}") for k in range(batch, 8)]), Papers().parse, batch)
+        own.compact()
+        for rows in (own.snapshots(), own.properties(), own.issues()):
+            rows.write.format("noop").mode("overwrite").save()
+
+    assert broadcasts(spark, work, monkeypatch) == []
+
+
 def test_superseded_rows_stay(spark):
     snaps = spark.createDataFrame([(k, "s", DAYS[d], n) for k, d, n in ((1, 1, 2), (2, 1, 0), (3, 1, 2), (4, 0, 0), (5, 0, 0), (6, 2, 0))], "id long, source_id string, published_date date, revision int")
     rows = spark.createDataFrame([(k,) for k in (*range(1, 7), 9)], "snapshot_id long")
