@@ -5,6 +5,7 @@ A page that can't be read is one row with the tag FAILED, whose text says why.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -64,6 +65,12 @@ class _Elements(HTMLParser):
         kept = self.open[0]["from"] if self.open else self.length
         self.ended, self.said, self.dropped = [], [said[kept - self.dropped :]], kept
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no kind that the parser knows is a comment, as HTML has it
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         e = self._add(tag, attrs)
         if tag in VOID:
@@ -96,12 +103,15 @@ class _Elements(HTMLParser):
 def _read(html: str | None, most_bytes: int, hand: Callable[[list[dict]], None]) -> None:
     if html is not None and len(html) > most_bytes // 4 and len(html.encode()) > most_bytes:
         raise ValueError(f"longer than {most_bytes} bytes")
-    parser = _Elements(hand)
+    parser, digits = _Elements(hand), sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)  # the number of a character reference may be of any length
     try:
         parser.feed(html or "")
         parser.close()
-    except (AssertionError, ValueError, RecursionError) as error:  # what the parser raises at markup it can't follow
+    except (AssertionError, ValueError, RecursionError) as error:  # what the parser raises at markup it can't follow; none is known
         raise ValueError(f"not to be read as HTML: {error}") from None
+    finally:
+        sys.set_int_max_str_digits(digits)
     parser.finish()
 
 
@@ -130,6 +140,12 @@ def elements(pages: DataFrame, key: str, html: str, most_bytes: int = MOST_BYTES
     return pages.select(F.col(key), F.col(html).cast("string")).mapInArrow(_pages_read(key, most_bytes), f"`{key}` {kind}, {ELEMENT}")
 
 
+def read_all(found: DataFrame, key: str) -> DataFrame:
+    """Rows of elements(), where one of a page that couldn't be read is an error of the query: for results that have no row to tell it in."""
+    said = F.concat(F.lit("page "), F.to_json(F.struct(key)), F.lit(" can't be read: "), "text")
+    return found.withColumn("tag", F.when(F.col("tag") == FAILED, F.raise_error(said)).otherwise(F.col("tag")))
+
+
 def _pages_read(key: str, most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [key, "n", "parents", "tag", "classes", "attrs", "text"]
 
