@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 # Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 FAILED = "!failed"
-#: Bytes of a page; a longer one isn't read.
-MOST_BYTES = 64 << 20
+#: Bytes of a page beyond which it counts as one that can't be read, where a caller wants that; pages of any length are read.
+MOST_BYTES: int | None = None
 #: Elements that are handed on at once, or more where a page's text is long.
 ROWS = 2000
+#: Letters of text that are handed on at once, about; elements in each other have the same text again and again.
+LETTERS = 16 << 20
 ELEMENT = "n int, parents array<int>, tag string, classes array<string>, attrs map<string,string>, text string"
 
 
@@ -58,10 +60,14 @@ class _Elements(HTMLParser):
 
     def hand_on(self) -> None:
         said = "".join(self.said)
-        for e in self.ended:
+        ended, few, letters = self.ended[::-1], [], 0
+        while ended:
+            few.append(e := ended.pop())
             e["text"] = said[e.pop("from") - self.dropped : e.pop("to") - self.dropped]
-        if self.ended:
-            self.hand(self.ended)
+            letters += len(e["text"])
+            if letters >= LETTERS or not ended:
+                self.hand(few)
+                few, letters = [], 0
         kept = self.open[0]["from"] if self.open else self.length
         self.ended, self.said, self.dropped = [], [said[kept - self.dropped :]], kept
 
@@ -100,8 +106,8 @@ class _Elements(HTMLParser):
         self.hand_on()
 
 
-def _read(html: str | None, most_bytes: int, hand: Callable[[list[dict]], None]) -> None:
-    if html is not None and len(html) > most_bytes // 4 and len(html.encode()) > most_bytes:
+def _read(html: str | None, most_bytes: int | None, hand: Callable[[list[dict]], None]) -> None:
+    if None not in (html, most_bytes) and len(html) > most_bytes // 4 and len(html.encode()) > most_bytes:
         raise ValueError(f"longer than {most_bytes} bytes")
     parser, digits = _Elements(hand), sys.get_int_max_str_digits()
     sys.set_int_max_str_digits(0)  # the number of a character reference may be of any length
@@ -115,7 +121,7 @@ def _read(html: str | None, most_bytes: int, hand: Callable[[list[dict]], None])
     parser.finish()
 
 
-def read_page(html: str | None, most_bytes: int = MOST_BYTES) -> list[dict]:
+def read_page(html: str | None, most_bytes: int | None = MOST_BYTES) -> list[dict]:
     """The elements of one page in document order: n, parents, tag, attrs, text. ValueError if it can't be read.
 
     Text is kept once, an element's is cut out of it; character references are decoded; unclosed elements end with the one they are in.
@@ -131,7 +137,7 @@ def _rows(key: pa.Array, found: list[dict], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([key.take(pa.array([0] * len(found), pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
 
-def elements(pages: DataFrame, key: str, html: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+def elements(pages: DataFrame, key: str, html: str, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """key, n, parents, tag, classes, attrs, text: a row for each element of each page, numbered n in its order.
 
     Null pages have no elements. See read_page(). One page is held at a time, its elements as Arrow rows, and handed on before the next is read. key may be a struct.
@@ -146,7 +152,7 @@ def read_all(found: DataFrame, key: str) -> DataFrame:
     return found.withColumn("tag", F.when(F.col("tag") == FAILED, F.raise_error(said)).otherwise(F.col("tag")))
 
 
-def _pages_read(key: str, most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pages_read(key: str, most_bytes: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [key, "n", "parents", "tag", "classes", "attrs", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +166,7 @@ def _pages_read(key: str, most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]
                     ready = [_rows(own, [{"n": 0, "parents": [], "tag": FAILED, "attrs": {}, "text": str(error)}], names)]
                 while ready:
                     few.append(ready.pop(0))
-                    if sum(b.num_rows for b in few) >= ROWS:
+                    if sum(b.num_rows for b in few) >= ROWS or sum(b.nbytes for b in few) >= LETTERS:
                         yield from pa.Table.from_batches(few).combine_chunks().to_batches()
                         few = []
             if few:

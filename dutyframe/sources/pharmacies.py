@@ -18,7 +18,7 @@ class Pharmacies(Source):
     id = "fsa-attica-pharmacies"
     group = "pharmacies"
     attribution = "Pharmacists' Association of Attica"
-    most_bytes = MOST_BYTES
+    most_bytes: int | None = MOST_BYTES
 
     def discover(self, listings: DataFrame, first: str, last: str) -> DataFrame:
         """A form reference for each date of the picker in the window."""
