@@ -35,8 +35,11 @@ def search_many(entities: DataFrame, needles: DataFrame, column: str = "name_fol
     both = met.select(F.col("needle_id").alias("needle"), F.col("id").alias("name"))
     both = both.join(_lists(typed, "needle", "needle_id", "__needles"), "needle").join(_lists(named, "name", "id", "__ids"), "name")
     # lists are few and what they make is much: they are dealt evenly over a stated number of tasks
-    both = both.select("__needles", "__ids").repartition(4 * int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return both.select(F.explode("__needles").alias("needle_id"), "__ids").select("needle_id", F.explode("__ids").alias("id"))
+    tasks = 4 * int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("__needles", "__ids").repartition(tasks)
+    # generated code holds all rows that it makes of one row: with both lists in one piece of code a million, cut by a coalesce that joins nothing a thousand
+    asked = both.select(F.explode("__needles").alias("needle_id"), "__ids").coalesce(tasks)
+    return asked.select("needle_id", F.explode("__ids").alias("id"))
 
 
 def _lists(df: DataFrame, by: str, key: str, out: str) -> DataFrame:

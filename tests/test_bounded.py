@@ -39,6 +39,15 @@ def test_a_long_page_is_not_held_as_python_objects(monkeypatch):
     assert sorted((r["n"], r["parents"], r["tag"], dict(r["attrs"]), r["text"]) for r in rows) == [(e["n"], e["parents"], e["tag"], e["attrs"], e["text"]) for e in whole]
 
 
+def test_pairs_of_two_lists_are_not_made_in_one_piece_of_code(spark):
+    """A row of two lists becomes rows of one list first, which are handed on one at a time; else all pairs of both are held at once."""
+    names = spark.createDataFrame([(k, "AB"[k % 2] * 4) for k in range(50)], "id long, name_folded string")
+    found = search.search_many(names, names.select(F.col("id").alias("needle_id"), F.substring("name_folded", 1, 3).alias("search")))
+    steps = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(__" in line or "Coalesce" in line or "REPARTITION_BY_NUM" in line]
+    assert [next(w for w in ("Generate", "Coalesce", "Exchange") if w in s) for s in steps] == ["Generate", "Coalesce", "Generate", "Exchange"]
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in range(50) for b in range(50) if (a - b) % 2 == 0} and found.count() == 1250
+
+
 def test_values_are_worked_out_once(spark):
     """Plans of the readers stay small: the text is folded once, and not again for each use of what it gives."""
     plan = lambda c: spark.createDataFrame([("x",)], "t string").select(c)._jdf.queryExecution().analyzed().toString()
