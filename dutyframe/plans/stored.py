@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dutyframe.functions.text import matching_key
 from dutyframe.operators import resolve, store, update
+from dutyframe.operators.tables import large
 from dutyframe.plans.built import _NAME, _cards
 from dutyframe.plans.catalog import query
 from dutyframe.plans.roles import scratch, table
@@ -95,9 +96,9 @@ WITH {_PAPERS} SELECT p.snapshot_id, NOT p.torn AS processed, e.entity_id, e.ent
 def store_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the store holds in the end: ids undated first, spellings and keys of one entity together, the last corrections alone current."""
     own = _filled(spark, sf_dir)
-    said = own.properties().join(own.entities().select(F.col("id").alias("entity_id"), "name"), "entity_id")
+    said = own.properties().join(large(own.entities().select(F.col("id").alias("entity_id"), "name")), "entity_id")
     marks = own.snapshots().select(F.col("id").alias("snapshot_id"), F.col("processed_at").isNotNull().alias("processed"))
-    return marks.join(said.select("snapshot_id", "entity_id", "name", "superseded", "payload"), "snapshot_id", "left")
+    return marks.join(large(said.select("snapshot_id", "entity_id", "name", "superseded", "payload")), "snapshot_id", "left")
 
 
 @query(f"""

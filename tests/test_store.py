@@ -390,6 +390,14 @@ def test_no_table_of_the_store_is_gathered_in_the_driver(spark, tmp_path, monkey
     assert broadcasts(spark, work, monkeypatch) == []
 
 
+@pytest.mark.parametrize("name", ["store_state"])
+def test_no_table_of_a_filled_store_is_gathered_in_the_driver(spark, sf, name):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_superseded_rows_stay(spark):
     snaps = spark.createDataFrame([(k, "s", DAYS[d], n) for k, d, n in ((1, 1, 2), (2, 1, 0), (3, 1, 2), (4, 0, 0), (5, 0, 0), (6, 2, 0))], "id long, source_id string, published_date date, revision int")
     rows = spark.createDataFrame([(k,) for k in (*range(1, 7), 9)], "snapshot_id long")
