@@ -133,7 +133,7 @@ def store_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first spelling of each entity's name, and how many keys lead to it."""
     own = _filled(spark, sf_dir)
     keys = own.read("entity_external_id").groupBy("entity_id").agg(F.count_distinct("value").alias("keys"))
-    return own.read("entity_alias").select("entity_id", "alias", "alias_folded").join(keys, "entity_id")
+    return own.read("entity_alias").select("entity_id", "alias", "alias_folded").join(large(keys), "entity_id")
 
 
 @query("""

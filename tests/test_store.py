@@ -390,7 +390,7 @@ def test_no_table_of_the_store_is_gathered_in_the_driver(spark, tmp_path, monkey
     assert broadcasts(spark, work, monkeypatch) == []
 
 
-@pytest.mark.parametrize("name", ["store_state"])
+@pytest.mark.parametrize("name", ["store_state", "store_aliases"])
 def test_no_table_of_a_filled_store_is_gathered_in_the_driver(spark, sf, name):
     import __spark_entry__
 
